@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriscope.llm.nearsets import similar_classes, stage_sets
+from veriscope.llm.nearsets import Corpus, similar_classes
 
 
 def split_name(split: Column) -> Column:
@@ -29,9 +29,10 @@ def cross_split_pairs(df: DataFrame, id_col: str = "sample_id", text_col: str =
     """
     name = split_name(F.col(split_col))
     sided = df.select(F.col(id_col), F.col(text_col), F.when(name == "train", 1).otherwise(2).alias("_mask")).where(name.isNotNull())
-    sets = stage_sets(sided, id_col, text_col, shingle, "_mask")
-    members = sets.select("id", "sig", "mask").distinct()
-    links = similar_classes(sets, similarity, cross=True).select("sig_a", "sig_b")
+    corpus = Corpus(sided, id_col, text_col, shingle, "_mask")
+    every = corpus.members()
+    links = similar_classes(corpus, every, similarity, cross=True).select("sig_a", "sig_b")
+    members = every.select("id", "sig", "mask").distinct()
     train = members.where("mask = 1").select(F.col("sig").alias("sig_a"), F.col("id").alias("a"))
     held = members.where("mask = 2").select(F.col("sig").alias("sig_b"), F.col("id").alias("b"))
     both_ways = links.union(links.select(F.col("sig_b").alias("sig_a"), F.col("sig_a").alias("sig_b")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriscope.llm.nearsets import similar_classes, stage_sets
+from veriscope.llm.nearsets import Corpus, similar_classes
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str = "sample_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -15,9 +15,9 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "sample_id", text_col: str
     Null texts and texts without a word are in no pair, a repeated id pairs with others but not with itself, an empty
     input gives an empty result, and extra columns are ignored.
     """
-    sets = stage_sets(df, id_col, text_col, shingle)
-    members = sets.select("id", "sig").distinct()
-    links = similar_classes(sets, similarity)
+    corpus = Corpus(df, id_col, text_col, shingle)
+    every = corpus.members()
+    links, members = similar_classes(corpus, every, similarity), every.select("id", "sig").distinct()
     several = members.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
     same = members.join(several, "sig", "left_semi")
     a, b = F.col("a"), F.col("b")

@@ -1,15 +1,17 @@
 """Exact similarity self-join of word-shingle sets (problems 4 and 6).
 
-Texts become sets of 32-bit shingle hashes, staged once. Equal sets form one class, known by a 64-bit signature, and
-only classes take part in what follows, so copies never multiply work. Candidates come from tiles: every class posts
-the rarest shingles of its set (for similarity t a set of n shingles posts n - ceil(t n) + 1, and two similar sets
-must meet in one of them), so a tile holds the classes that share one rare shingle, in order of size. Inside a tile
-only sizes in the ratio t are compared; the places of the shared shingle and the bits of a hashed bitmap bound the
-overlap from above; what is left is settled by an exact intersection of the sorted arrays. Nothing is sampled, capped
-or dropped: every bound is safe.
-
-Postings travel packed: a task sends each bucket of tiles one blob of numpy arrays. Rarity is ordered by a count
-sketch of fixed size (2**SKETCH_BITS counters) over all texts; any order is exact, a better one is only faster.
+Texts become sets of 32-bit shingle hashes. Equal sets form one class, known by a 64-bit signature, and only classes
+take part in what follows, so copies never multiply work. Candidates come from tiles: every class posts the rarest
+shingles of its set (for similarity t a set of n shingles posts n - ceil(t n) + 1, and two similar sets must meet in one
+of them), so a tile holds the classes that share one rare shingle, in order of size. Inside a tile only sizes in the
+ratio t are compared; the places of the shared shingle and the bits of hashed bitmaps bound the overlap from above; what
+is left is settled by an exact intersection of the sorted arrays. Nothing is sampled, capped or dropped: every bound is
+safe.
+
+Sets are cheap to make (a few microseconds a text) and large to keep, so they are made anew from the texts in each of the
+passes, and only signatures are written down. Postings travel packed: a task sends each bucket of tiles one blob of numpy
+arrays. Rarity is ordered by a count sketch of fixed size (2**SKETCH_BITS counters) over all texts; any order is exact, a
+better one is only faster.
 """
 
 from __future__ import annotations
@@ -23,68 +25,96 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriscope.llm.shingles import shingle_sets
+from veriscope.llm.shingles import chunks, shingle_sets
 from veriscope.llm.textforms import canonical
 from veriscope.session import staged
 
 SKETCH_BITS = 18
 SKETCH_BLOCK = 1 << 14
-#: Postings that one bucket of tiles should hold; the number of buckets follows from the data.
-BUCKET_POSTINGS = 2_000_000
-#: Candidate classes up to this number are broadcast (16 MB at most); more are joined by shuffling.
-BROADCAST_CLASSES = 500_000
-#: Pairs compared at once within a tile bucket, which bounds memory whatever the size of a tile.
+#: Postings that one bucket of tiles should hold at most on average, and a task before it sends them.
+BUCKET_POSTINGS, TASK_POSTINGS = 2_000_000, 4_000_000
+#: Candidate texts up to this number are broadcast (16 MB at most); more are joined by shuffling.
+BROADCAST_TEXTS = 500_000
+#: Pairs compared at once within a bucket, which bounds memory whatever the size of a tile.
 PAIRS_AT_ONCE = 1 << 21
-#: Sets larger than this also carry a bitmap of four words, as two words would be nearly full.
+#: Larger sets have a bitmap of four words, smaller ones of two; a larger one is folded to meet a smaller one.
 WIDE_FROM = 96
 
 
-def stage_sets(df: DataFrame, id_col: str, text_col: str, k: int, mask_col: str | None = None) -> DataFrame:
-    """(id, sig, mask, n, sh): texts in the consistent lower-case form as sets; texts without a word are left out."""
-    kind = df.schema[id_col].dataType.simpleString()
+class Sets:
+    """The sets of some texts: ids, signatures, masks and one array of all sets, which start at ``at``."""
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for lo in range(0, len(b), 2000):
-                part = b.iloc[lo : lo + 2000]
-                texts = [canonical(t).lower() for t in part["t"]]
-                sets, at = shingle_sets(texts, k)
-                raw = sets.tobytes()
-                sh = [raw[4 * x : 4 * y] for x, y in zip(at[:-1], at[1:], strict=True)]
-                sig = [xxhash.xxh3_64_intdigest(s or t.encode("utf-8", "surrogatepass"), seed=bool(s)) for s, t in zip(sh, texts, strict=True)]
-                yield pd.DataFrame({"id": part["id"].values, "sig": np.array(sig, np.uint64).view(np.int64), "mask": part["mask"].values, "n": np.diff(at).astype(np.int32), "sh": sh})
+    def __init__(self, batch: pd.DataFrame, k: int):
+        texts = [canonical(t).lower() for t in batch["t"]]
+        made = [shingle_sets(texts[lo:hi], k) for lo, hi in chunks([len(t) for t in texts])]
+        self.sets = np.concatenate([np.empty(0, np.uint32), *(x for x, _ in made)])
+        self.n = np.concatenate([np.empty(0, np.int64), *(np.diff(y) for _, y in made)])
+        self.at = np.concatenate([[0], np.cumsum(self.n)])
+        raw = memoryview(self.sets).cast("B") if len(self.sets) else b""
+        cut = (4 * self.at).tolist()
+        # a text shorter than a shingle is its own set, known by its words and marks
+        self.sig = np.array([xxhash.xxh3_64_intdigest(raw[x:y], seed=1) if y > x else xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for x, y, t in zip(cut[:-1], cut[1:], texts, strict=True)], np.uint64).view(np.int64)
+        self.id, self.mask = batch["id"].values, batch["mask"].values
 
-    mask = F.col(mask_col).cast("int") if mask_col else F.lit(0)
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), mask.alias("mask")).where(F.col("t").rlike(r"[\p{L}\p{N}]"))
-    return staged(rows.mapInPandas(build, f"id {kind}, sig bigint, mask int, n int, sh binary"), "sets")
+    def of(self, i: int) -> bytes:
+        return self.sets[self.at[i] : self.at[i + 1]].tobytes()
 
 
-def _sketch(sets: DataFrame) -> np.ndarray:
-    """How many texts hold each of 2**SKETCH_BITS groups of shingles: fixed size at any size of the input."""
+class Corpus:
+    """The texts of a table that have a word, as (id, t, mask), and how many words make a shingle."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for b in batches:
-            total += np.bincount(np.frombuffer(b"".join(b["sh"]), np.uint32) >> np.uint32(32 - SKETCH_BITS), minlength=1 << SKETCH_BITS)
-        for lo in range(0, len(total), SKETCH_BLOCK):
-            yield pd.DataFrame({"block": [lo], "c": [total[lo : lo + SKETCH_BLOCK].astype(np.uint32).tobytes()]})
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, k: int, mask_col: str | None = None):
+        self.kind, self.k = df.schema[id_col].dataType.simpleString(), k
+        mask = F.col(mask_col).cast("int") if mask_col else F.lit(0)
+        self.rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), mask.alias("mask")).where(F.col("t").rlike(r"[\p{L}\p{N}]"))
+
+    def members(self) -> DataFrame:
+        """(id, sig, mask, n) of every text, written down."""
+        k = self.k
+
+        def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                s = Sets(b, k)
+                yield pd.DataFrame({"id": s.id, "sig": s.sig, "mask": s.mask, "n": s.n})
+
+        return staged(self.rows.mapInPandas(build, f"id {self.kind}, sig bigint, mask int, n bigint"), "members")
 
-    def add(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, np.uint32).astype(np.int64) for c in batch["c"])
-        return pd.DataFrame({"block": [key[0]], "c": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+    def sketch(self) -> np.ndarray:
+        """How many texts hold each of 2**SKETCH_BITS groups of shingles: fixed size at any size of the input."""
+        k = self.k
 
-    rows = sets.select("sh").mapInPandas(count, "block int, c binary").groupBy("block").applyInPandas(add, "block int, c binary").collect()
-    return np.concatenate([np.frombuffer(r.c, np.uint32) for r in sorted(rows, key=lambda r: r.block)])
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(1 << SKETCH_BITS, np.int64)
+            for b in batches:
+                total += np.bincount(Sets(b, k).sets >> np.uint32(32 - SKETCH_BITS), minlength=1 << SKETCH_BITS)
+            for lo in range(0, len(total), SKETCH_BLOCK):
+                yield pd.DataFrame({"block": [lo], "c": [total[lo : lo + SKETCH_BLOCK].astype(np.uint32).tobytes()]})
 
+        def add(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
+            total = sum(np.frombuffer(c, np.uint32).astype(np.int64) for c in batch["c"])
+            return pd.DataFrame({"block": [key[0]], "c": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
-def _bitmaps(sets: np.ndarray, doc: np.ndarray, n: int, width: int, parity: bool) -> np.ndarray:
-    """Row per set: ``width`` words whose bits its shingles set, or with ``parity`` flip."""
-    bit = (sets * np.uint32(0x9E3779B1)) >> np.uint32(32 - (64 * width).bit_length() + 1)
-    out = np.zeros((n, width), np.uint64)
-    (np.bitwise_xor if parity else np.bitwise_or).at(out.reshape(-1), doc * width + (bit >> np.uint32(6)).astype(np.int64), np.uint64(1) << (bit & np.uint32(63)).astype(np.uint64))
+        rows = self.rows.mapInPandas(count, "block int, c binary").groupBy("block").applyInPandas(add, "block int, c binary").collect()
+        return np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(r.c, np.uint32) for r in sorted(rows, key=lambda r: r.block))])
+
+
+def _bitmaps(sets: np.ndarray, doc: np.ndarray, n: int, parity: bool) -> np.ndarray:
+    """Row per set: 256 bits that its shingles set, or with ``parity`` flip."""
+    bit = (sets * np.uint32(0x9E3779B1)) >> np.uint32(24)
+    out = np.zeros((n, 4), np.uint64)
+    (np.bitwise_xor if parity else np.bitwise_or).at(out.reshape(-1), doc * 4 + (bit >> np.uint32(6)).astype(np.int64), np.uint64(1) << (bit & np.uint32(63)).astype(np.uint64))
     return out
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """Bytes of small numbers by place, so that the zeros lie together and compress."""
+    return a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplanes(blobs: pd.Series) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.uint32), *(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1) for x in blobs)])
+
+
 class Tiles:
     """The similarity bounds for one threshold; cross: only pairs with masks 1 and 2 on different sides."""
 
@@ -109,48 +139,47 @@ class Tiles:
             return bits(x ^ y) <= n + m - 2 * need
         return np.minimum(n - bits(x & ~y), m - bits(y & ~x)) >= need
 
-    def post(self, b: pd.DataFrame, sketch: np.ndarray, buckets: int) -> pd.DataFrame:
-        """One blob per bucket for the sets of a batch."""
-        key = b["sig"].astype(str).values + b["mask"].astype(str).values if self.cross else b["sig"].values
-        _, first = np.unique(key, return_index=True)
-        b = b.iloc[np.sort(first)]
-        n = b["n"].values.astype(np.int64)
-        sets = np.frombuffer(b"".join(b["sh"]), np.uint32)
+    def fold(self, wide: np.ndarray) -> np.ndarray:
+        return wide[:, :2] ^ wide[:, 2:] if self.cross else wide[:, :2] | wide[:, 2:]
+
+    SCHEMA = "q int, sig binary, n binary, mask binary, narrow binary, wide binary, count binary, h binary, p binary"
+
+    def post(self, s: Sets, sketch: np.ndarray, buckets: int) -> Iterator[pd.DataFrame]:
+        """One blob per bucket for some texts; copies among them post once."""
+        _, first = np.unique(np.stack([s.sig, s.mask]), axis=1, return_index=True)
+        keep = np.zeros(len(s.n), bool)
+        keep[first] = True
+        n, sig, mask = s.n[keep], s.sig[keep], s.mask[keep].astype(np.uint8)
+        sets = s.sets[np.repeat(keep, s.n)]
         doc = np.repeat(np.arange(len(n)), n)
-        start = np.concatenate([[0], np.cumsum(n)])[:-1]
         weight = sketch[sets >> np.uint32(32 - SKETCH_BITS)].astype(np.uint64)
-        # order within each text by (count, hash): one sort of 64 bits, texts kept apart by a stable second one
+        # within each text by (count, hash): one sort of 64 bits, then a stable one that brings the texts together again
         by = np.argsort((weight << np.uint64(32)) | sets)
-        by = by[np.argsort(doc[by], kind="stable")]
-        place = np.arange(len(sets)) - np.repeat(start, n)
-        keep = place < np.repeat(self.prefix(n), n)
-        h, d, p = sets[by][keep], doc[keep], place[keep]
-        maps, wide = _bitmaps(sets, doc, len(n), 2, self.cross), _bitmaps(sets, doc, len(n), 4, self.cross)
+        by = by[np.argsort(doc[by].astype(np.uint32), kind="stable")]
+        place = np.arange(len(sets)) - np.repeat(np.cumsum(n) - n, n)
+        posted = place < np.repeat(self.prefix(n), n)
+        h, d, p = sets[by][posted], doc[posted], place[posted]
+        wide, big = _bitmaps(sets, doc, len(n), self.cross), n > WIDE_FROM
+        narrow = self.fold(wide)
         bucket = (h % np.uint32(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        h, d, p, bucket = h[order], d[order], p[order], bucket[order]
-        cut = np.searchsorted(bucket, np.arange(buckets + 1))
-        sig, mask = b["sig"].values, b["mask"].values.astype(np.uint8)
-        rows = []
-        for q in range(buckets):
+        h, d, p = h[order], d[order], p[order]
+        cut = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+        for q in np.flatnonzero(np.diff(cut)):
             lo, hi = cut[q], cut[q + 1]
-            if lo == hi:
-                continue
-            docs, where = np.unique(d[lo:hi], return_inverse=True)
-            count = np.bincount(where)
-            big = docs[n[docs] > WIDE_FROM]
-            rows.append((q, len(docs), sig[docs].tobytes(), n[docs].astype(np.uint32).tobytes(), mask[docs].tobytes(), maps[docs].tobytes(), wide[big].tobytes(), count.astype(np.uint32).tobytes(), h[lo:hi].tobytes(), np.minimum(p[lo:hi], 65535).astype(np.uint16).tobytes()))
-        return pd.DataFrame(rows, columns=["q", "docs", "sig", "n", "mask", "maps", "wide", "count", "h", "p"])
-
-    SCHEMA = "q int, docs int, sig binary, n binary, mask binary, maps binary, wide binary, count binary, h binary, p binary"
+            docs, count = np.unique(d[lo:hi], return_counts=True)
+            large = big[docs]
+            yield pd.DataFrame([(q, sig[docs].tobytes(), _planes(n[docs]), mask[docs].tobytes(), narrow[docs[~large]].tobytes(), wide[docs[large]].tobytes(), _planes(count), h[lo:hi].tobytes(), np.minimum(p[lo:hi], 255).astype(np.uint8).tobytes())], columns=["q", "sig", "n", "mask", "narrow", "wide", "count", "h", "p"])
 
     def meet(self, b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of signatures of one bucket that the bounds leave."""
         cat = lambda c, t: np.frombuffer(b"".join(b[c]), t)
-        sig, n, mask, count = cat("sig", np.int64), cat("n", np.uint32).astype(np.int64), cat("mask", np.uint8), cat("count", np.uint32)
-        maps, big = cat("maps", np.uint64).reshape(-1, 2), n > WIDE_FROM
+        sig, n, mask, count = cat("sig", np.int64), _unplanes(b["n"]).astype(np.int64), cat("mask", np.uint8), _unplanes(b["count"])
+        big = n > WIDE_FROM
         wide, at_wide = cat("wide", np.uint64).reshape(-1, 4), np.cumsum(big) - 1
-        h, p, d = cat("h", np.uint32), cat("p", np.uint16).astype(np.int64), np.repeat(np.arange(len(sig)), count)
+        maps = np.empty((len(n), 2), np.uint64)
+        maps[~big], maps[big] = cat("narrow", np.uint64).reshape(-1, 2), self.fold(wide)
+        h, p, d = cat("h", np.uint32), cat("p", np.uint8).astype(np.int64), np.repeat(np.arange(len(sig)), count)
         # one posting per tile and class: copies in other tasks only add their sides
         order = np.lexsort((sig[d], n[d], h))
         h, p, d = h[order], p[order], d[order]
@@ -204,48 +233,54 @@ class Tiles:
                 yield np.minimum(sig[a], sig[c]), np.maximum(sig[a], sig[c])
 
 
-def similar_classes(sets: DataFrame, similarity: float, cross: bool = False) -> DataFrame:
+def similar_classes(corpus: Corpus, members: DataFrame, similarity: float, cross: bool = False) -> DataFrame:
     """Pairs of different classes (sig_a < sig_b) with their exact similarity of at least ``similarity``."""
     t = Fraction(similarity).limit_denominator(10_000)
-    tiles, sketch = Tiles(t, cross), _sketch(sets)
-    spark = sets.sparkSession
-    postings = sets.agg(F.sum("n")).first()[0] or 0
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(1, min(parts, -(-postings // 1_000_000)), -(-postings // BUCKET_POSTINGS))
+    num, den, k = t.numerator, t.denominator, corpus.k
+    tiles, sketch = Tiles(t, cross), corpus.sketch()
+    spark = members.sparkSession
+    postings = members.agg(F.sum(F.col("n") - F.ceil(F.col("n") * float(t)) + 1)).first()[0] or 0
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-postings // BUCKET_POSTINGS))
     shared = spark.sparkContext.broadcast(sketch)
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, rows = [], 0
+        held, chars = [], 0
         for b in batches:
             held.append(b)
-            rows += len(b)
-            if rows >= 20_000:
-                yield tiles.post(pd.concat(held), shared.value, buckets)
-                held, rows = [], 0
+            chars += int(b["t"].str.len().sum())
+            if chars >= 8 * TASK_POSTINGS:
+                yield from tiles.post(Sets(pd.concat(held), k), shared.value, buckets)
+                held, chars = [], 0
         if held:
-            yield tiles.post(pd.concat(held), shared.value, buckets)
+            yield from tiles.post(Sets(pd.concat(held), k), shared.value, buckets)
 
     def meet(b: pd.DataFrame) -> pd.DataFrame:
         found = [np.unique(np.stack(x, 1), axis=0) for x in tiles.meet(b)]
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         return pd.DataFrame({"sig_a": pairs[:, 0], "sig_b": pairs[:, 1]})
 
-    blobs = sets.where("n > 0").select("sig", "mask", "n", "sh").mapInPandas(post, Tiles.SCHEMA)
+    blobs = corpus.rows.mapInPandas(post, Tiles.SCHEMA)
     candidates = staged(blobs.groupBy("q").applyInPandas(meet, "sig_a bigint, sig_b bigint").distinct(), "candidates")
 
     met = candidates.select(F.explode(F.array("sig_a", "sig_b")).alias("sig")).distinct()
-    if met.count() <= BROADCAST_CLASSES:
-        met = F.broadcast(met)
-    arrays = sets.where("n > 0").join(met, "sig", "left_semi").groupBy("sig").agg(F.first("sh").alias("sh"))
-    a, b = arrays.select(F.col("sig").alias("sig_a"), F.col("sh").alias("a")), arrays.select(F.col("sig").alias("sig_b"), F.col("sh").alias("b"))
-    num, den = t.numerator, t.denominator
+    speakers = members.join(met, "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id")).select("id").distinct()
+    if speakers.count() <= BROADCAST_TEXTS:
+        speakers = F.broadcast(speakers)
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            s = Sets(b, k)
+            yield pd.DataFrame({"sig": s.sig, "sh": [s.of(i) for i in range(len(s.n))]})
+
+    # an id may stand for several texts, and a text for several ids: one set per signature is kept
+    sets = corpus.rows.join(speakers, "id", "left_semi").mapInPandas(again, "sig bigint, sh binary").groupBy("sig").agg(F.first("sh").alias("sh"))
+    a, b = sets.select(F.col("sig").alias("sig_a"), F.col("sh").alias("a")), sets.select(F.col("sig").alias("sig_b"), F.col("sh").alias("b"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             inter, union = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
             for i, (p, q) in enumerate(zip(x["a"], x["b"], strict=True)):
-                u, v = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
-                w = np.concatenate([u, v])
+                w = np.frombuffer(p + q, np.uint32).copy()
                 w.sort()
                 inter[i] = np.count_nonzero(w[1:] == w[:-1])
                 union[i] = len(w) - inter[i]

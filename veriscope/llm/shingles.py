@@ -1,31 +1,21 @@
-"""Word-shingle sets of whole Arrow batches, computed with numpy on one concatenated string per batch."""
+"""Words and word shingles of whole Arrow batches as hashes, computed with numpy on the code points.
+
+A word is a longest run of letters and digits. Its hash is a polynomial in its code points (each first spread over 64
+bits), taken for all words of a batch at once from one running sum.
+"""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
-import xxhash
-
-_RUN = re.compile(r"[^\W_]+|\0")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-class _Hashes(dict):
-    """Word to 63-bit hash, kept while it is small: the same words come again and again."""
 
-    LIMIT = 400_000
+#: Characters handled at once; it only bounds memory.
+CHARS_AT_ONCE = 1_000_000
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word) & 0x7FFFFFFFFFFFFFFF
-        return h
-
-
-HASHES = _Hashes()
-HASHES["\0"] = 0  # ends a text
+_BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
+_A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -36,14 +26,65 @@ def mixed(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (longest runs of letters and digits) of the texts, and where each text starts (n + 1)."""
-    HASHES["\0"] = 0
-    found = _RUN.findall("\0".join(t.replace("\0", " ") if "\0" in t else t for t in texts) + "\0") if texts else []
-    h = np.fromiter(map(HASHES.__getitem__, found), np.int64, len(found)).astype(np.uint64)
-    ends = np.flatnonzero(h == 0)
-    n = len(ends)
-    return np.delete(h, ends), np.concatenate([[0], ends - np.arange(n)]).astype(np.int64)
+@cache
+def _alnum() -> np.ndarray:
+    return np.fromiter((chr(o).isalnum() for o in range(0x110000)), bool, 0x110000)
+
+
+@cache
+def _spread() -> np.ndarray:
+    return mixed(np.arange(1, 0x110001, dtype=np.uint64))
+
+
+_powers: list[np.ndarray] = []
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    if not _powers or len(_powers[0]) < n:
+        size = 1 << max(16, n.bit_length())
+        made = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            made.append(np.cumprod(steps, dtype=np.uint64))
+        _powers[:] = made
+    return _powers[0][:n], _powers[1][:n]
+
+
+def chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that hold about ``CHARS_AT_ONCE`` characters each."""
+    lo = total = 0
+    for i, s in enumerate(sizes):
+        if total and total + s > CHARS_AT_ONCE:
+            yield lo, i
+            lo, total = i, 0
+        total += s
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
+def words(texts: list[str], fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, and where each text starts (n + 1).
+
+    ``fold``: a table that maps each code point to the one it is compared as.
+    """
+    if not texts:
+        return np.empty(0, np.uint64), np.zeros(1, np.int64)
+    cp = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+    if fold is not None:
+        cp = fold[cp]
+    inside = _alnum()[cp]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edge = np.concatenate([[0], edge])
+    first, past = edge[0::2], edge[1::2]  # the last character is a separator, so every word has an end
+    power, inverse = _power(len(cp))
+    with np.errstate(over="ignore"):
+        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_spread()[cp] * power, dtype=np.uint64)])
+        h = mixed((running[past] - running[first]) * inverse[first])
+    return h, np.concatenate([[0], np.searchsorted(first, ends)])
 
 
 def grams(h: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +96,7 @@ def grams(h: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     with np.errstate(over="ignore"):
         g = h[: len(h) - k + 1].copy()
         for j in range(1, k):
-            g = g * _MIX + h[j : len(h) - k + 1 + j]
+            g = g * np.uint64(_BASE) + h[j : len(h) - k + 1 + j]
             g ^= g >> np.uint64(29)
     at = np.arange(out[-1]) + np.repeat(starts[:-1] - out[:-1], sizes)
     return mixed(g[at]), out

@@ -23,7 +23,7 @@ from pyspark.sql.types import StringType
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝѵӏ", "ABESIJKMHOPCTYXaesijopcyxhdqwvl", strict=True))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹονϲϳ", "ABEZHIKMNOPTYXCovcj", strict=True))
 ARMENIAN = dict(zip("օսհոՕՍ", "ouhnOU", strict=True))
-LATIN_VARIANTS = {"ɡ": "g", "ɑ": "a", "Ð": "Đ", "Ɖ": "Đ", "ı̇": "i"}
+LATIN_VARIANTS = {"ɡ": "g", "ɑ": "a", "Ð": "Đ", "Ɖ": "Đ"}
 # Hyphens of one position, and characters that show nothing.
 HYPHENS = "‐‑﹣－"
 INVISIBLE_EXTRA = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎᠏ㅤﾠ"
@@ -51,7 +51,7 @@ def _plain(c: str) -> str | None:
 
 
 PLAIN = {o: p for o in range(0x80, sys.maxunicode + 1) if (p := _plain(chr(o))) is not None}
-PROTOTYPE = {ord(a): b for m in (CYRILLIC, GREEK, ARMENIAN, {k: v for k, v in LATIN_VARIANTS.items() if len(k) == 1}) for a, b in m.items()}
+PROTOTYPE = {ord(a): b for m in (CYRILLIC, GREEK, ARMENIAN, LATIN_VARIANTS) for a, b in m.items()}
 #: Latin letter -> the scripts that have a letter of its looks.
 RESOLVED = {b: {s for s, m in SCRIPTS.items() if b in m.values()} for m in SCRIPTS.values() for b in m.values()}
 SPELLING = {s: {b: a for a, b in reversed(m.items())} for s, m in SCRIPTS.items()}
@@ -78,9 +78,21 @@ def _ranges(codes: list[int]) -> str:
 
 
 #: Finds a character that may have to change; most texts have none and are returned as they are.
-ACTIVE = re.compile("[^" + _ranges([o for o in range(0x2600) if _inert(chr(o))]) + "]")
+ACTIVE = re.compile("[^" + _ranges([o for o in range(0x2600) if _inert(chr(o)) and o != 0x0D]) + "]")
 _TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
 _FOREIGN = re.compile("[Ͱ-ԯԱ-֏]")
+_FOREIGN_OR_VARIANT = re.compile("[Ͱ-ԯԱ-֏" + "".join(LATIN_VARIANTS) + "]")
+_PLAIN = re.compile("\r\n|[" + _ranges(sorted(PLAIN)) + "]")
+_PROTOTYPE = re.compile("[" + "".join(map(chr, PROTOTYPE)) + "]")
+
+
+def _plain_of(match: re.Match) -> str:
+    return "\n" if match[0] == "\r\n" else PLAIN[ord(match[0])]
+
+
+def _prototype_of(match: re.Match) -> str:
+    return PROTOTYPE[ord(match[0])]
+
 
 
 def _spell(match: re.Match) -> str:
@@ -104,7 +116,10 @@ def canonical(text: str | None) -> str | None:
     """
     if text is None or not ACTIVE.search(text):
         return text
-    t = unicodedata.normalize("NFD", text.replace("\r\n", "\n").translate(PLAIN)).translate(PROTOTYPE)
+    t = _PLAIN.sub(_plain_of, text)
+    if not _FOREIGN_OR_VARIANT.search(t):
+        return unicodedata.normalize("NFC", t)
+    t = _PROTOTYPE.sub(_prototype_of, unicodedata.normalize("NFD", t))
     if _FOREIGN.search(t):
         t = _TOKEN.sub(_spell, t)
     return unicodedata.normalize("NFC", t)
