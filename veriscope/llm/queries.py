@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriscope.llm import crossplit, encoding, groupsplit, neardup, textforms
+from veriscope.llm import bpe, chunking, contamination, crossplit, encoding, groupsplit, neardup, readability, textforms
 from veriscope.session import table
 
 #: TESTDATA.md fixes three words and a similarity of 0.6 for problems 4 and 6.
@@ -51,8 +51,36 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return crossplit.overlap_report(table(spark, d, "mini_samples"), p4_found(spark, d))
 
 
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.split_texts(table(spark, d, "kb_chunks"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_pieces(spark, d).where("pieces > 1 and piece = 0").select("chunk_id")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_pairs(table(spark, d, "mini_samples"), **NEAR)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_restored, p3_found, p3_splits, p3_companies, p4_found, p4_report, p6_found)}
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicate_groups(table(spark, d, "mini_samples"), **NEAR)
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode_texts(table(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    return readability.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_restored, p3_found, p3_splits, p3_companies, p4_found, p4_report, p5_found, p5_pieces, p6_found, p6_groups, p7_ids, p8_found, p8_leaks, p9_levels)}

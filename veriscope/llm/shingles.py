@@ -64,26 +64,33 @@ def chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
-def words(texts: list[str], fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, and where each text starts (n + 1).
+def spans(texts: list[str], fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, where each word starts, where it has ended, its hash, where each text has ended).
 
-    ``fold``: a table that maps each code point to the one it is compared as.
+    The texts lie in one array with a zero after each. ``fold``: a table that maps each code point to the one it is
+    compared as.
     """
-    if not texts:
-        return np.empty(0, np.uint64), np.zeros(1, np.int64)
     cp = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
     if fold is not None:
         cp = fold[cp]
     inside = _alnum()[cp]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    if inside[0]:
+    if len(inside) and inside[0]:
         edge = np.concatenate([[0], edge])
     first, past = edge[0::2], edge[1::2]  # the last character is a separator, so every word has an end
     power, inverse = _power(len(cp))
     with np.errstate(over="ignore"):
         running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_spread()[cp] * power, dtype=np.uint64)])
         h = mixed((running[past] - running[first]) * inverse[first])
+    return cp, first, past, h, ends
+
+
+def words(texts: list[str], fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, and where each text starts (n + 1)."""
+    if not texts:
+        return np.empty(0, np.uint64), np.zeros(1, np.int64)
+    _, first, _, h, ends = spans(texts, fold)
     return h, np.concatenate([[0], np.searchsorted(first, ends)])
 
 
