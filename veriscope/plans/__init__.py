@@ -1,10 +1,6 @@
 """Queries of the engine's operators over the test tables, and the SQL that checks them."""
 
-from __future__ import annotations
+from veriscope.plans.queries import QUERIES
+from veriscope.plans.sql import SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
