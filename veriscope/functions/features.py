@@ -39,7 +39,7 @@ def with_metadata_features(df: DataFrame, text_col: str = "text", rules: Sequenc
     """Adds the twenty features; a null text counts as empty. Shared steps are columns of their own, computed once."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     base = df.withColumn("_t", t).withColumn("_terms", tx.terms(F.col("_t"))).withColumn("_fold", tx.fold(F.col("_t"))).withColumn("_low", F.lower("_t"))
-    base = base.withColumn("_ws", tx.ws_tokens(F.col("_low"))).withColumn("_numbers", F.regexp_extract_all("_t", F.lit(r"(?<![\p{L}\p{N}_])(\p{Nd}+)(?![\p{L}\p{N}_])"), F.lit(1)))
+    base = base.withColumn("_flags", rl.red_flags(F.col("_fold"), rules)).withColumn("_ws", tx.ws_tokens(F.col("_low"))).withColumn("_numbers", F.regexp_extract_all("_t", F.lit(r"(?<![\p{L}\p{N}_])(\p{Nd}+)(?![\p{L}\p{N}_])"), F.lit(1)))
     x, low, fold, terms, ws, nums = (F.col(c) for c in ("_t", "_low", "_fold", "_terms", "_ws", "_numbers"))
     stripped, n_ws = F.length(tx.strip(x)), F.greatest(F.size(ws), F.lit(1))
     flag = lambda phrases: rl.has_any(fold, phrases).cast("double")
@@ -51,8 +51,8 @@ def with_metadata_features(df: DataFrame, text_col: str = "text", rules: Sequenc
         "digit_ratio": tx.matching(x, r"\p{Nd}") / F.greatest(stripped, F.lit(1)),
         "uppercase_ratio": tx.matching(x, r"\p{Lu}") / F.greatest(tx.matching(x, r"\p{L}"), F.lit(1)),
         "newline_density": tx.count_of(x, "\n") / F.greatest(stripped, F.lit(1)),
-        "red_flag_count": F.size(rl.red_flags(fold, rules)).cast("double"),
-        "suspicious_segment_count": F.size(rl.suspicious_segments(x, rules)).cast("double"),
+        "red_flag_count": F.size("_flags").cast("double"),
+        "suspicious_segment_count": F.size(rl.suspicious_segments(x, rules, F.col("_flags"))).cast("double"),
         "english_keyword_ratio": _share(ws, lx.ENGLISH_KEYWORDS, ".,:;!?", n_ws),
         "has_related_party": flag(lx.RELATED_PARTY),
         "has_invoice_risk": flag(lx.INVOICE_RISK),

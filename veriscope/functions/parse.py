@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -37,7 +38,7 @@ def field(t: Column, patterns: Sequence[str]) -> Column:
     tries = []
     for p in patterns:
         java = "(?iumd)" + p.replace(r"\s", tx.WS) if r"[\s" not in p else "(?iumd)" + p.replace(r"[\s", "[" + tx.WS[1:-1]).replace(r"[A-Z\s", "[A-Z" + tx.WS[1:-1]).replace(r"\s", tx.WS)
-        groups = p.count("(") - p.count("(?") - p.count(r"\(")
+        groups = re.compile(p).groups
         caught = F.array(*(F.nullif(F.regexp_extract(t, java, g + 1), F.lit("")) for g in range(groups)))
         tries.append(F.nullif(tx.strip(F.array_join(caught, " ")), F.lit("")))
     return F.coalesce(*tries)

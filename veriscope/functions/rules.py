@@ -67,10 +67,16 @@ def red_flags(folded: Column, rules: Sequence[Rule] = DEFAULT_RULES) -> Column:
     return F.filter(F.array(*made), lambda x: x.isNotNull())
 
 
-def suspicious_segments(t: Column, rules: Sequence[Rule] = DEFAULT_RULES) -> Column:
-    """Segments with flags: array of (snippet of 300 characters, flags)."""
+def suspicious_segments(t: Column, rules: Sequence[Rule] = DEFAULT_RULES, flags: Column | None = None) -> Column:
+    """Segments with flags: array of (snippet of 300 characters, flags).
+
+    ``flags``: the flags of the whole text, if known. A segment's folded text lies within the text's, so a text without
+    flags has no such segment and its segments aren't looked at.
+    """
     made = F.transform(tx.segments(t), lambda s: F.struct(F.left(s, F.lit(300)).alias("snippet"), F.array_join(red_flags(tx.fold(s), rules), ", ").alias("flags")))
-    return F.filter(made, lambda x: x["flags"] != "")
+    found = F.filter(made, lambda x: x["flags"] != "")
+    whole = red_flags(tx.fold(t), rules) if flags is None else flags
+    return F.when(F.size(whole) > 0, found).otherwise(F.array().cast("array<struct<snippet:string,flags:string>>"))
 
 
 def risk_band(score: Column) -> Column:

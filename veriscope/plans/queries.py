@@ -39,82 +39,83 @@ def rounded(df: DataFrame, *keys: str, places: int = 6) -> DataFrame:
     return df.select(*(F.round(c, places).alias(c) if t == "double" and c not in keys else F.col(c) for c, t in df.dtypes))
 
 
-T: Column = F.col("text")
+def T() -> Column:  # noqa: N802
+    return F.col("text")
 
 
 @query
 def risk_bands(s, d):
-    f = docs(s, d).select(F.lower(F.coalesce("lang", F.lit("unknown"))).alias("lang"), rl.red_flags(tx.fold(T)).alias("f"))
+    f = docs(s, d).select(F.lower(F.coalesce("lang", F.lit("unknown"))).alias("lang"), rl.red_flags(tx.fold(T())).alias("f"))
     x = f.select("lang", rl.risk_band(rl.boosted(F.lit(0.4), F.col("f"))).alias("band"), F.size("f").alias("n"))
     return x.groupBy("lang", "band").agg(F.count("*").alias("documents"), F.sum("n").alias("flags"))
 
 
 @query
 def text_tokens(s, d):
-    return docs(s, d).select("doc_id", F.size(tx.word_tokens(T)).alias("tokens"), F.size(tx.kept_tokens(tx.word_tokens(T))).alias("kept"), F.size(tx.ws_tokens(T)).alias("ws"))
+    return docs(s, d).select("doc_id", F.size(tx.word_tokens(T())).alias("tokens"), F.size(tx.kept_tokens(tx.word_tokens(T()))).alias("kept"), F.size(tx.ws_tokens(T())).alias("ws"))
 
 
 @query
 def text_fold(s, d):
-    return docs(s, d).select("doc_id", F.md5(tx.fold(T)).alias("folded"), F.md5(tx.collapse(T)).alias("collapsed"))
+    return docs(s, d).select("doc_id", F.md5(tx.fold(T())).alias("folded"), F.md5(tx.collapse(T())).alias("collapsed"))
 
 
 @query
 def text_clean(s, d):
-    return docs(s, d).select("doc_id", F.md5(tx.clean(T)).alias("cleaned"))
+    return docs(s, d).select("doc_id", F.md5(tx.clean(T())).alias("cleaned"))
 
 
 @query
 def text_terms(s, d):
-    return docs(s, d).select("doc_id", F.md5(F.array_join(tx.terms(T), " ")).alias("terms"))
+    return docs(s, d).select("doc_id", F.md5(F.array_join(tx.terms(T()), " ")).alias("terms"))
 
 
 @query
 def text_quality(s, d):
-    return docs(s, d).withColumn("k", tx.terms(T)).select("doc_id", F.round(tx.quality(T, F.col("k")), 6).alias("quality"))
+    return docs(s, d).withColumn("k", tx.terms(T())).select("doc_id", F.round(tx.quality(T(), F.col("k")), 6).alias("quality"))
 
 
 @query
 def text_english(s, d):
-    return docs(s, d).select("doc_id", tx.is_english(T).alias("english"))
+    return docs(s, d).select("doc_id", tx.is_english(T()).alias("english"))
 
 
 @query
 def text_segments(s, d):
-    x = docs(s, d).select("doc_id", tx.segments(T).alias("s"))
+    x = docs(s, d).select("doc_id", tx.segments(T()).alias("s"))
     return x.select("doc_id", F.size("s").alias("segments"), F.md5(F.array_join("s", "|")).alias("content"))
 
 
 @query
 def text_windows(s, d):
-    x = docs(s, d).select("doc_id", tx.windows(T).alias("w")).where(F.size("w") > 0)
+    x = docs(s, d).select("doc_id", tx.windows(T()).alias("w")).where(F.size("w") > 0)
     return x.select("doc_id", F.size("w").cast("long").alias("windows"), F.aggregate("w", F.lit(0), lambda a, c: a + F.length(c)).cast("long").alias("chars"), F.md5(F.array_join("w", "|")).alias("content"))
 
 
 @query
 def text_numbers(s, d):
-    x = docs(s, d).select("doc_id", tx.numbers(T).alias("n"))
+    x = docs(s, d).select("doc_id", tx.numbers(T()).alias("n"))
     return x.select("doc_id", F.size("n").alias("numbers"), F.coalesce(F.array_max("n"), F.lit(0.0)).alias("largest"))
 
 
 @query
 def text_denoised(s, d):
-    return docs(s, d).select("doc_id", tx.denoise(T).alias("text"), tx.mask_leaks(T).alias("masked"))
+    return docs(s, d).select("doc_id", tx.denoise(T()).alias("text"), tx.mask_leaks(T()).alias("masked"))
 
 
 @query
 def rule_flags(s, d):
-    return docs(s, d).select("doc_id", F.array_join(rl.red_flags(tx.fold(T)), ",").alias("flags"))
+    return docs(s, d).select("doc_id", F.array_join(rl.red_flags(tx.fold(T())), ",").alias("flags"))
 
 
 @query
 def rule_flag_counts(s, d):
-    return docs(s, d).select(F.explode(rl.red_flags(tx.fold(T))).alias("flag")).groupBy("flag").agg(F.count("*").alias("documents"))
+    return docs(s, d).select(F.explode(rl.red_flags(tx.fold(T()))).alias("flag")).groupBy("flag").agg(F.count("*").alias("documents"))
 
 
 @query
 def suspicious_segments(s, d):
-    return docs(s, d).select("doc_id", F.posexplode(rl.suspicious_segments(T)).alias("position", "x")).select("doc_id", "position", "x.snippet", "x.flags")
+    return docs(s, d).select("doc_id", F.posexplode(rl.suspicious_segments(T())).alias("position", "x")).select("doc_id", "position", "x.snippet", "x.flags")
 
 
 @query
@@ -124,18 +125,18 @@ def declared_rules(s, d):
 
 @query
 def fraud_signals(s, d):
-    x = docs(s, d).select("doc_id", T, rl.fraud_signals(T).alias("f"))
-    return x.select("doc_id", F.array_join("f", ",").alias("signals"), rl.auto_label(T, F.col("f")).alias("label"))
+    x = docs(s, d).select("doc_id", T(), rl.fraud_signals(T()).alias("f"))
+    return x.select("doc_id", F.array_join("f", ",").alias("signals"), rl.auto_label(T(), F.col("f")).alias("label"))
 
 
 @query
 def pii_emails(s, d):
-    return docs(s, d).select("doc_id", rl.personal_data(T)["email"].alias("emails"))
+    return docs(s, d).select("doc_id", rl.personal_data(T())["email"].alias("emails"))
 
 
 @query
 def pii_scan(s, d):
-    return docs(s, d).select("doc_id", *(c.alias(k) for k, c in rl.personal_data(T).items()))
+    return docs(s, d).select("doc_id", *(c.alias(k) for k, c in rl.personal_data(T()).items()))
 
 
 @query
@@ -214,7 +215,7 @@ def split_statistics(s, d):
 @query
 def m1_canonical(s, d):
     x = spread(table(s, d, "m1_records")).select("id", F.coalesce("text", F.lit("")).alias("text"), rl.label_name(F.col("label")).alias("label"))
-    x = x.withColumns({"_f": rl.red_flags(tx.fold(T)), "_t": F.array_join(tx.terms(T), " ")})
+    x = x.withColumns({"_f": rl.red_flags(tx.fold(T())), "_t": F.array_join(tx.terms(T()), " ")})
     x = x.withColumn("_r", rl.standard_refs(F.col("_t"), F.col("label")))
     return x.select("id", "label", rl.label_number(F.col("label")).alias("label_int"), rl.risk_level(F.col("label"), F.col("_f")).alias("risk_level"), F.array_join("_r", ",").alias("standard_ref"), rl.finding(F.col("label"), F.col("_f"), F.col("_r")).alias("finding"))
 
@@ -337,13 +338,13 @@ def event_sessions(s, d):
 
 @query
 def tfidf_terms(s, d):
-    return rounded(model.top_terms(model.tfidf(docs(s, d), "doc_id", tx.word_tokens(T)), "doc_id"))
+    return rounded(model.top_terms(model.tfidf(docs(s, d), "doc_id", tx.word_tokens(T())), "doc_id"))
 
 
 @query
 def bm25_top(s, d):
     q = table(s, d, "eval_items").where("item_id % 20 = 0").select("item_id", F.coalesce("text", F.lit("")).alias("query"))
-    return rounded(retrieval.bm25(q, docs(s, d), "item_id", "doc_id", tx.word_tokens(F.col("query")), tx.word_tokens(T)), places=5)
+    return rounded(retrieval.bm25(q, docs(s, d), "item_id", "doc_id", tx.word_tokens(F.col("query")), tx.word_tokens(T())), places=5)
 
 
 @query
@@ -384,7 +385,7 @@ def chat_rows(s, d):
 
 @query
 def rolled_up_scores(s, d):
-    c = docs(s, d).select("doc_id", F.explode(tx.windows(T)).alias("c"))
+    c = docs(s, d).select("doc_id", F.explode(tx.windows(T())).alias("c"))
     x = c.select("doc_id", F.length("c").alias("n"), F.least(F.lit(1.0), tx.count_of(F.col("c"), ",") / 20.0).alias("v"))
     return rounded(model.rolled_up(x, "doc_id", "v", "n"))
 

@@ -18,13 +18,24 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType = RECORD) -> D
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def _require_content(spark: SparkSession, path: str) -> None:
+    """Raises for a file without bytes, which Spark would pass over."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in fs.globStatus(p) or []:
+        for g in fs.listStatus(f.getPath()) if f.isDirectory() else [f]:
+            if g.isFile() and g.getLen() == 0 and not g.getPath().getName().startswith(("_", ".")):
+                raise ValueError(f"{g.getPath()} is empty")
+
+
 def read_json(spark: SparkSession, path: str, schema: StructType = RECORD) -> DataFrame:
     """Records of files that hold one JSON value each: an array of records, ``{"records": [...]}``, or parallel arrays
     ``{"texts": [...], "labels": [...]}``; otherwise JSON lines. Files are read whole, so each must fit a task.
 
-    An empty file, and arrays of different length, raise when the rows are read.
+    An empty file raises at once, a blank one and arrays of different length when the rows are read.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
+    _require_content(spark, path)
+    whole = spark.read.format("binaryFile").load(path).select(tx.strip(F.col("content").cast("string")).alias("v"))
     kind = schema.simpleString()
     wide = f"struct<records:array<{kind}>,texts:array<string>,labels:array<int>>"
     first = F.left("v", F.lit(1))
