@@ -1,0 +1,127 @@
+import pytest
+from pyspark.sql import functions as F
+
+from veriscope.llm import bpe, chunking, encoding, textforms
+from veriscope.llm.textforms import canonical
+
+
+@pytest.mark.parametrize(
+    ("a", "b"),
+    [
+        ("Doanh thu", "Ｄｏａｎｈ　ｔｈｕ"), ("ế", "ế"), ("tiền", "ti​ền"), ("10 000", "10 000"), ("non‑stop", "non-stop"), ("soft\xadhyphen", "softhyphen"),
+        ("bản nháp", "bản nһáp"), ("Đông", "Ðông"), ("Đông", "Ɖông"), ("ấ", "a\u0302\u0341"), ("ООО Мост", "OOO Мост"), ("a\r\nb", "a\nb"), ("ô", "о̂"), ("giá", "ɡiá"),
+    ],
+)
+def test_equal_looks(a, b):
+    assert canonical(a) == canonical(b)
+
+
+@pytest.mark.parametrize(("a", "b"), [("a–b", "a-b"), ("a  b", "a b"), ("A", "a"), ("o", "ô"), ("a\nb", "a b"), ("д", "d"), ("“a”", '"a"'), ("Мост", "Most"), ("²", "2"), ("™", "TM"), ("a ", "a")])
+def test_different_looks(a, b):
+    assert canonical(a) != canonical(b)
+
+
+def test_script_of_tokens():
+    assert canonical("Вольный") == "Вольный" and canonical("Bольный") == "Вольный"  # the only script that spells it
+    assert canonical("ООО") == "OOO" and canonical("kһách") == "khách"
+    assert canonical(None) is None and canonical("") == ""
+    for t in ("Hệ số β", "Éclat Rivière", "Số 12/3", "x" * 100_000):
+        assert canonical(canonical(t)) == canonical(t)
+
+
+def test_lookalike_pairs(spark):
+    rows = [(1, "giá", "k"), (2, "ɡiá", "k"), (3, "giá", "k"), (4, None, "k"), (5, "​", "k"), (6, "", "k"), (7, "khác", "k"), (2, "ɡiá", "k")]
+    df = spark.createDataFrame(rows, "sample_id long, text string, k string")
+    assert sorted(map(tuple, textforms.lookalike_pairs(df).collect())) == [(1, 2), (2, 3)]
+    assert textforms.lookalike_pairs(df.limit(0)).count() == 0
+
+
+VI = ["Công ty đã ghi nhận doanh thu bán hàng theo từng hợp đồng, giá trị {} đồng.", "Khoản phải thu khách hàng {} được đối chiếu đầy đủ với sổ phụ.", "Kho Đông Hà kiểm kê hàng tồn kho ngày {} nhất quán."]
+EN = ["The company’s note on inventories was recorded on {} December.", "Retained earnings rose to {} million – slowly."]
+
+
+@pytest.fixture(scope="module")
+def describer():
+    import zstandard
+
+    make = lambda ts: zstandard.train_dictionary(8192, [t.format(i).encode() for i in range(300) for t in ts]).as_bytes()
+    return encoding.Describer({"vi": make(VI), "en": make(EN)})
+
+
+@pytest.mark.parametrize("codec", ["cp1252", "latin-1", "cp1258", "mac_roman", "cp437"])
+@pytest.mark.parametrize("text", [*VI[:2], EN[0]])
+def test_restores_misread_utf8(describer, codec, text):
+    text = text.format(421)
+    table = encoding._chars(codec)
+    wrong = "".join(chr(b) if b < 128 else table[b] for b in text.encode())
+    assert describer.restore(wrong)[0] == text
+    mixed = VI[2].format(5) + " " + wrong
+    assert describer.restore(mixed)[0] == VI[2].format(5) + " " + text
+
+
+def test_restores_twice_misread_and_tcvn3(describer):
+    text = VI[0].format(9)
+    twice = text
+    for _ in range(2):
+        twice = "".join(chr(b) if b < 128 else encoding._chars("cp1252")[b] for b in twice.encode())
+    assert describer.restore(twice)[:2] == (text, ["utf-8 as cp1252"] * 2)
+    assert describer.restore(text.translate(str.maketrans(encoding.TCVN3_MEANT, encoding.TCVN3_SHOWN)))[0] == text
+
+
+@pytest.mark.parametrize("text", [VI[0], EN[0], "Bên mua ký tên Éclat Rivière, giá £ và ¥ ghi song song.", "Hỏi gì? Đáp.", "ООО Вольный Мост", "Ｄoanh thu​ ɡiá", "", "??", "Ðông Hà"])
+def test_leaves_sound_texts(describer, text):
+    assert describer.restore(text) == (text, [], False)
+
+
+def test_lost_characters(describer):
+    assert describer.restore("Công ty h?ch toán chi phí t?i kho ?ông")[2]
+    assert describer.restore("giá tr\ufffd")[2]
+    r, chain, lost = describer.restore("thá»\ufffdi háº¡n Ä\ufffdÃ´ng")
+    assert lost and chain[0] == "utf-8 as cp1252" and "ông" in r
+
+
+def test_restore_frame(spark):
+    rows = [(1, "CÃ´ng ty Ä‘Ã£ ghi nháº\xadn"), (2, None), (3, ""), (4, "Công ty"), (1, "CÃ´ng ty Ä‘Ã£ ghi nháº\xadn")]
+    df = spark.createDataFrame(rows, "sample_id long, text string").withColumn("restored", F.lit(1)).withColumn("t", F.lit(2))
+    got = encoding.restore_texts(df).collect()
+    assert [(r.sample_id, r.restored) for r in got] == [(1, "Công ty đã ghi nhận")] * 2
+    assert encoding.restore_texts(df.limit(0)).count() == 0
+
+
+def test_pieces():
+    text = "Điều 1. Mở đầu.\n\nCâu một có năm từ. Câu hai TP. Hà Nội dài. Câu ba.\nDòng cuối không dấu chấm"
+    for limit in (1, 2, 3, 5, 8, 50):
+        for overlap in (None, 0, 1, 2, 100):
+            made = chunking.pieces(text, limit, overlap)
+            tokens = []
+            for p, n, shared in made:
+                w = p.split()
+                assert len(w) == n <= limit or len(made) == 1
+                assert w[:shared] == tokens[len(tokens) - shared :] if shared else True
+                tokens += w[shared:]
+            assert tokens == text.split()
+    assert [p for p, _, _ in chunking.pieces("a b c. D e f. G h", 6, 0)] == ["a b c. D e f.", "G h"]
+    assert chunking.pieces(None, 3, 1) == [] and chunking.pieces("  ", 3, 1) == [("  ", 0, 0)] and chunking.pieces("a b", None, None) == [("a b", 2, 0)]
+    assert len(chunking.pieces("x " * 50_000, 100, 100)) == 1 + -(-(50_000 - 100) // 50)
+
+
+def test_split_frame(spark):
+    df = spark.createDataFrame([("a", "một hai ba bốn", 2, None, "x"), ("b", None, 2, 1, "x"), ("c", "một", None, 1, "x"), ("d", "một hai", 0, 3, "x")], "chunk_id string, text string, chunk_size_tokens int, chunk_overlap_tokens int, piece string")
+    got = chunking.split_texts(df).orderBy("chunk_id", "piece").collect()
+    assert [(r.chunk_id, r.text, r.pieces) for r in got] == [("a", "một hai", 2), ("a", "ba bốn", 2), ("c", "một", 1), ("d", "một", 2), ("d", "hai", 2)]
+    assert chunking.split_texts(df.limit(0)).count() == 0
+
+
+def test_bpe_round_trip_and_reference(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    texts = ["Doanh thu 1.234,5 tăng", "", None, " \n\n  x", "<|endoftext|>", "½ ²x Ⅳ ا漢字 \U0001f600 ế", "it's WE'LL  don't_", "a" * 5000, "\x1c\x85 \xa0z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("ids", F.lit(0)).repartition(3)
+    got = {r.doc_id: r.ids for r in bpe.encode_texts(df).collect()}
+    for i, x in enumerate(texts):
+        assert got[i] == t.encode(x or "", add_special_tokens=False).ids
+        assert t.decode(got[i], skip_special_tokens=False) == (x or "")
+    assert bpe.encode_texts(df.limit(0)).count() == 0
