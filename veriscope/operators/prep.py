@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veriscope.functions import lexicons as lx
+from veriscope.session import staged
 
 TIME_FIELDS = ("collected_at", "published_at", "report_date", "doc_id", "file", "text")
 
@@ -62,7 +63,8 @@ def with_position(df: DataFrame, order: Sequence[str | Column], name: str = "pos
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     part = df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_id", F.monotonically_increasing_id())
-    part = part.withColumns({"_p": F.shiftright("_id", 33), "_r": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).persist()
+    # written down, so that the numbers counted are the numbers used even if an executor is lost in between
+    part = staged(part.withColumns({"_p": F.shiftright("_id", 33), "_r": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id"), "ordered")
     counts = {r._p: r.c for r in part.groupBy("_p").agg(F.count("*").alias("c")).collect()}
     at, total = {}, 0
     for p in sorted(counts):
