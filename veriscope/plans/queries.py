@@ -24,6 +24,17 @@ def query(f: Query) -> Query:
     return f
 
 
+#: The default rules and rules for phrases of the test corpus.
+CORPUS_RULES = (
+    *rl.DEFAULT_RULES,
+    rl.Rule("che_giau_ngoai_so", (("bị giấu ngoài sổ", "không thấy trong sổ chi tiết"),)),
+    rl.Rule("chung_tu_yeu", (("chỉ dựa trên thư điện tử", "thiếu chữ ký người duyệt", "không có phiếu xuất kho"),)),
+    rl.Rule("lui_ngay", (("lùi ngày sang kỳ trước",),)),
+    rl.Rule("doanh_thu_bat_thuong", (("doanh thu", "doanh số"), ("vượt xa năng lực sản xuất", "ghi khống khối lượng", "không đối chiếu được với sao kê"))),
+    rl.Rule("window_dressing_cuoi_ky", (("dồn vào ba ngày cuối quý",),), late=True),
+)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """More partitions than files where a small table is one file, so that all cores work on its texts."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -45,7 +56,7 @@ def T() -> Column:  # noqa: N802
 
 @query
 def risk_bands(s, d):
-    f = docs(s, d).select(F.lower(F.coalesce("lang", F.lit("unknown"))).alias("lang"), rl.red_flags(tx.fold(T())).alias("f"))
+    f = docs(s, d).select(F.lower(F.coalesce("lang", F.lit("unknown"))).alias("lang"), rl.red_flags(tx.fold(T()), CORPUS_RULES).alias("f"))
     x = f.select("lang", rl.risk_band(rl.boosted(F.lit(0.4), F.col("f"))).alias("band"), F.size("f").alias("n"))
     return x.groupBy("lang", "band").agg(F.count("*").alias("documents"), F.sum("n").alias("flags"))
 
@@ -105,17 +116,17 @@ def text_denoised(s, d):
 
 @query
 def rule_flags(s, d):
-    return docs(s, d).select("doc_id", F.array_join(rl.red_flags(tx.fold(T())), ",").alias("flags"))
+    return docs(s, d).select("doc_id", F.array_join(rl.red_flags(tx.fold(T()), CORPUS_RULES), ",").alias("flags"))
 
 
 @query
 def rule_flag_counts(s, d):
-    return docs(s, d).select(F.explode(rl.red_flags(tx.fold(T()))).alias("flag")).groupBy("flag").agg(F.count("*").alias("documents"))
+    return docs(s, d).select(F.explode(rl.red_flags(tx.fold(T()), CORPUS_RULES)).alias("flag")).groupBy("flag").agg(F.count("*").alias("documents"))
 
 
 @query
 def suspicious_segments(s, d):
-    return docs(s, d).select("doc_id", F.posexplode(rl.suspicious_segments(T())).alias("position", "x")).select("doc_id", "position", "x.snippet", "x.flags")
+    return docs(s, d).select("doc_id", F.posexplode(rl.suspicious_segments(T(), CORPUS_RULES)).alias("position", "x")).select("doc_id", "position", "x.snippet", "x.flags")
 
 
 @query

@@ -5,6 +5,7 @@ from __future__ import annotations
 from veriscope.functions import lexicons as lx
 from veriscope.functions import rules as rl
 from veriscope.functions import text as tx
+from veriscope.plans.queries import CORPUS_RULES as RULES
 
 WS, WORD = tx.WS, tx.WORD
 
@@ -72,12 +73,12 @@ def has(folded: str, phrases) -> str:
     return "(" + " OR ".join(f"contains({folded}, {q(' '.join(tx.fold_literal(p).lower().split()))})" for p in dict.fromkeys(phrases)) + ")"
 
 
-def flags(folded: str) -> str:
+def flags(folded: str, rules=rl.DEFAULT_RULES) -> str:
     made = []
-    for r in rl.DEFAULT_RULES:
+    for r in rules:
         cond = " AND ".join(has(folded, g) for g in r.groups)
         if r.late:
-            cond += " AND NOT (" + " OR ".join("(" + " AND ".join(has(folded, g) for g in e.groups) + ")" for e in rl.DEFAULT_RULES if e.id == r.id and not e.late) + ")"
+            cond += " AND NOT (" + " OR ".join("(" + " AND ".join(has(folded, g) for g in e.groups) + ")" for e in rules if e.id == r.id and not e.late) + ")"
         made.append(f"CASE WHEN {cond} THEN {q(r.id)} END")
     return f"list_filter([{', '.join(made)}], lambda x: x IS NOT NULL)"
 
@@ -126,7 +127,7 @@ def _fb(b: float) -> str:
 METRICS = f"support, positives, tp, fp, fn, tn, round(precision, 6) AS precision, round(recall, 6) AS recall, round({_fb(1)}, 6) AS f1, round({_fb(0.5)}, 6) AS f0_5, round({_fb(2)}, 6) AS f2, round((tp + tn) / support::DOUBLE, 6) AS accuracy, round(auc_roc, 6) AS auc_roc, round(coalesce(ap, 0), 6) AS auprc, round(coalesce((tp * tn - fp * fn)::DOUBLE / nullif(sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0), 6) AS mcc"
 
 SQL: dict[str, str] = {
-    "risk_bands": f"""WITH {DOCS}, f AS (SELECT lang, {flags('f')} AS fl FROM (SELECT lang, {fold('t')} AS f FROM docs)),
+    "risk_bands": f"""WITH {DOCS}, f AS (SELECT lang, {flags('f', RULES)} AS fl FROM (SELECT lang, {fold('t')} AS f FROM docs)),
         s AS (SELECT lower(coalesce(lang, 'unknown')) AS lang, least(1.0::DOUBLE, 0.4::DOUBLE + 0.05::DOUBLE * len(fl)) AS score, len(fl) AS n FROM f)
         SELECT lang, CASE WHEN score >= 0.75 THEN 'Cao' WHEN score >= 0.45 THEN 'Trung bình' ELSE 'Thấp' END AS band, count(*) AS documents, sum(n)::BIGINT AS flags FROM s GROUP BY ALL""",
     "text_tokens": f"WITH {DOCS} SELECT doc_id, len({words('t')}) AS tokens, len({kept(words('t'))}) AS kept, len({ws_tokens('t')}) AS ws FROM docs",
@@ -143,8 +144,9 @@ SQL: dict[str, str] = {
     "text_numbers": f"""WITH {DOCS}, n AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(t, '\\d+(?:[.,]\\d+)*'), lambda x: TRY_CAST(replace(replace(x, '.', ''), ',', '.') AS DOUBLE)), lambda x: x IS NOT NULL) AS n FROM docs)
         SELECT doc_id, len(n) AS numbers, coalesce(list_max(n), 0) AS largest FROM n""",
     "text_denoised": "",
-    "rule_flags": f"WITH {DOCS}, f AS (SELECT doc_id, {fold('t')} AS f FROM docs) SELECT doc_id, array_to_string({flags('f')}, ',') AS flags FROM f",
-    "rule_flag_counts": f"WITH {DOCS}, f AS (SELECT {fold('t')} AS f FROM docs), x AS (SELECT unnest({flags('f')}) AS flag FROM f) SELECT flag, count(*) AS documents FROM x GROUP BY flag",
+    "rule_flags": f"WITH {DOCS}, f AS (SELECT doc_id, {fold('t')} AS f FROM docs) SELECT doc_id, array_to_string({flags('f', RULES)}, ',') AS flags FROM f",
+    "rule_flag_counts": f"WITH {DOCS}, f AS (SELECT {fold('t')} AS f FROM docs), x AS (SELECT unnest({flags('f', RULES)}) AS flag FROM f) SELECT flag, count(*) AS documents FROM x GROUP BY flag",
+    "suspicious_segments": f"WITH {DOCS}, s AS (SELECT doc_id, list_filter(list_transform({segments('t')}, lambda s: {{'snippet': left(s, 300), 'flags': array_to_string({flags(fold('s'), RULES)}, ', ')}}), lambda x: x.flags <> '') AS s FROM docs), u AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) - 1 AS position FROM s) SELECT doc_id, position, x.snippet AS snippet, x.flags AS flags FROM u",
     "declared_rules": f"WITH {DOCS}, f AS (SELECT doc_id, {fold('t')} AS f FROM docs), r(rule_id, standard, trig, ctx, label, risk) AS (VALUES "
     + ", ".join(f"({q(i)}, {q(s)}, {q(t)}, {q(c)}, {q(lb)}, {q(r)})" for i, _, s, t, c, lb, r in lx.DECLARED_RULES)
     + ") SELECT doc_id, rule_id, standard, label, risk FROM f JOIN r ON regexp_matches(f, trig) AND regexp_matches(f, ctx)",
@@ -273,5 +275,51 @@ def _drift_sql() -> str:
         SELECT model, month, events, scored, round(mean_prob, 6) AS mean_prob, round(psi, 6) AS psi, CASE WHEN psi IS NULL OR psi < 0.1 THEN 'none' WHEN psi < 0.2 THEN 'warning' ELSE 'critical' END AS level FROM p"""
 
 
+def _date_sql() -> str:
+    made = []
+    for f in ("collected_at", "published_at", "doc_id", "text"):
+        v = f"coalesce({f}, '')"
+        g = lambda p, i, v=v: f"TRY_CAST(nullif(regexp_extract({v}, {q(p)}, {i}), '') AS INT)"
+        quarter = lx.DATE_QUARTER.replace("(?iu)", "(?i)")
+        day = lambda y, m, d: f"make_date({y}, least(greatest({m}, 1), 12), least(greatest({d}, 1), 28))"
+        shapes = [
+            (lx.DATE_YMD, g(lx.DATE_YMD, 1), g(lx.DATE_YMD, 2), g(lx.DATE_YMD, 3), ""),
+            (lx.DATE_DMY, g(lx.DATE_DMY, 3), g(lx.DATE_DMY, 2), g(lx.DATE_DMY, 1), ""),
+            (quarter, g(quarter, 4), f"coalesce({g(quarter, 1)}, {g(quarter, 2)}, {g(quarter, 3)}) * 3", "28", ":quarter"),
+            (lx.DATE_YEAR, g(lx.DATE_YEAR, 1), "12", "28", ":year"),
+        ]
+        cases = " ".join(f"WHEN regexp_matches({v}, {q(p)}) THEN CASE WHEN {y} BETWEEN 2000 AND 2027 THEN {{'date': {day(y, m, d)}, 'year': {y}, 'source': {q(f + s)}, 'known': true}} END" for p, y, m, d, s in shapes)
+        made.append(f"CASE {cases} END")
+    unknown = "{'date': make_date(1900, 1, 1), 'year': 0, 'source': 'unknown', 'known': false}"
+    return f"SELECT sample_id, x.date AS date, x.year AS year, x.source AS source, x.known AS known FROM (SELECT sample_id, coalesce({', '.join(made)}, {unknown}) AS x FROM mini_samples)"
+
+
+def _m1_sql() -> str:
+    label = "CASE WHEN upper(trim(label)) IN ('BINH_THUONG', 'CANH_BAO', 'VI_PHAM', 'KHONG') THEN upper(trim(label)) WHEN upper(trim(label)) IN ('1', 'RISK', 'HIGH_RISK') OR TRY_CAST(upper(trim(label)) AS INT) > 0 THEN 'CANH_BAO' ELSE 'BINH_THUONG' END"
+    hit = lambda ws: "(" + " OR ".join(f"contains(k, {q(w)})" for w in ws) + ")"
+    a, b, c = (hit(ws) for ws, _ in rl._REFERENCES)
+    refs = f"list_filter([CASE WHEN {a} THEN 'TT48/2019 Dieu 6' END, CASE WHEN {a} THEN 'TT200/2014 TK2293' END, CASE WHEN {b} THEN 'VAS 14' END, CASE WHEN {c} THEN 'VAS 01' END], lambda x: x IS NOT NULL)"
+    return f"""WITH b AS (SELECT id, {label} AS label, {flags(fold(T))} AS f, array_to_string({terms(T)}, ' ') AS k FROM m1_records), r AS (SELECT *, CASE WHEN len({refs}) = 0 AND label <> 'BINH_THUONG' THEN ['VAS 01'] ELSE {refs} END AS refs FROM b)
+        SELECT id, label, CASE label WHEN 'CANH_BAO' THEN 1 WHEN 'VI_PHAM' THEN 2 WHEN 'KHONG' THEN 3 ELSE 0 END AS label_int, CASE WHEN label = 'BINH_THUONG' THEN 'THAP' WHEN len(f) >= 2 OR label = 'VI_PHAM' THEN 'CAO' ELSE 'TRUNG_BINH' END AS risk_level, array_to_string(refs, ',') AS standard_ref,
+        CASE WHEN label = 'BINH_THUONG' THEN 'Khong phat hien canh bao rui ro trong doan van.' WHEN len(f) > 0 THEN 'Phat hien tin hieu rui ro: ' || array_to_string(f, ', ') WHEN len(refs) > 0 THEN 'Can doi chieu them voi ' || array_to_string(refs, ', ') ELSE 'Canh bao rui ro sai lech trong yeu can kiem tra bo sung.' END AS finding FROM r"""
+
+
+def _signal_sql() -> str:
+    rx = lambda p: "(?i)" + p.replace(r"\s", WS)
+    made = [f"CASE WHEN regexp_matches(t, {q(rx(p))}) THEN {q('tu_khoa_' + i)} END" for i, p in lx.FRAUD_PATTERNS.items()] + [f"CASE WHEN regexp_matches(t, {q(rx(lx.RELATED_PATTERN))}) THEN 'co_giao_dich_ben_lien_quan' END"]
+    rounds = "len(list_filter(regexp_extract_all(t, '\\b(\\d+)(?:,000){2,}\\b', 1), lambda x: x LIKE '%000'))"
+    made.insert(0, f"CASE WHEN {rounds} > 5 THEN 'so_tien_tron_bat_thuong_' || {rounds} || '_lan' END")
+    opinion = " OR ".join(f"regexp_matches(t, {q(rx(p))})" for p in lx.OPINION_PATTERNS)
+    return f"WITH {DOCS}, f AS (SELECT doc_id, t, list_filter([{', '.join(made)}], lambda x: x IS NOT NULL) AS f FROM docs) SELECT doc_id, array_to_string(f, ',') AS signals, CASE WHEN {opinion} OR len(f) > 0 THEN 1 ELSE 0 END AS label FROM f"
+
+
+SQL |= {"time_marks": _date_sql(), "m1_canonical": _m1_sql(), "fraud_signals": _signal_sql()}
+SQL |= {
+    "retrieval_sets": "WITH i AS (SELECT DISTINCT id FROM m1_records WHERE id IS NOT NULL) SELECT 1 AS label, count(*) AS pairs FROM i UNION ALL SELECT 0, 3 * count(*) FROM i",
+    "first_standards": "WITH k(chunk_id, hay, position) AS (VALUES " + ", ".join(f"({q(s[0])}, {q(' '.join(s[1:4]).lower())}, {i})" for i, s in enumerate(lx.STANDARDS)) + f"), r AS (SELECT DISTINCT id, {ws_tokens('lower(coalesce(standard_ref[1], ' + q('') + '))')} AS w FROM m1_records WHERE id IS NOT NULL), h AS (SELECT r.id, min_by(k.chunk_id, k.position) AS c FROM r JOIN k ON len(list_filter(r.w, lambda x: contains(k.hay, x))) > 0 GROUP BY 1) SELECT r.id, coalesce(h.c, {q(lx.STANDARDS[0][0])}) AS chunk_id FROM r LEFT JOIN h ON r.id = h.id",
+    "leave_one_out": f"""WITH {DOCS}, k AS (SELECT doc_id, t, (regexp_extract_all(t, '[A-Za-zÀ-ỹ0-9_]+'))[1:12] AS w FROM docs), u AS (SELECT doc_id, t, w, unnest(range(1, len(w) + 1)) AS i FROM k),
+        s AS (SELECT doc_id, i, w[i] AS term, least(1.0::DOUBLE, length(regexp_replace(t, '[^0-9]', '', 'g')) / 20.0::DOUBLE) - least(1.0::DOUBLE, length(regexp_replace(array_to_string(list_filter(w, lambda x, j: j <> i), ' '), '[^0-9]', '', 'g')) / 20.0::DOUBLE) AS contribution FROM u),
+        o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(abs(contribution), 9) DESC, i) AS rank FROM s) SELECT doc_id, term, round(contribution, 6) AS contribution, rank FROM o WHERE rank <= 5""",
+}
 SQL["metadata_features"], SQL["linguistic_features"], SQL["drift_by_month"] = _feature_sql(), _linguistic_sql(), _drift_sql()
 SQL = {k: v for k, v in SQL.items() if v}
