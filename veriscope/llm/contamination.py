@@ -45,7 +45,7 @@ def fold_table() -> np.ndarray:
 _MARKS = {o: None for o in range(0x300, 0x370)}
 
 
-def _comparable(text: str) -> str:
+def comparable(text: str) -> str:
     """The consistent form, without the accents that no letter takes up."""
     t = canonical(text)
     return t if t.isascii() or not any("\u0300" <= c <= "\u036f" for c in set(t)) else t.translate(_MARKS)
@@ -56,7 +56,7 @@ class Prints:
 
     def __init__(self, texts: list[str], span: int, k: int):
         fold, w = fold_table(), span - k + 1
-        texts = [_comparable(t) for t in texts]
+        texts = [comparable(t) for t in texts]
         made = [words(texts[lo:hi], fold) for lo, hi in chunks([len(t) for t in texts])]
         self.words = np.concatenate([np.empty(0, np.uint64), *(h for h, _ in made)])
         size = np.concatenate([np.empty(0, np.int64), *(np.diff(s) for _, s in made)])

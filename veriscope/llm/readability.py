@@ -1,7 +1,7 @@
 """Reading level of every document by harmonic propagation over a document-node graph (problem 9).
 
-Nodes are the words of a document and classes of its shape (length of sentences, commas, length of words, share of
-numbers, per kind of language), hashed to ``NODES`` numbers, so the node side of the graph has a fixed size while the
+Nodes are the words of a document, without case and accents, and classes of its shape (length of sentences, commas,
+length of words, share of numbers), hashed to ``NODES`` numbers, so the node side of the graph has a fixed size while the
 document side stays distributed. Documents with levels given by people are clamped to them; every round sets a node to
 the weighted mean of its documents and a document to the weighted mean of its nodes, where a node weighs by rarity and by
 how far its level is from the mean. A linear fit of the clamped documents puts the result on their scale.
@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veriscope.llm.contamination import comparable, fold_table
 from veriscope.llm.shingles import chunks, mixed, spans
 from veriscope.session import staged
 
@@ -33,7 +34,7 @@ def nodes_of(texts: list[str]) -> list[tuple[bytes, bytes]]:
     """Each text's word nodes and shape nodes, as distinct 16-bit numbers; empty for a text without a word."""
     out = []
     for lo, hi in chunks([len(t) for t in texts]):
-        cp, first, past, h, ends = spans([t.lower() for t in texts[lo:hi]])
+        cp, first, past, h, ends = spans([comparable(t) for t in texts[lo:hi]], fold_table())
         n = hi - lo
         doc = np.searchsorted(ends, first)
         digit = (cp[first] >= 48) & (cp[first] <= 57) if len(first) else np.zeros(0, bool)
@@ -54,11 +55,9 @@ def nodes_of(texts: list[str]) -> list[tuple[bytes, bytes]]:
         commas = np.bincount(np.searchsorted(ends, np.flatnonzero(cp == 44)), minlength=n)[:n] / np.maximum(k, 1)
         letters = np.bincount(doc, weights=np.where(digit, 0, past - first), minlength=n) / np.maximum(many - np.bincount(doc, weights=digit, minlength=n), 1)
         numbers = np.bincount(doc, weights=digit, minlength=n) / np.maximum(many, 1)
-        # letters outside Latin-1 are frequent in Vietnamese and absent in English
-        accents = np.bincount(np.searchsorted(ends, np.flatnonzero((cp >= 0x100) & (cp < 0x1F00))), minlength=n)[:n] > 0.01 * many
         step = lambda v, b: np.floor(np.log2(v + 1) * b).astype(np.uint64)
         kinds = (step(mean, 6), step(longest, 4), step(median, 4), step(commas, 8), step(mean, 4) * np.uint64(1000) + step(commas, 5), step(letters, 12), np.floor(numbers * 30).astype(np.uint64))
-        shape = np.stack([mixed(x * np.uint64(64) + np.uint64(2 * i) + accents.astype(np.uint64) + np.uint64(7)) >> np.uint64(48) for i, x in enumerate(kinds)], 1).astype(np.uint16)
+        shape = np.stack([mixed(x * np.uint64(64) + np.uint64(i + 7)) >> np.uint64(48) for i, x in enumerate(kinds)], 1).astype(np.uint16)
         key = np.unique((doc[~digit].astype(np.uint64) << np.uint64(16)) | (h[~digit] >> np.uint64(48)))
         cut = np.searchsorted(key >> np.uint64(16), np.arange(n + 1, dtype=np.uint64))
         node = key.astype(np.uint16)
