@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from veriscope.llm import components, contamination, crossplit, groupsplit, neardup, readability
+from veriscope.llm import components, contamination, crossplit, groupsplit, neardup, nearsets, readability
 from veriscope.llm.textforms import canonical
 
 WORDS = [a + b for a in "bcdghklmnrstvx" for b in ("a", "ăn", "ông", "iên", "ưa", "ở", "inh", "át")]
@@ -67,6 +67,17 @@ def test_near_duplicates_against_brute_force(spark, k, t):
     assert set(map(tuple, crossplit.cross_split_pairs(sides, shingle=k, similarity=t).collect())) == cross
 
 
+@pytest.mark.parametrize(("k", "t"), [(3, 0.6), (1, 0.3), (2, 0.25)])
+def test_hot_tiles_lose_nothing(spark, k, t):
+    texts = _texts(260, 11)
+    df = spark.createDataFrame(list(enumerate(texts)), "sample_id long, text string").repartition(3)
+    corpus = nearsets.Corpus(df, "sample_id", "text", k)
+    members = corpus.members().cache()
+    every = lambda hot: {(r.sig_a, r.sig_b, round(r.similarity, 9)) for r in nearsets.similar_classes(corpus, members, t, hot_tile=hot).collect()}
+    want = every(10**6)
+    assert want and every(2) == want and every(5) == want
+
+
 def test_near_duplicates_edges(spark):
     empty = spark.createDataFrame([], "sample_id long, text string, split string")
     assert neardup.near_duplicate_pairs(empty).count() == 0 and neardup.near_duplicate_groups(empty).count() == 0 and crossplit.cross_split_pairs(empty).count() == 0

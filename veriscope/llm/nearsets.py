@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriscope.llm.shingles import chunks, shingle_sets
+from veriscope.llm.shingles import chunks, mixed, shingle_sets
 from veriscope.llm.textforms import canonical
 from veriscope.session import staged
 
@@ -37,6 +37,10 @@ BUCKET_POSTINGS, TASK_POSTINGS = 2_000_000, 4_000_000
 BROADCAST_TEXTS = 500_000
 #: Pairs compared at once within a bucket, which bounds memory whatever the size of a tile.
 PAIRS_AT_ONCE = 1 << 21
+#: A tile of more classes is split by a second shared shingle instead of comparing all its pairs.
+HOT_TILE = 4096
+#: Hot shingles known one by one up to this number; beyond it by their leading 20 bits, which only adds candidates.
+KNOWN_HOT = 1_000_000
 #: Larger sets have a bitmap of four words, smaller ones of two; a larger one is folded to meet a smaller one.
 WIDE_FROM = 96
 
@@ -144,8 +148,13 @@ class Tiles:
 
     SCHEMA = "q int, sig binary, n binary, mask binary, narrow binary, wide binary, count binary, h binary, p binary"
 
-    def post(self, s: Sets, sketch: np.ndarray, buckets: int) -> Iterator[pd.DataFrame]:
-        """One blob per bucket for some texts; copies among them post once."""
+    def post(self, s: Sets, sketch: np.ndarray, buckets: int, hot: tuple[int, np.ndarray] | None = None) -> Iterator[pd.DataFrame]:
+        """One blob per bucket for some texts; copies among them post once.
+
+        ``hot``: bits and sorted heads of shingles whose tiles are too large. Then only pairs of a hot shingle and a later
+        one are posted: the first two shingles that two sets share lie within one place more than the prefix, so sets
+        that share two meet there; sets so small that one is enough post the hot shingle alone.
+        """
         _, first = np.unique(np.stack([s.sig, s.mask]), axis=1, return_index=True)
         keep = np.zeros(len(s.n), bool)
         keep[first] = True
@@ -156,13 +165,28 @@ class Tiles:
         # within each text by (count, hash): one sort of 64 bits, then a stable one that brings the texts together again
         by = np.argsort((weight << np.uint64(32)) | sets)
         by = by[np.argsort(doc[by].astype(np.uint32), kind="stable")]
+        ordered = sets[by]
         place = np.arange(len(sets)) - np.repeat(np.cumsum(n) - n, n)
-        posted = place < np.repeat(self.prefix(n), n)
-        h, d, p = sets[by][posted], doc[posted], place[posted]
+        prefix = self.prefix(n)
+        if hot is None:
+            posted = place < np.repeat(prefix, n)
+            h, d, p = ordered[posted], doc[posted], place[posted]
+        else:
+            bits, heads = hot
+            head = ordered >> np.uint32(32 - bits)
+            at = np.minimum(np.searchsorted(heads, head), len(heads) - 1)
+            one = np.flatnonzero((heads[at] == head) & (place < np.repeat(prefix, n)))
+            last = np.minimum(prefix + 1, n)[doc[one]]
+            many = last - place[one] - 1
+            i = np.repeat(one, many)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+            both = (mixed((ordered[i].astype(np.uint64) << np.uint64(32)) | ordered[j]) >> np.uint64(32)).astype(np.uint32)
+            tiny = one[self.num * n[doc[one]] < self.num + self.den]
+            h, d, p = np.concatenate([both, ordered[tiny]]), np.concatenate([doc[i], doc[tiny]]), np.concatenate([place[j] - 1, place[tiny]])
         wide, big = _bitmaps(sets, doc, len(n), self.cross), n > WIDE_FROM
         narrow = self.fold(wide)
         bucket = (h % np.uint32(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((d, bucket))
         h, d, p = h[order], d[order], p[order]
         cut = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
         for q in np.flatnonzero(np.diff(cut)):
@@ -171,8 +195,8 @@ class Tiles:
             large = big[docs]
             yield pd.DataFrame([(q, sig[docs].tobytes(), _planes(n[docs]), mask[docs].tobytes(), narrow[docs[~large]].tobytes(), wide[docs[large]].tobytes(), _planes(count), h[lo:hi].tobytes(), np.minimum(p[lo:hi], 255).astype(np.uint8).tobytes())], columns=["q", "sig", "n", "mask", "narrow", "wide", "count", "h", "p"])
 
-    def meet(self, b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of signatures of one bucket that the bounds leave."""
+    def meet(self, b: pd.DataFrame, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+        """Pairs of signatures of one bucket that the bounds leave, or the shingles of tiles of more than ``most``."""
         cat = lambda c, t: np.frombuffer(b"".join(b[c]), t)
         sig, n, mask, count = cat("sig", np.int64), _unplanes(b["n"]).astype(np.int64), cat("mask", np.uint8), _unplanes(b["count"])
         big = n > WIDE_FROM
@@ -188,6 +212,13 @@ class Tiles:
         sides = np.bitwise_or.reduceat(mask[d], np.flatnonzero(head)) if len(h) else mask[:0]
         h, p, d = h[head], p[head], d[head]
         size, tile = n[d], np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else h
+        if most is not None and len(h):
+            size_of = np.bincount(tile)[tile]
+            if (hot := size_of > most).any():
+                shingles = np.unique(h[hot]).astype(np.int64)
+                yield np.zeros_like(shingles), np.zeros_like(shingles), shingles
+                h, p, d, sides = h[~hot], p[~hot], d[~hot], sides[~hot]
+                size, tile = size[~hot], tile[~hot]
         # tiles of one posting have no pairs; `limit`: how many later postings of the tile are within the size ratio
         last = np.searchsorted(tile, tile, side="right")
         span = int(size.max()) + 1 if len(h) else 1
@@ -230,37 +261,55 @@ class Tiles:
                 keep[both] = fit
                 a, c = a[keep], c[keep]
             if len(a):
-                yield np.minimum(sig[a], sig[c]), np.maximum(sig[a], sig[c])
+                yield np.minimum(sig[a], sig[c]), np.maximum(sig[a], sig[c]), None
 
 
-def similar_classes(corpus: Corpus, members: DataFrame, similarity: float, cross: bool = False) -> DataFrame:
+def similar_classes(corpus: Corpus, members: DataFrame, similarity: float, cross: bool = False, hot_tile: int = HOT_TILE) -> DataFrame:
     """Pairs of different classes (sig_a < sig_b) with their exact similarity of at least ``similarity``."""
     t = Fraction(similarity).limit_denominator(10_000)
     num, den, k = t.numerator, t.denominator, corpus.k
     tiles, sketch = Tiles(t, cross), corpus.sketch()
     spark = members.sparkSession
     postings = members.agg(F.sum(F.col("n") - F.ceil(F.col("n") * float(t)) + 1)).first()[0] or 0
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-postings // BUCKET_POSTINGS))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(sketch)
 
-    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, chars = [], 0
-        for b in batches:
-            held.append(b)
-            chars += int(b["t"].str.len().sum())
-            if chars >= 8 * TASK_POSTINGS:
-                yield from tiles.post(Sets(pd.concat(held), k), shared.value, buckets)
-                held, chars = [], 0
-        if held:
-            yield from tiles.post(Sets(pd.concat(held), k), shared.value, buckets)
-
-    def meet(b: pd.DataFrame) -> pd.DataFrame:
-        found = [np.unique(np.stack(x, 1), axis=0) for x in tiles.meet(b)]
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"sig_a": pairs[:, 0], "sig_b": pairs[:, 1]})
-
-    blobs = corpus.rows.mapInPandas(post, Tiles.SCHEMA)
-    candidates = staged(blobs.groupBy("q").applyInPandas(meet, "sig_a bigint, sig_b bigint").distinct(), "candidates")
+    def candidates_of(buckets: int, hot: tuple[int, np.ndarray] | None, most: int | None, what: str) -> DataFrame:
+        def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held, chars = [], 0
+            for b in batches:
+                held.append(b)
+                chars += int(b["t"].str.len().sum())
+                if chars >= (8 if hot is None else 1) * TASK_POSTINGS:
+                    yield from tiles.post(Sets(pd.concat(held), k), shared.value, buckets, hot)
+                    held, chars = [], 0
+            if held:
+                yield from tiles.post(Sets(pd.concat(held), k), shared.value, buckets, hot)
+
+        def meet(b: pd.DataFrame) -> pd.DataFrame:
+            pairs, shingles = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
+            for x, y, z in tiles.meet(b, most):
+                if z is None:
+                    pairs.append(np.unique(np.stack([x, y], 1), axis=0))
+                else:
+                    shingles.append(z)
+            p, z = np.unique(np.concatenate(pairs), axis=0), np.concatenate(shingles)
+            none = np.zeros(len(z), np.int64)
+            return pd.DataFrame({"sig_a": np.concatenate([p[:, 0], none]), "sig_b": np.concatenate([p[:, 1], none]), "hot": np.concatenate([np.full(len(p), -1), z])})
+
+        blobs = corpus.rows.mapInPandas(post, Tiles.SCHEMA)
+        return staged(blobs.groupBy("q").applyInPandas(meet, "sig_a bigint, sig_b bigint, hot bigint").distinct(), what)
+
+    found = candidates_of(max(1, parts, -(-postings // BUCKET_POSTINGS)), None, hot_tile, "candidates")
+    candidates = found.where("hot < 0").select("sig_a", "sig_b")
+    many = found.where("hot >= 0").count()
+    if many:
+        bits = 32 if many <= KNOWN_HOT else 20
+        heads = found.where("hot >= 0").select(F.shiftrightunsigned("hot", 32 - bits).alias("x")).distinct().collect()  # at most KNOWN_HOT or 2**20
+        hot = (bits, np.sort(np.array([r.x for r in heads], np.int64)).astype(np.uint32))
+        # a hot shingle has at least hot_tile postings and each meets the rest of a prefix
+        again = candidates_of(max(1, parts, -(-postings * 8 // BUCKET_POSTINGS)), hot, None, "candidates")
+        candidates = candidates.union(again.select("sig_a", "sig_b")).distinct()
 
     met = candidates.select(F.explode(F.array("sig_a", "sig_b")).alias("sig")).distinct()
     speakers = members.join(met, "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id")).select("id").distinct()
