@@ -125,3 +125,16 @@ def test_bpe_round_trip_and_reference(spark):
         assert got[i] == t.encode(x or "", add_special_tokens=False).ids
         assert t.decode(got[i], skip_special_tokens=False) == (x or "")
     assert bpe.encode_texts(df.limit(0)).count() == 0
+
+
+def test_null_ids_and_large_ids(spark):
+    from veriscope.llm import neardup, readability
+
+    big = 2**60 + 1
+    df = spark.createDataFrame([(None, "CÃ´ng ty Ä‘Ã£ ghi nháº\xadn", 1), (big, "CÃ´ng ty Ä‘Ã£ ghi nháº\xadn", 2), (big + 1, "cÃ´ng ty Ä‘Ã£ ghi nháº\xadn", 2)], "sample_id long, text string, n int").coalesce(1)
+    ids = {None, big, big + 1}
+    assert {r.sample_id for r in encoding.restore_texts(df).collect()} == ids
+    assert {r.sample_id for r in chunking.split_texts(df, "sample_id", "text", "n", "n").collect()} == ids
+    assert {r.sample_id for r in readability.reading_levels(df, df.select("sample_id", F.col("n").alias("reading_level")), "sample_id").collect()} == ids
+    assert {r.sample_id for r in bpe.encode_texts(df, "sample_id").collect()} == ids
+    assert list(map(tuple, neardup.near_duplicate_pairs(df).collect())) == [(big, big + 1)]

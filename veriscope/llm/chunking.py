@@ -112,6 +112,8 @@ def split_texts(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
             for i, t, n, o in zip(b["id"], b["t"], b["n"], b["o"], strict=True):
                 made = pieces(t, None if pd.isna(n) else int(n), None if pd.isna(o) else int(o))
                 rows += [(i, k, len(made), *p) for k, p in enumerate(made)]
-            yield pd.DataFrame(rows, columns=[id_col, "piece", "pieces", "text", "tokens", "shared"]).astype({id_col: b["id"].dtype, "piece": "int32", "pieces": "int32", "tokens": "int32", "shared": "int32"})
+            yield pd.DataFrame(rows, columns=[id_col, "piece", "pieces", "text", "tokens", "shared"]).astype({"piece": "int32", "pieces": "int32", "tokens": "int32", "shared": "int32"})
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(limit_col).cast("int").alias("n"), F.col(overlap_col).cast("int").alias("o")).mapInPandas(cut, f"`{id_col}` {kind}, piece int, pieces int, text string, tokens int, shared int")
+    # ids travel as strings: pandas would turn whole numbers among nulls into floats
+    made = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"), F.col(limit_col).cast("int").alias("n"), F.col(overlap_col).cast("int").alias("o")).mapInPandas(cut, f"`{id_col}` string, piece int, pieces int, text string, tokens int, shared int")
+    return made.withColumn(id_col, F.col(id_col).cast(kind))

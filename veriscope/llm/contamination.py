@@ -116,13 +116,13 @@ class ItemIndex:
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.col("t").rlike(r"[\p{L}\p{N}]"))
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.col("id").isNotNull() & F.col("t").rlike(r"[\p{L}\p{N}]"))
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """(doc_col, item_col, words): documents that hold at least ``span`` consecutive words of an item, and how many.
 
-    Null and empty texts and items of fewer words leak nothing; repeated rows give a pair once, with its longest run; an
+    Null ids, null and empty texts and items of fewer words leak nothing; repeated rows give a pair once, with its longest run; an
     empty table gives an empty result; extra columns are ignored.
     """
     small = _rows(items, item_col, text_col)

@@ -14,7 +14,7 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "sample_id", text_col: str
     """(sample_a, sample_b), the smaller id first: texts whose word-shingle sets have at least that Jaccard similarity.
 
     Texts count in their consistent lower-case form; equal texts are a pair even where they are shorter than a shingle.
-    Null texts and texts without a word are in no pair, a repeated id pairs with others but not with itself, an empty
+    Null ids, null texts and texts without a word are in no pair, a repeated id pairs with others but not with itself, an empty
     input gives an empty result, and extra columns are ignored.
     """
     corpus = Corpus(df, id_col, text_col, shingle)
@@ -30,7 +30,7 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "sample_id", text_col: str
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str = "sample_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id_col, class_id, group_id, links): one row per id and text with a word, without expanding copies into pairs.
+    """(id_col, class_id, group_id, links): one row per non-null id and text with a word, without expanding copies into pairs.
 
     ``class_id``: the least id of the rows with an equal set; ``group_id``: the least id that similarity links reach,
     directly or through others; ``links``: how many other classes this one is similar to. Nulls, empty texts, repeated

@@ -65,12 +65,12 @@ class Sets:
 
 
 class Corpus:
-    """The texts of a table that have a word, as (id, t, mask), and how many words make a shingle."""
+    """The texts of a table that have an id and a word, as (id, t, mask), and how many words make a shingle."""
 
     def __init__(self, df: DataFrame, id_col: str, text_col: str, k: int, mask_col: str | None = None):
         self.kind, self.k = df.schema[id_col].dataType.simpleString(), k
         mask = F.col(mask_col).cast("int") if mask_col else F.lit(0)
-        self.rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), mask.alias("mask")).where(F.col("t").rlike(r"[\p{L}\p{N}]"))
+        self.rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), mask.alias("mask")).where(F.col("id").isNotNull() & F.col("t").rlike(r"[\p{L}\p{N}]"))
 
     def members(self) -> DataFrame:
         """(id, sig, mask, n) of every text, written down."""

@@ -118,11 +118,12 @@ def reading_levels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             yield pd.DataFrame({"id": b["id"], "words": [w for w, _ in made], "shape": [s for _, s in made]})
 
     given = labels.where(F.col(level_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(level_col).alias("y"))
-    packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(build, f"id {kind}, words binary, shape binary")
-    graph = staged(packed.join(given, "id", "left"), "graph")
+    # ids travel as strings: pandas would turn whole numbers among nulls into floats
+    packed = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).mapInPandas(build, "id string, words binary, shape binary")
+    graph = staged(packed.join(given.withColumn("id", F.col("id").cast("string")), "id", "left"), "graph")
     stats = graph.where("length(shape) > 0").agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.min("y").alias("lo"), F.max("y").alias("hi")).first()
     if stats.mean is None:
-        return graph.select(F.col("id").alias(id_col), F.lit(None).cast("double").alias("level"), F.lit(None).cast("int").alias("grade"))
+        return graph.select(F.col("id").cast(kind).alias(id_col), F.lit(None).cast("double").alias("level"), F.lit(None).cast("int").alias("grade"))
     mean, context = stats.mean, docs.sparkSession.sparkContext
 
     def first(b: pd.DataFrame) -> np.ndarray:
@@ -153,9 +154,9 @@ def reading_levels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             s = pd.Series(_scores(b, *shared.value, mean), index=b.index).where(b["shape"].str.len() > 0)
             yield pd.DataFrame({"id": b["id"], "s": s, "y": b["y"]})
 
-    scored = graph.mapInPandas(last, f"id {kind}, s double, y double")
+    scored = graph.mapInPandas(last, "id string, s double, y double")
     fit = scored.where("y is not null and s is not null").agg(F.regr_slope("y", "s").alias("a"), F.regr_intercept("y", "s").alias("b")).first()
     a, b = (fit.a, fit.b) if fit.a is not None and np.isfinite(fit.a) else (1.0, 0.0)
     fitted = F.least(F.lit(stats.hi), F.greatest(F.lit(stats.lo), F.col("s") * F.lit(a) + F.lit(b)))
     level_ = F.when(F.col("s").isNotNull() & ~F.isnan("s"), fitted)
-    return scored.select(F.col("id").alias(id_col), level_.alias("level"), F.round(level_).cast("int").alias("grade"))
+    return scored.select(F.col("id").cast(kind).alias(id_col), level_.alias("level"), F.round(level_).cast("int").alias("grade"))
