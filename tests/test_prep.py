@@ -38,3 +38,18 @@ def test_folds(spark):
     assert {(r.fold, r.role): r["count"] for r in folds.groupBy("fold", "role").count().collect()} == {(1, "train"): 50, (1, "val"): 12, (2, "train"): 62, (2, "val"): 12, (3, "train"): 74, (3, "val"): 12}
     with pytest.raises(ValueError):
         prep.expanding_folds(spark.range(5), ["id"], 3)
+
+
+def test_blocks_equal_whole_windows(spark):
+    from pyspark.sql.window import Window
+
+    from veriscope.operators import drift
+
+    df = spark.range(500).select(F.col("id").alias("event_id"), F.when(F.col("id") % 7 < 5, "hot").when(F.col("id") % 7 == 5, "m").alias("model"), (F.col("id") * 7919 % 1000 / 1000.0).alias("fraud_prob"))
+    got = drift.rolling(df, ["model"], ["event_id"], size=20, block=32)
+    w = Window.partitionBy("model").orderBy("event_id").rowsBetween(-19, 0)
+    want = df.withColumns({"window_n": F.count("fraud_prob").over(w), "window_mean": F.avg("fraud_prob").over(w), "window_max": F.max("fraud_prob").over(w)})
+    key = lambda d: {r.event_id: (r.window_n, round(r.window_mean, 9), r.window_max) for r in d.collect()}
+    assert key(got) == key(want)
+    texts = df.select("event_id", "model", F.concat_ws(" ", F.lit("chung"), (F.col("event_id") % 5).cast("string"), F.lit("từ"), (F.col("event_id") % 3 + 20).cast("string")).alias("text"))
+    assert {r.event_id: r.drift_score for r in drift.term_drift(texts, "model", ["event_id"], block=8).collect()} == {r.event_id: r.drift_score for r in drift.term_drift(texts, "model", ["event_id"]).collect()}

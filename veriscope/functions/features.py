@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from veriscope.functions import lexicons as lx
 from veriscope.functions import rules as rl
@@ -118,15 +117,6 @@ def with_linguistic_features(df: DataFrame, text_col: str = "text", fold: bool =
     return base.select(*df.columns, *(made[c].alias(c) for c in LINGUISTIC))
 
 
-def term_drift(df: DataFrame, partition: str, order: Sequence[str], text_col: str = "text") -> DataFrame:
-    """Adds ``drift_score``: 1 minus the Jaccard similarity of a text's terms and those of the one before; 0 for the first."""
-    base = df.withColumn("_terms", F.array_distinct(tx.terms(F.coalesce(F.col(text_col), F.lit("")))))
-    prev = F.lag("_terms").over(Window.partitionBy(partition).orderBy(*order))
-    both = F.size(F.array_intersect("_terms", "_prev"))
-    union = F.size("_terms") + F.size("_prev") - both
-    return base.withColumn("_prev", prev).select(*df.columns, F.when(F.col("_prev").isNull(), 0.0).otherwise(F.lit(1.0) - both / F.greatest(union, F.lit(1))).alias("drift_score"))
-
-
 def benford(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, n, deviation): how far first digits of whole parts of at least 1 are from Benford's law, on proportions."""
     whole = F.floor(F.abs(F.col(value).cast("double"))).cast("long")

@@ -12,6 +12,7 @@ from veriscope.functions import lexicons as lx
 from veriscope.functions import rules as rl
 from veriscope.functions import text as tx
 from veriscope.operators import prep, retrieval
+from veriscope.operators.drift import term_drift
 from veriscope.sources import writers
 
 
@@ -61,7 +62,7 @@ def canonical_m3(df: DataFrame, order: str) -> DataFrame:
     for kind in ("vague_r", "hedge_r", "neg_r", "passive_r"):
         made += [F.when(low.contains(p), F.struct(F.lit(kind.removesuffix("_r")).alias("type"), F.lit(p).alias("span"), F.lit(1.0).alias("weight"))) for p in lx.SIGNALS[kind]]
     x = x.withColumn("signals", F.filter(F.array(*made), lambda s: s.isNotNull()))
-    drift = ft.term_drift(x, "company_id", ["year", "id"])
+    drift = term_drift(x, "company_id", ["year", "id"])
     return drift.withColumn("drift_from_prev", F.col("drift_score") > 0)
 
 

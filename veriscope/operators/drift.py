@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veriscope.functions import lexicons as lx
+from veriscope.functions import text as tx
 from veriscope.operators.metrics import evaluate
+from veriscope.operators.prep import blocked
 
 EPSILON, WARNING, CRITICAL = 1e-6, 0.10, 0.20
 WINDOW, LEAST_EVENTS, LEAST_LABELS = 200, 10, 20
@@ -76,10 +78,14 @@ def alerts_of(report: DataFrame, group: Sequence[str]) -> DataFrame:
     return report.select(*group, F.explode("alerts").alias("alert"), "level")
 
 
-def rolling(events: DataFrame, partition: Sequence[str], order: Sequence[str], value: str = "fraud_prob", size: int = WINDOW) -> DataFrame:
-    """Adds n, mean and greatest value of the last ``size`` rows of each partition in ``order``."""
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(1 - size, 0)
-    return events.withColumns({"window_n": F.count(value).over(w), "window_mean": F.avg(value).over(w), "window_max": F.max(value).over(w)})
+def rolling(events: DataFrame, partition: Sequence[str], order: Sequence[str], value: str = "fraud_prob", size: int = WINDOW, block: int = 100_000) -> DataFrame:
+    """Adds count, mean and greatest value of the last ``size`` rows of each partition in ``order`` (a unique one).
+
+    Computed in overlapping blocks, so one busy partition isn't one task.
+    """
+    w = Window.partitionBy(*partition, "_block").orderBy("_position").rowsBetween(1 - size, 0)
+    rows = blocked(events, partition, order, size - 1, block)
+    return rows.withColumns({"window_n": F.count(value).over(w), "window_mean": F.avg(value).over(w), "window_max": F.max(value).over(w)}).where("_own").drop("_position", "_block", "_own")
 
 
 def last_window(events: DataFrame, partition: Sequence[str], order: Sequence[str], size: int = WINDOW) -> DataFrame:
@@ -110,3 +116,14 @@ def new_baseline(events: DataFrame, bins: int = 10) -> list[float]:
     if abs(sum(shares) - 1) > 1e-6:
         raise ValueError("a baseline needs shares that sum to 1")
     return shares
+
+
+def term_drift(df: DataFrame, partition: str, order: Sequence[str], text_col: str = "text", block: int = 20_000) -> DataFrame:
+    """Adds ``drift_score``: 1 minus the Jaccard similarity of a text's terms and those of the one before in its partition;
+    0 for the first. Computed in overlapping blocks, so one busy partition isn't one task.
+    """
+    rows = blocked(df, [partition], order, 1, block).withColumn("_terms", F.array_distinct(tx.terms(F.coalesce(F.col(text_col), F.lit("")))))
+    rows = rows.withColumn("_prev", F.lag("_terms").over(Window.partitionBy(partition, "_block").orderBy("_position"))).where("_own")
+    both = F.size(F.array_intersect("_terms", "_prev"))
+    union = F.size("_terms") + F.size("_prev") - both
+    return rows.select(*df.columns, F.when(F.col("_prev").isNull(), 0.0).otherwise(F.lit(1.0) - both / F.greatest(union, F.lit(1))).alias("drift_score"))

@@ -30,6 +30,32 @@ def scored_groups(df: DataFrame, group: Sequence[str], label: str, score: str) -
     return df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*group, F.col(score).cast("double").alias("s")).agg(F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("pos"), F.count("*").alias("n"))
 
 
+#: Bins of the score range in which running sums are taken before they are joined.
+BINS = 4096
+
+
+def _running(by: DataFrame, group: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Adds ``up_*`` and ``down_*``, sums of the columns over scores up to and down to each row's ``s``, and ``all_*``.
+
+    Sums run within bins of the score and are offset by the sums of whole bins, at most ``BINS`` rows a group, so neither
+    one group nor a table without groups is summed in one task. The bin is monotone in the score, so any score is right;
+    those outside 0 to 1 share the outer bins.
+    """
+    g = list(group)
+    by = by.withColumn("_bin", F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s"))) * BINS).cast("int"))))
+    inner = Window.partitionBy(*g, "_bin").orderBy("s")
+    bins = by.groupBy(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(g)), F.col("_bin").alias("_b")).agg(*(F.sum(c).alias(f"_s_{c}") for c in cols))
+    keys = [f"_g{i}" for i in range(len(g))]
+    over, whole = Window.partitionBy(*keys).orderBy("_b"), Window.partitionBy(*keys)
+    bins = bins.select(*keys, "_b", *((F.sum(f"_s_{c}").over(over) - F.col(f"_s_{c}")).alias(f"_o_{c}") for c in cols), *(F.sum(f"_s_{c}").over(whole).alias(f"all_{c}") for c in cols))
+    on = F.col("_bin") == F.col("_b")
+    for k, c in zip(keys, g, strict=True):
+        on = on & F.col(c).eqNullSafe(F.col(k))
+    out = by.withColumns({f"_i_{c}": F.sum(c).over(inner) for c in cols}).join(bins, on)
+    up = {c: F.col(f"_o_{c}") + F.col(f"_i_{c}") for c in cols}
+    return out.select(*(x for x in by.columns if x != "_bin"), *(up[c].alias(f"up_{c}") for c in cols), *((F.col(f"all_{c}") - up[c] + F.col(c)).alias(f"down_{c}") for c in cols), *(f"all_{c}" for c in cols))
+
+
 def evaluate(df: DataFrame, group: Sequence[str] = (), label: str = "label", score: str = "score", threshold: str | float = 0.5) -> DataFrame:
     """One row per group: support, confusion counts at the threshold, nine metrics, and the spread of scores.
 
@@ -38,11 +64,10 @@ def evaluate(df: DataFrame, group: Sequence[str] = (), label: str = "label", sco
     """
     g = list(group)
     rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(*g, (F.col(label) > 0).cast("int").alias("y"), F.col(score).cast("double").alias("s"), (F.col(score) >= (F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold)))).cast("int").alias("p"))
-    # the hash of the group spreads nothing: partial counts per (group, score) are combined before the shuffle
+    # counts per (group, score) are combined before they are shuffled
     by = rows.groupBy(*g, "s").agg(F.sum("y").alias("pos"), F.count("*").alias("n"), F.sum(F.col("y") * F.col("p")).alias("tp"), F.sum("p").alias("pp"))
-    up = Window.partitionBy(*g).orderBy("s")
-    down = Window.partitionBy(*g).orderBy(F.desc("s"))
-    by = by.withColumns({"below": F.sum("n").over(up) - F.col("n"), "cum_n": F.sum("n").over(down), "cum_tp": F.sum("pos").over(down)})
+    by = _running(by, g, ("n", "pos"))
+    by = by.withColumns({"below": F.col("up_n") - F.col("n"), "cum_n": F.col("down_n"), "cum_tp": F.col("down_pos")})
     s = by.groupBy(*g).agg(
         F.sum("n").alias("support"), F.sum("pos").alias("positives"), F.sum("tp").alias("tp"), F.sum("pp").alias("_pp"),
         F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2.0)).alias("_ranks"),
@@ -67,9 +92,8 @@ def evaluate(df: DataFrame, group: Sequence[str] = (), label: str = "label", sco
 
 def curve(df: DataFrame, group: Sequence[str] = (), label: str = "label", score: str = "score") -> DataFrame:
     """(group..., threshold, precision, recall, f1, f0_5, f2) at every distinct score."""
-    by = scored_groups(df, group, label, score)
-    down = Window.partitionBy(*group).orderBy(F.desc("s"))
-    by = by.withColumns({"tp": F.sum("pos").over(down), "pp": F.sum("n").over(down), "all": F.sum("pos").over(Window.partitionBy(*group))})
+    by = _running(scored_groups(df, group, label, score), group, ("n", "pos"))
+    by = by.withColumns({"tp": F.col("down_pos"), "pp": F.col("down_n"), "all": F.col("all_pos")})
     by = by.withColumns({"precision": _ratio(F.col("tp").cast("double"), F.col("pp")), "recall": _ratio(F.col("tp").cast("double"), F.col("all"))})
     p, r = F.col("precision"), F.col("recall")
     return by.select(*group, F.col("s").alias("threshold"), "all", "precision", "recall", f_beta(p, r, 1).alias("f1"), f_beta(p, r, 0.5).alias("f0_5"), f_beta(p, r, 2).alias("f2"))

@@ -73,6 +73,23 @@ def with_position(df: DataFrame, order: Sequence[str | Column], name: str = "pos
     return part.join(F.broadcast(starts), "_p").select(*df.columns, (F.col("_r") + F.col("_at")).alias(name))
 
 
+def blocked(df: DataFrame, partition: Sequence[str], order: Sequence[str | Column], before: int, rows: int = 100_000) -> DataFrame:
+    """Adds ``_position``, ``_block`` and ``_own`` for windows that look back at most ``before`` rows.
+
+    Rows in order of (partition, order) form blocks of ``rows``, and each block also gets the last rows of the one
+    before it as copies that aren't its own. A window per (partition, ``_block``) in order of ``_position``, filtered to
+    own rows, then equals one per partition, though no task holds all rows of a large partition.
+    """
+    if before >= rows:
+        raise ValueError("blocks must be longer than the look-back")
+    placed = with_position(df, [*partition, *order], "_position")
+    b = F.floor(F.col("_position") / rows)
+    tail = F.col("_position") % rows >= rows - before
+    own, copy = F.struct(b.alias("b"), F.lit(True).alias("own")), F.struct((b + 1).alias("b"), F.lit(False).alias("own"))
+    placed = placed.withColumn("_x", F.explode(F.when(tail, F.array(own, copy)).otherwise(F.array(own))))
+    return placed.withColumns({"_block": F.col("_x.b"), "_own": F.col("_x.own")}).drop("_x")
+
+
 def split_sizes(n: int, train: float = 0.8, val: float = 0.1) -> tuple[int, int, int]:
     """Sizes of train, val and test by truncation, each at least 1 where there are three rows."""
     a, b = int(n * train), int(n * val)

@@ -174,7 +174,7 @@ def benford(s, d):
 
 @query
 def term_drift(s, d):
-    return rounded(ft.term_drift(docs(s, d).where("company_id is not null"), "company_id", ["report_year", "doc_id"]).select("doc_id", "drift_score"))
+    return rounded(drift.term_drift(docs(s, d).where("company_id is not null"), "company_id", ["report_year", "doc_id"]).select("doc_id", "drift_score"))
 
 
 @query
