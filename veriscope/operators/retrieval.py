@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,45 +61,68 @@ def hard_negatives(positives: DataFrame, standards: DataFrame, key: str, n: int
     return positives.join(F.broadcast(every)).select(key, F.posexplode(pick).alias("position", "_x")).select(key, F.col("_x.c").alias("chunk_id"), "position")
 
 
+#: Queries that meet all vectors in one pass, and those multiplied with a batch at once; both bound memory.
+QUERY_BLOCK, QUERIES_AT_ONCE = 16_384, 512
+
+
 def cosine_top(queries: DataFrame, vectors: DataFrame, key: str, vector: str, top: int = 5) -> DataFrame:
-    """(query, key, score, rank): the nearest other vectors of each query by cosine, in blocks of all vectors.
+    """(query, key, score, rank): the nearest other vectors of each query by cosine, the least id on ties.
 
-    Queries are a stated set; they are packed into blocks and every block meets every partition of the vectors once, in
-    numpy, which keeps the best of the partition, so only top rows are shuffled. Null and zero vectors are left out.
+    Queries are a stated set. They go in blocks of ``QUERY_BLOCK``; each block is broadcast, every task keeps the best
+    rows of its vectors for each query while it streams them, and only those are shuffled: vectors never are. Null and
+    zero vectors, and those with a null id, are left out; a repeated id counts once per query.
     """
-    import numpy as np
-    import pandas as pd
-
     kind = vectors.schema[key].dataType.simpleString()
-    q = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("_q"), F.col(vector).alias("_v"))
-    n = q.count()
-    blocks = max(1, -(-n // 4096))
-    packed = q.withColumn("_b", F.pmod(F.xxhash64("_q"), F.lit(blocks))).groupBy("_b").agg(F.collect_list("_q").alias("_qs"), F.collect_list("_v").alias("_vs"))
-    base = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("_k"), F.col(vector).alias("_x"))
-    base = base.withColumn("_p", F.pmod(F.xxhash64("_k"), F.lit(max(8, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))))
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            ids, x = left["_k"].values, np.stack(left["_x"].values).astype(float)
-            norm = np.linalg.norm(x, axis=1)
-            ids, x = ids[norm > 0], x[norm > 0] / norm[norm > 0, None]
-            for qs, vs in zip(right["_qs"], right["_vs"], strict=True):
-                v, qs = np.stack(list(map(np.asarray, vs))).astype(float), np.asarray(qs)
-                size = np.linalg.norm(v, axis=1)
-                s = (v[size > 0] / size[size > 0, None]) @ x.T
-                qs = qs[size > 0]
-                s[qs[:, None] == ids[None, :]] = -2
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -np.round(s, 9)), axis=1)[:, :top]
-                for i in range(len(qs)):
-                    out += [(qs[i], ids[j], s[i, j]) for j in order[i] if s[i, j] > -1.5]
-        return pd.DataFrame(out, columns=["query", key, "score"])
-
-    parts = max(8, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sent = packed.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("_p", F.col("_p").cast("long"))
-    found = base.groupBy("_p").cogroup(sent.groupBy("_p")).applyInPandas(meet, f"query {kind}, `{key}` {kind}, score double")
+    q = queries.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_q"), F.col(vector).alias("_v")).dropDuplicates(["_q"])
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    base = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(vector).alias("_x"))
+    found = None
+    for b in range(blocks):
+        rows = q.where(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == b).toPandas()  # a block
+        part = _nearest(base, rows, key, kind, top)
+        found = part if found is None else found.union(part)
     w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), key)
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    best = found.groupBy("query", key).agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def _nearest(base: DataFrame, rows: pd.DataFrame, key: str, kind: str, top: int) -> DataFrame:
+    """The best ``top`` vectors of each task for each query of a block, without the query itself."""
+    v = np.stack(rows["_v"].values).astype(float) if len(rows) else np.empty((0, 1))
+    size = np.linalg.norm(v, axis=1)
+    ids, v = rows["_q"].values[size > 0], v[size > 0] / size[size > 0, None]
+    shared = base.sparkSession.sparkContext.broadcast((ids, v))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qs, v = shared.value
+        kept: list[pd.DataFrame] = []
+        for b in batches:
+            b = b.drop_duplicates("_k").sort_values("_k")
+            if not len(b) or not len(qs):
+                continue
+            k, x = b["_k"].values, np.stack(b["_x"].values).astype(float)
+            norm = np.linalg.norm(x, axis=1)
+            k, x = k[norm > 0], x[norm > 0] / norm[norm > 0, None]
+            for lo in range(0, len(qs), QUERIES_AT_ONCE):
+                s = v[lo : lo + QUERIES_AT_ONCE] @ x.T
+                # one whole number orders by score to nine places, then by id
+                order = ((np.round(s * 1e9).astype(np.int64) + 2 * 10**9) << 30) - np.arange(len(k))
+                order[qs[lo : lo + QUERIES_AT_ONCE, None] == k[None, :]] = -1
+                n = min(top, len(k))
+                at = np.argpartition(-order, n - 1, axis=1)[:, :n] if n else np.empty((len(s), 0), int)
+                r, c = np.nonzero(np.take_along_axis(order, at, 1) >= 0)
+                kept.append(pd.DataFrame({"query": qs[lo + r], key: k[at[r, c]], "score": s[r, at[r, c]]}))
+            if len(kept) > 64:
+                kept = [_best(pd.concat(kept), key, top)]
+        if kept:
+            yield _best(pd.concat(kept), key, top)
+
+    return base.mapInPandas(search, f"query {kind}, `{key}` {kind}, score double")
+
+
+def _best(found: pd.DataFrame, key: str, top: int) -> pd.DataFrame:
+    found = found.assign(_s=-found["score"].round(9)).drop_duplicates(["query", key])
+    return found.sort_values(["query", "_s", key]).groupby("query").head(top).drop(columns="_s")
 
 
 def embedding_triples(docs: DataFrame, positives: DataFrame, negatives: DataFrame, standards: DataFrame, key: str, text: str = "text") -> DataFrame:
