@@ -30,8 +30,8 @@ def _sum(cols: Sequence[Column]) -> Column:
 
 def _share(tokens: Column, words: Sequence[str], marks: str, n: Column) -> Column:
     """Share of tokens that are one of the words once ``marks`` are stripped."""
-    kept = F.array(*map(F.lit, words))
-    return F.size(F.filter(tokens, lambda x: F.array_contains(kept, F.regexp_replace(x, f"^[{marks}]+|[{marks}]+$", "")))) / n
+    pattern = tx.one_of(words, marks)
+    return F.size(F.filter(tokens, lambda x: x.rlike(pattern))) / n
 
 
 def with_metadata_features(df: DataFrame, text_col: str = "text", rules: Sequence[rl.Rule] = rl.DEFAULT_RULES) -> DataFrame:
@@ -93,7 +93,7 @@ def with_linguistic_features(df: DataFrame, text_col: str = "text", fold: bool =
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     base = df.withColumn("_t", t).withColumn("_low", tx.fold_accents(F.lower(t)) if fold else F.lower(t))
-    base = base.withColumn("_segments", tx.segments(F.col("_t"))).withColumn("_words", tx.ws_tokens(F.col("_t"))).withColumn("_flags", rl.red_flags(tx.fold(F.col("_t"))))
+    base = base.withColumn("_segments", tx.segments(F.col("_t"))).withColumn("_words", tx.ws_tokens(F.col("_t"))).withColumn("_fold", tx.fold(F.col("_t"))).withColumn("_flags", rl.red_flags(F.col("_fold")))
     base = base.withColumn("_lens", F.filter(F.transform(F.when(F.size("_segments") > 0, F.col("_segments")).otherwise(F.array("_t")), lambda s: F.size(tx.ws_tokens(s))), lambda n: n > 0))
     x, low, words, lens, flags = (F.col(c) for c in ("_t", "_low", "_words", "_lens", "_flags"))
     n, k = F.greatest(F.size(words), F.lit(1)), F.greatest(F.size(lens), F.lit(1))

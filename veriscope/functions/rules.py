@@ -73,9 +73,11 @@ def suspicious_segments(t: Column, rules: Sequence[Rule] = DEFAULT_RULES, flags:
     ``flags``: the flags of the whole text, if known. A segment's folded text lies within the text's, so a text without
     flags has no such segment and its segments aren't looked at.
     """
-    made = F.transform(tx.segments(t), lambda s: F.struct(F.left(s, F.lit(300)).alias("snippet"), F.array_join(red_flags(tx.fold(s), rules), ", ").alias("flags")))
+    # folded once per segment: the inner array is made before the outer lambda reads it many times
+    both = F.transform(tx.segments(t), lambda s: F.struct(F.left(s, F.lit(300)).alias("s"), tx.fold(s).alias("f")))
+    made = F.transform(both, lambda x: F.struct(x["s"].alias("snippet"), F.array_join(red_flags(x["f"], rules), ", ").alias("flags")))
     found = F.filter(made, lambda x: x["flags"] != "")
-    whole = red_flags(tx.fold(t), rules) if flags is None else flags
+    whole = tx.let(tx.fold(t), lambda f: red_flags(f, rules)) if flags is None else flags
     return F.when(F.size(whole) > 0, found).otherwise(F.array().cast("array<struct<snippet:string,flags:string>>"))
 
 

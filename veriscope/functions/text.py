@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,6 +38,17 @@ def fold_accents(t: Column) -> Column:
     return F.translate(F.regexp_replace(t, r"\p{Mn}", ""), FOLD_FROM, FOLD_TO)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def one_of(words: Sequence[str], marks: str = "") -> str:
+    """A pattern of exactly one of the words, with any of ``marks`` around it."""
+    around = f"[{re.escape(marks)}]*" if marks else ""
+    return f"^{around}(?:{'|'.join(map(re.escape, sorted(words)))}){around}$"
+
+
 def fold_literal(s: str) -> str:
     """``fold_accents`` of a constant, at plan time."""
     out = "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn")
@@ -92,8 +104,8 @@ def join_compounds(t: Column, compounds: Sequence[str] = lx.COMPOUNDS) -> Column
 
 
 def kept_tokens(tokens: Column, stop: Sequence[str] = tuple(lx.STOP_WORDS)) -> Column:
-    stops = F.array(*map(F.lit, stop))
-    return F.filter(tokens, lambda x: (F.length(x) > 1) & ~F.array_contains(stops, x))
+    pattern = one_of(stop)
+    return F.filter(tokens, lambda x: (F.length(x) > 1) & ~x.rlike(pattern))
 
 
 def terms(t: Column) -> Column:
@@ -103,9 +115,9 @@ def terms(t: Column) -> Column:
 
 def is_english(t: Column, keywords: Sequence[str] = tuple(lx.ENGLISH_KEYWORDS)) -> Column:
     """Over nine tenths ASCII and at least three keyword tokens."""
-    words = F.array(*map(F.lit, keywords))
+    pattern = one_of(keywords)
     ascii_ = F.length(F.regexp_replace(t, r"[^\x00-\x7F]", "")) / F.greatest(F.length(t), F.lit(1))
-    return (ascii_ > 0.9) & (F.size(F.filter(word_tokens(t), lambda x: F.array_contains(words, x))) >= 3)
+    return (ascii_ > 0.9) & (F.size(F.filter(word_tokens(t), lambda x: x.rlike(pattern))) >= 3)
 
 
 def segments(t: Column) -> Column:

@@ -37,7 +37,7 @@ def canonical_m1(df: DataFrame, order: str, version: str = "v1.0") -> DataFrame:
         F.coalesce(_opt(df, "company_id"), _opt(df, "ticker"), F.format_string("CTY_ANON_%04d", "_n")).alias("company_id"), F.coalesce(_opt(df, "source"), F.lit("unknown")).alias("source"),
         _opt(df, "risk_level").alias("_risk"), _opt(df, "finding").alias("_finding"), (F.col("standard_ref") if "standard_ref" in df.columns else F.lit(None)).cast("array<string>").alias("_refs"),
     )
-    x = x.withColumns({"_f": rl.red_flags(tx.fold(F.col("text"))), "_t": F.array_join(tx.terms(F.col("text")), " ")})
+    x = x.withColumn("_fold", tx.fold(F.col("text"))).withColumns({"_f": rl.red_flags(F.col("_fold")), "_t": F.array_join(tx.terms(F.col("text")), " ")})
     x = x.withColumn("standard_ref", F.coalesce(F.when(F.size("_refs") > 0, F.col("_refs")), rl.standard_refs(F.col("_t"), F.col("label"))))
     return x.select("id", "text", "label", rl.label_number(F.col("label")).alias("label_int"), F.coalesce("_risk", rl.risk_level(F.col("label"), F.col("_f"))).alias("risk_level"), "standard_ref", F.coalesce("_finding", rl.finding(F.col("label"), F.col("_f"), F.col("standard_ref"))).alias("finding"), "source", "company_id", F.lit(version).alias("dataset_version"))
 

@@ -201,7 +201,7 @@ def predictions(df: DataFrame, threshold: float, model: str = "baseline", labels
     labels = labels or {1: "Cảnh báo rủi ro", 0: "Bình thường"}
     base = df if "hybrid_score" in df.columns else df.withColumn("hybrid_score", F.lit(None).cast("double"))
     base = ft.with_metadata_features(base)
-    base = base.withColumn("red_flags", rl.red_flags(tx.fold(F.coalesce("text", F.lit("")))))
+    base = base.withColumn("_fold", tx.fold(F.coalesce("text", F.lit("")))).withColumn("red_flags", rl.red_flags(F.col("_fold"))).drop("_fold")
     base = base.withColumn("score_breakdown", rl.score_breakdown(F.col("raw_score"), F.col("hybrid_score"), F.col("red_flags"), F.lit(float(threshold))))
     s, y = F.col("score_breakdown.final_score"), F.col("score_breakdown.predicted_label")
     four = lambda c: F.bround(c, 4)
@@ -210,7 +210,7 @@ def predictions(df: DataFrame, threshold: float, model: str = "baseline", labels
         "model": F.lit(model), "label": name, "legacy_label": F.when(y == 1, "Gian lận").otherwise("Bình thường"), "label_int": y, "risk_label": F.when(y == 1, "Rủi ro cao").otherwise("Rủi ro thấp"), "risk_label_int": y,
         "muc_do_rui_ro": rl.risk_band(s), "fraud_probability": four(s), "fraud_risk_probability": four(s), "non_fraud_probability": four(1 - s), "model_fraud_probability": four(F.col("score_breakdown.hybrid_metadata_score")),
         "raw_text_probability": four(F.col("raw_score")), "hybrid_probability": four(F.coalesce("hybrid_score", "raw_score")), "threshold_used": F.lit(round(float(threshold), 4)), "chat_luong_van_ban": four(F.col("ocr_quality")),
-        "van_ban_sach": tx.clean(F.coalesce("text", F.lit(""))), "doan_nghi_ngo": rl.suspicious_segments(F.coalesce("text", F.lit(""))),
+        "van_ban_sach": tx.clean(F.coalesce("text", F.lit(""))), "doan_nghi_ngo": rl.suspicious_segments(F.coalesce("text", F.lit("")), flags=F.col("red_flags")),
         "bias_flags": rl.bias_flags(F.col("ocr_quality"), F.col("digit_ratio"), F.col("log_char_len"), F.col("red_flag_count"), F.col("english_keyword_ratio")),
         "metadata_features": F.create_map(*(x for n in ft.METADATA for x in (F.lit(n), four(F.col(n))))),
         "explanation": F.format_string("raw=%.3f final=%.3f flags=%d", F.col("raw_score"), s, F.size("red_flags")),

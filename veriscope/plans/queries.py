@@ -45,6 +45,11 @@ def docs(s: SparkSession, d: str) -> DataFrame:
     return spread(table(s, d, "documents").select("doc_id", "lang", "source", "company_id", "report_year", F.coalesce("text", F.lit("")).alias("text")))
 
 
+def folded(df: DataFrame, *keep: str) -> DataFrame:
+    """The rows with ``_fold``, a column of its own, so that every phrase test reads it instead of folding again."""
+    return df.select(*keep, tx.fold(T()).alias("_fold"))
+
+
 def rounded(df: DataFrame, *keys: str, places: int = 6) -> DataFrame:
     """Fractions to so many places, so that sums in another order compare equal."""
     return df.select(*(F.round(c, places).alias(c) if t == "double" and c not in keys else F.col(c) for c, t in df.dtypes))
@@ -56,7 +61,7 @@ def T() -> Column:  # noqa: N802
 
 @query
 def risk_bands(s, d):
-    f = docs(s, d).select(F.lower(F.coalesce("lang", F.lit("unknown"))).alias("lang"), rl.red_flags(tx.fold(T()), CORPUS_RULES).alias("f"))
+    f = folded(docs(s, d), "lang").select(F.lower(F.coalesce("lang", F.lit("unknown"))).alias("lang"), rl.red_flags(F.col("_fold"), CORPUS_RULES).alias("f"))
     x = f.select("lang", rl.risk_band(rl.boosted(F.lit(0.4), F.col("f"))).alias("band"), F.size("f").alias("n"))
     return x.groupBy("lang", "band").agg(F.count("*").alias("documents"), F.sum("n").alias("flags"))
 
@@ -116,12 +121,12 @@ def text_denoised(s, d):
 
 @query
 def rule_flags(s, d):
-    return docs(s, d).select("doc_id", F.array_join(rl.red_flags(tx.fold(T()), CORPUS_RULES), ",").alias("flags"))
+    return folded(docs(s, d), "doc_id").select("doc_id", F.array_join(rl.red_flags(F.col("_fold"), CORPUS_RULES), ",").alias("flags"))
 
 
 @query
 def rule_flag_counts(s, d):
-    return docs(s, d).select(F.explode(rl.red_flags(tx.fold(T()), CORPUS_RULES)).alias("flag")).groupBy("flag").agg(F.count("*").alias("documents"))
+    return folded(docs(s, d)).select(F.explode(rl.red_flags(F.col("_fold"), CORPUS_RULES)).alias("flag")).groupBy("flag").agg(F.count("*").alias("documents"))
 
 
 @query
@@ -226,7 +231,7 @@ def split_statistics(s, d):
 @query
 def m1_canonical(s, d):
     x = spread(table(s, d, "m1_records")).select("id", F.coalesce("text", F.lit("")).alias("text"), rl.label_name(F.col("label")).alias("label"))
-    x = x.withColumns({"_f": rl.red_flags(tx.fold(T())), "_t": F.array_join(tx.terms(T()), " ")})
+    x = x.withColumn("_fold", tx.fold(T())).withColumns({"_f": rl.red_flags(F.col("_fold")), "_t": F.array_join(tx.terms(T()), " ")})
     x = x.withColumn("_r", rl.standard_refs(F.col("_t"), F.col("label")))
     return x.select("id", "label", rl.label_number(F.col("label")).alias("label_int"), rl.risk_level(F.col("label"), F.col("_f")).alias("risk_level"), F.array_join("_r", ",").alias("standard_ref"), rl.finding(F.col("label"), F.col("_f"), F.col("_r")).alias("finding"))
 
