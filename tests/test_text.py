@@ -87,3 +87,10 @@ def test_personal_data(spark):
 
 def test_masking_keeps_order(spark):
     assert column(spark, ["Cơ sở của ý kiến ngoại trừ"], tx.mask_leaks) == ["Cơ sở của [MASK]"]
+
+
+def test_word_lists(spark):
+    words = ["going-concern", "off-balance", "a.b", "x"]
+    got = column(spark, ["going-concern,", "(x)", "axb", "a.b", ",.x;!"], lambda t: t.rlike(tx.one_of(words, ".,:;!?")))
+    assert got == [True, False, False, True, True]
+    assert column(spark, ["Đông"], lambda t: tx.let(tx.fold(t), lambda f: F.concat(f, f))) == ["dongdong"]
