@@ -163,6 +163,13 @@ def declared_hits(docs: DataFrame, rules: Sequence[tuple] = tuple(lx.DECLARED_RU
     return hits.select(id_col, "h.*")
 
 
+def standard_matches(docs: DataFrame, patterns: Mapping[str, str] = lx.STANDARD_PATTERNS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, standard): documents whose folded text matches a standard's pattern."""
+    made = [F.when(F.col("_fold").rlike(p), F.lit(k)) for k, p in patterns.items()]
+    hits = docs.select(id_col, tx.fold(F.col(text_col)).alias("_fold")).select(id_col, F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("standard"))
+    return hits
+
+
 def personal_data(t: Column) -> dict[str, Column]:
     """Counts of e-mail addresses, phone numbers and long ids."""
     return {"email": F.regexp_count(t, F.lit(lx.EMAIL)), "phone": F.regexp_count(t, F.lit(lx.PHONE)), "long_id": F.regexp_count(t, F.lit(lx.LONG_ID))}

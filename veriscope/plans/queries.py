@@ -139,6 +139,11 @@ def declared_rules(s, d):
     return rl.declared_hits(docs(s, d))
 
 
+@query
+def standard_matches(s, d):
+    return rl.standard_matches(docs(s, d))
+
+
 @query
 def fraud_signals(s, d):
     x = docs(s, d).select("doc_id", T(), rl.fraud_signals(T()).alias("f"))
@@ -257,7 +262,7 @@ def cohen_kappa(s, d):
 
 
 def events(s, d) -> DataFrame:
-    return drift.once(table(s, d, "prediction_events").distinct())
+    return drift.once(table(s, d, "prediction_events"))
 
 
 def measured(s, d) -> DataFrame:

@@ -313,6 +313,7 @@ def _signal_sql() -> str:
     return f"WITH {DOCS}, f AS (SELECT doc_id, t, list_filter([{', '.join(made)}], lambda x: x IS NOT NULL) AS f FROM docs) SELECT doc_id, array_to_string(f, ',') AS signals, CASE WHEN {opinion} OR len(f) > 0 THEN 1 ELSE 0 END AS label FROM f"
 
 
+SQL["standard_matches"] = f"WITH {DOCS}, f AS (SELECT doc_id, {fold('t')} AS f FROM docs), p(standard, p) AS (VALUES " + ", ".join(f"({q(k)}, {q(p)})" for k, p in lx.STANDARD_PATTERNS.items()) + ") SELECT doc_id, standard FROM f JOIN p ON regexp_matches(f, p)"
 SQL |= {"time_marks": _date_sql(), "m1_canonical": _m1_sql(), "fraud_signals": _signal_sql()}
 SQL |= {
     "retrieval_sets": "WITH i AS (SELECT DISTINCT id FROM m1_records WHERE id IS NOT NULL) SELECT 1 AS label, count(*) AS pairs FROM i UNION ALL SELECT 0, 3 * count(*) FROM i",
