@@ -94,3 +94,8 @@ def test_word_lists(spark):
     got = column(spark, ["going-concern,", "(x)", "axb", "a.b", ",.x;!"], lambda t: t.rlike(tx.one_of(words, ".,:;!?")))
     assert got == [True, False, False, True, True]
     assert column(spark, ["Đông"], lambda t: tx.let(tx.fold(t), lambda f: F.concat(f, f))) == ["dongdong"]
+
+
+def test_denoise(spark):
+    noisy = "A  b\t\tc\n-----....\n\n\n\n%%%%%%\n Trang 1/2 \n- 5 -\nPage 3\nDoanh thu 5\r\n"
+    assert column(spark, [noisy, "", "  "], tx.denoise) == ["A b c\n\nDoanh thu 5", "", ""]

@@ -16,6 +16,7 @@ from veriscope.functions import lexicons as lx
 #: White space and word characters as the same class in every regex dialect.
 WS = r"[\t\n\x0B\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 NOT_WS = "[^" + WS[1:]
+BLANK = WS.replace(r"\n", "")
 WORD = r"[\p{L}\p{N}_]"
 
 
@@ -160,7 +161,7 @@ def mask_leaks(t: Column, phrases: Sequence[str] = tuple(lx.LEAKING_PHRASES)) ->
 
 def denoise(t: Column) -> Column:
     """Without the usual noise of scanned pages."""
-    s = F.regexp_replace(t, rf"[^\P{{Z}}\x{{2028}}]|{WS[:-1]}&&[^\n]]", " ")
+    s = F.regexp_replace(t, f"{BLANK}+", " ")
     s = F.regexp_replace(s, r"[_\-.]{5,}", " ")
     s = F.regexp_replace(s, rf"(?md)^{WS}*[^a-zA-Z0-9À-ỹ\n]{{5,}}{WS}*$", "")
     s = F.regexp_replace(s, rf"(?mdiu)^{WS}*(?:[-–—]?{WS}*\d+{WS}*[-–—]?|Trang{WS}*\d+(?:/\d+)?|Page{WS}*\d+){WS}*$", "")

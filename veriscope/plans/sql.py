@@ -313,6 +313,19 @@ def _signal_sql() -> str:
     return f"WITH {DOCS}, f AS (SELECT doc_id, t, list_filter([{', '.join(made)}], lambda x: x IS NOT NULL) AS f FROM docs) SELECT doc_id, array_to_string(f, ',') AS signals, CASE WHEN {opinion} OR len(f) > 0 THEN 1 ELSE 0 END AS label FROM f"
 
 
+def _denoised_sql() -> str:
+    s = sub("t", f"{tx.BLANK}+", " ")
+    s = sub(s, r"[_\-.]{5,}", " ")
+    s = sub(s, rf"(?m)^{WS}*[^a-zA-Z0-9À-ỹ\n]{{5,}}{WS}*$", "")
+    s = sub(s, rf"(?mi)^{WS}*(?:[-–—]?{WS}*\d+{WS}*[-–—]?|Trang{WS}*\d+(?:/\d+)?|Page{WS}*\d+){WS}*$", "")
+    s = strip(sub(s, r"\n{3,}", "\n\n"))
+    m = "t"
+    for p in lx.LEAKING_PHRASES:
+        m = sub(m, f"(?i){p}", "[MASK]")
+    return f"WITH {DOCS} SELECT doc_id, {s} AS text, {m} AS masked FROM docs"
+
+
+SQL["text_denoised"] = _denoised_sql()
 SQL["standard_matches"] = f"WITH {DOCS}, f AS (SELECT doc_id, {fold('t')} AS f FROM docs), p(standard, p) AS (VALUES " + ", ".join(f"({q(k)}, {q(p)})" for k, p in lx.STANDARD_PATTERNS.items()) + ") SELECT doc_id, standard FROM f JOIN p ON regexp_matches(f, p)"
 SQL |= {"time_marks": _date_sql(), "m1_canonical": _m1_sql(), "fraud_signals": _signal_sql()}
 SQL |= {
