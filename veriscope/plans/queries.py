@@ -337,7 +337,7 @@ def drift_by_month(s, d):
 @query
 def drift_reports(s, d):
     x = drift.drift_report(drift.last_window(events(s, d), ["model"], ["ts", "event_id"]), ["model"])
-    return x.withColumn("alerts", F.array_join("alerts", ","))
+    return rounded(x.withColumn("alerts", F.array_join("alerts", ",")))
 
 
 @query

@@ -114,7 +114,7 @@ def evaluate(source: str, group: list[str], label: str, score: str, threshold: s
     k AS (SELECT *, avg(rk) OVER (PARTITION BY {g} s) AS mid FROM (SELECT *, row_number() OVER ({by}ORDER BY s) AS rk FROM r)),
     c AS (SELECT {g} s, sum(y) AS pos, count(*) AS n FROM r GROUP BY {g} s),
     a AS (SELECT {g} sum(pos * ctp / cn::DOUBLE) / nullif(sum(pos), 0) AS ap FROM (SELECT *, sum(pos) OVER ({by}ORDER BY s DESC) AS ctp, sum(n) OVER ({by}ORDER BY s DESC) AS cn FROM c) {end}),
-    m AS (SELECT {g} count(*) AS support, sum(y) AS positives, sum(y * p) AS tp, sum((1 - y) * p) AS fp, sum(y * (1 - p)) AS fn, sum((1 - y) * (1 - p)) AS tn,
+    m AS (SELECT {g} count(*) AS support, sum(y)::BIGINT AS positives, sum(y * p)::BIGINT AS tp, sum((1 - y) * p)::BIGINT AS fp, sum(y * (1 - p))::BIGINT AS fn, sum((1 - y) * (1 - p))::BIGINT AS tn,
         CASE WHEN sum(y) > 0 AND sum(1 - y) > 0 THEN (sum(y * mid) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * sum(1 - y)) ELSE 0 END AS auc_roc,
         avg(s) AS score_mean, stddev_pop(s) AS score_std, min(s) AS score_min, max(s) AS score_max, avg(p) AS predicted_rate FROM k {end}),
     e AS (SELECT *, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS precision, coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS recall FROM m)"""
@@ -325,6 +325,22 @@ def _denoised_sql() -> str:
     return f"WITH {DOCS} SELECT doc_id, {s} AS text, {m} AS masked FROM docs"
 
 
+def _report_sql() -> str:
+    bins = ", ".join(f"sum(CASE WHEN b = {i} THEN 1 ELSE 0 END) / nullif(count(b), 0)::DOUBLE" for i in range(10))
+    base = ", ".join(f"{x}::DOUBLE" for x in lx.BASELINE_BINS)
+    judged = lambda e: f"CASE WHEN labelled >= 20 THEN {e} END"
+    f2d, rd = f"({lx.BASELINE_METRICS['f2']}::DOUBLE - f2)", f"({lx.BASELINE_METRICS['recall']}::DOUBLE - recall)"
+    return f"""WITH {EVENTS}, w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY ts DESC, event_id DESC) AS k FROM ev) WHERE k <= 200), {evaluate('w', ['model'], 'true_label', 'fraud_prob', 'threshold_used')},
+        x AS (SELECT *, CASE WHEN fraud_prob IS NOT NULL THEN greatest(0, least(9, floor(fraud_prob / 0.1::DOUBLE)::INT)) END AS b FROM w),
+        h AS (SELECT model, count(*) AS events, count(b) AS scored, avg(fraud_prob) AS mean_prob, avg(text_length) AS mean_length, avg(red_flag_count) AS mean_flags, avg(CASE WHEN label > 0 THEN 1.0::DOUBLE WHEN label IS NOT NULL THEN 0 END) AS fraud_rate, count(true_label) AS labelled, [{bins}] AS c FROM x GROUP BY 1),
+        p AS (SELECT h.*, e.precision, e.recall, {_fb(1)} AS f1, {_fb(2)} AS f2, CASE WHEN scored >= 10 THEN list_sum(list_transform(list_zip(c, [{base}]), lambda z: (greatest(z[1], 1e-6::DOUBLE) - z[2]) * ln(greatest(z[1], 1e-6::DOUBLE) / z[2]))) END AS psi FROM h LEFT JOIN e ON h.model IS NOT DISTINCT FROM e.model),
+        l AS (SELECT *, CASE WHEN psi IS NULL OR psi < 0.1 THEN 'none' WHEN psi < 0.2 THEN 'warning' ELSE 'critical' END AS level FROM p),
+        al_ AS (SELECT *, list_filter([CASE WHEN level <> 'none' THEN 'data_drift_' || level END, CASE WHEN labelled >= 20 AND {f2d} > 0.05 THEN 'concept_drift_f2' END, CASE WHEN labelled >= 20 AND {rd} > 0.03 THEN 'concept_drift_recall' END], lambda x: x IS NOT NULL) AS al FROM l)
+        SELECT model, events, scored, round(mean_prob, 6) AS mean_prob, round(mean_length, 6) AS mean_length, round(mean_flags, 6) AS mean_flags, round(fraud_rate, 6) AS fraud_rate, round(psi, 6) AS psi, level, labelled, round({judged('precision')}, 6) AS precision, round({judged('recall')}, 6) AS recall, round({judged('f1')}, 6) AS f1, round({judged('f2')}, 6) AS f2, round({judged(f2d)}, 6) AS f2_drop, round({judged(rd)}, 6) AS recall_drop, array_to_string(al, ',') AS alerts,
+        CASE WHEN len(list_filter(al, lambda x: x LIKE 'concept%')) > 0 THEN 'retrain' WHEN level = 'critical' THEN 'investigate' WHEN level = 'warning' THEN 'watch' ELSE 'none' END AS advice FROM al_"""
+
+
+SQL["drift_reports"] = _report_sql()
 SQL["text_denoised"] = _denoised_sql()
 SQL["standard_matches"] = f"WITH {DOCS}, f AS (SELECT doc_id, {fold('t')} AS f FROM docs), p(standard, p) AS (VALUES " + ", ".join(f"({q(k)}, {q(p)})" for k, p in lx.STANDARD_PATTERNS.items()) + ") SELECT doc_id, standard FROM f JOIN p ON regexp_matches(f, p)"
 SQL |= {"time_marks": _date_sql(), "m1_canonical": _m1_sql(), "fraud_signals": _signal_sql()}
