@@ -297,7 +297,8 @@ def similar_classes(corpus: Corpus, members: DataFrame, similarity: float, cross
             none = np.zeros(len(z), np.int64)
             return pd.DataFrame({"sig_a": np.concatenate([p[:, 0], none]), "sig_b": np.concatenate([p[:, 1], none]), "hot": np.concatenate([np.full(len(p), -1), z])})
 
-        blobs = corpus.rows.mapInPandas(post, Tiles.SCHEMA)
+        # tasks follow the number of buckets, not the session's partitions; twice as many, as hashes of few keys collide
+        blobs = corpus.rows.mapInPandas(post, Tiles.SCHEMA).repartition(2 * buckets, "q")
         return staged(blobs.groupBy("q").applyInPandas(meet, "sig_a bigint, sig_b bigint, hot bigint").distinct(), what)
 
     found = candidates_of(max(1, parts, -(-postings // BUCKET_POSTINGS)), None, hot_tile, "candidates")
