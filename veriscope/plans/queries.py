@@ -384,18 +384,26 @@ def first_standards(s, d):
     return retrieval.first_standard(x, standards(s), "id", "ref")
 
 
+def m1_positives(s, d) -> tuple[DataFrame, DataFrame]:
+    """The records by id with their text, and each record's own standard: that of its first reference, given or inferred."""
+    x = table(s, d, "m1_records").where("id is not null").dropDuplicates(["id"]).select("id", F.coalesce("text", F.lit("")).alias("text"), "label", "standard_ref")
+    known = F.size(F.coalesce("standard_ref", F.array())) > 0
+    # the terms and the references are columns of their own, so that each is made once
+    y = x.withColumn("_t", F.when(known, F.lit("")).otherwise(F.array_join(tx.terms(T()), " "))).withColumn("_r", rl.standard_refs(F.col("_t"), rl.label_name(F.col("label"))))
+    refs = y.select("id", F.try_element_at(F.when(known, F.col("standard_ref")).otherwise(F.col("_r")), F.lit(1)).alias("ref"))
+    return x.select("id", "text"), retrieval.first_standard(refs, standards(s), "id", "ref")
+
+
 @query
 def hard_negatives(s, d):
-    p = table(s, d, "m1_records").where("id is not null").select("id", F.lit("VAS01-chunk01").alias("chunk_id")).distinct()
+    _, p = m1_positives(s, d)
     return retrieval.hard_negatives(p, standards(s), "id")
 
 
 @query
 def retrieval_sets(s, d):
-    x = table(s, d, "m1_records").where("id is not null").select("id", "text").dropDuplicates(["id"])
-    p = x.select("id", F.lit("VAS01-chunk01").alias("chunk_id"))
-    pairs = retrieval.reranker_pairs(x, p, retrieval.hard_negatives(p, standards(s), "id"), standards(s), "id")
-    return pairs.groupBy("label").agg(F.count("*").alias("pairs"))
+    x, p = m1_positives(s, d)
+    return retrieval.reranker_pairs(x, p, retrieval.hard_negatives(p, standards(s), "id"), standards(s), "id")
 
 
 @query
