@@ -1,4 +1,5 @@
-from veriscope.plans import QUERIES
+from veriscope.operators import model
+from veriscope.plans import QUERIES, queries
 
 
 def test_positives_are_each_records_own(spark, tmp_path):
@@ -16,3 +17,11 @@ def test_positives_are_each_records_own(spark, tmp_path):
     text = {s[0]: s[4] for s in STANDARDS}
     assert {r.id: r.passage for r in pairs if r.label == 1} == {k: text[c] for k, c in own.items()}
     assert len(pairs) == 4 * len(own) and all(r.passage != text[own[r.id]] for r in pairs if r.label == 0)
+
+
+def test_text_model_has_the_settings_of_the_reference(spark, tmp_path, monkeypatch):
+    rows = [(i, f"văn bản {i}", i % 2) for i in range(20)]
+    spark.createDataFrame(rows, "sample_id int, text string, label int").write.parquet(str(tmp_path / "mini_samples.parquet"))
+    monkeypatch.setattr(model.TextModel, "fit", lambda self, *_: self)
+    for m in (queries.trained(spark, str(tmp_path))[0], model.TextModel()):
+        assert m.vocabulary == 20_000 and m.iterations >= 300

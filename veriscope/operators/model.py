@@ -45,7 +45,7 @@ class TextModel:
     name: str = "baseline"
     vocabulary: int = 20_000
     c: float = 1.0
-    iterations: int = 100
+    iterations: int = 300
     threshold: float = 0.5
     fitted: PipelineModel | None = None
 

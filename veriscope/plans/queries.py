@@ -433,7 +433,7 @@ def labelled(s, d) -> DataFrame:
 
 def trained(s, d) -> tuple[model.TextModel, DataFrame]:
     x = spread(labelled(s, d)).persist()
-    return model.TextModel(vocabulary=5000, iterations=30).fit(x.where("split = 'train'"), x.where("split = 'val'")), x
+    return model.TextModel().fit(x.where("split = 'train'"), x.where("split = 'val'")), x
 
 
 @query
