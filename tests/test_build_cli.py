@@ -42,10 +42,10 @@ def test_cli_and_serving(spark, tmp_path, capsys):
     cli.main(["score", "--folder", str(tmp_path / "in"), "--model", str(tmp_path / "m"), "--out", str(tmp_path / "o")])
     s = json.loads(capsys.readouterr().out)[0]
     assert (s["documents"], s["failed"]) == (2, 1)
-    reg = model.Registry()
+    reg = model.Registry(("baseline", "encoder"))
     reg.register("baseline", lambda d: d.withColumn("raw_score", F.lit(0.4)))
     out = serving.analyze(spark.createDataFrame([(1, "x"), (2, "")], "id int, text string"), reg).orderBy("id").collect()
-    assert out[0].label_int == 0 and out[1].error and serving.health(spark, reg)["models"] == {"baseline": True, "phobert": False, "mfinbert": False, "auditbert": False}
+    assert out[0].label_int == 0 and out[1].error and serving.health(spark, reg)["models"] == {"baseline": True, "encoder": False}
     events = serving.prediction_events(serving.analyze(spark.createDataFrame([(i, "x") for i in range(12)], "id int, text string"), reg), "id", "baseline")
     assert serving.drift_status(events).first().level == "critical"
 

@@ -56,6 +56,7 @@ def test_text_model(spark, tmp_path):
     assert min(v for k, v in r.items() if k % 2) > max(v for k, v in r.items() if not k % 2)
     m.save(str(tmp_path / "m"))
     again = model.TextModel().load(str(tmp_path / "m"))
+    assert again.threshold == m.threshold and model.TextModel().load(str(tmp_path / "m"), 0.9).threshold == 0.9
     assert {x.doc_id: x.raw_score for x in again.score(df).collect()} == r
     out = model.predictions(m.score(df), m.threshold).where("doc_id = 1").first()
     assert out.red_flags == ["hoa_don_gia_hoac_thoi_phong_doanh_thu"] and out.score_breakdown.decision_layer == "rule_based_postprocessing"

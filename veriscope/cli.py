@@ -31,7 +31,7 @@ def main(argv: list[str] | None = None) -> None:
         c = sub.add_parser(name)
         for o in options:
             c.add_argument(f"--{o}", required=True)
-        c.add_argument("--threshold", type=float, default=0.5)
+        c.add_argument("--threshold", type=float, help="overrides the tuned threshold")
     a = p.parse_args(argv)
     spark = get_spark()
     show = lambda rows: print(json.dumps([r.asDict(recursive=True) for r in rows], ensure_ascii=False, default=str, indent=2))

@@ -138,10 +138,15 @@ def mcnemar_p(statistic: float | None) -> float:
     return 1.0 if not statistic else math.erfc(math.sqrt(statistic / 2))
 
 
-def ablation_deltas(metrics: DataFrame, variant: str, full: str, names: Sequence[str] = ("f2", "auc_roc", "mcc")) -> DataFrame:
-    """(variant, delta_*): the full variant's metric minus each other's."""
-    base = metrics.where(F.col(variant) == full).select(*(F.col(n).alias(f"_{n}") for n in names)).limit(1)
-    return metrics.where(F.col(variant) != full).join(F.broadcast(base)).select(variant, *((F.col(f"_{n}") - F.col(n)).alias(f"delta_{n}") for n in names))
+def ablation_deltas(metrics: DataFrame, variant: str, full: str | None = None, names: Sequence[str] = ("f2", "auc_roc", "mcc")) -> DataFrame:
+    """(variant, full, delta_*): the full variant's metric minus each other's.
+
+    Without ``full`` the variant of greatest first metric counts as full, the least name on ties. A metric that is null
+    on either side has a null delta; without the full variant there is no row.
+    """
+    rows = metrics if full is None else metrics.where(F.col(variant) == full)
+    base = rows.where(F.col(variant).isNotNull()).agg(F.min_by(F.struct(F.col(variant).alias("full"), *names), F.struct(-F.coalesce(F.col(names[0]).cast("double"), F.lit(float("-inf"))), F.col(variant))).alias("_b"))
+    return metrics.join(F.broadcast(base)).where(F.col(variant) != F.col("_b.full")).select(variant, F.col("_b.full").alias("full"), *((F.col(f"_b.{n}") - F.col(n)).alias(f"delta_{n}") for n in names))
 
 
 def best_models(metrics: DataFrame, model: str, names: Sequence[str]) -> DataFrame:

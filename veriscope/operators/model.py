@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -10,7 +11,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, NGram, Normalizer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -106,10 +107,20 @@ class TextModel:
         return top_terms(long.withColumn("contribution", F.col("_v") * F.col("_c")), key, "contribution", k)
 
     def save(self, path: str) -> None:
-        self.fitted.write().overwrite().save(path)
-
-    def load(self, path: str, threshold: float = 0.5) -> TextModel:
-        self.fitted, self.threshold = PipelineModel.load(path), threshold
+        """The pipeline in ``path``/model and a side-car beside it: what scoring needs besides the pipeline."""
+        self.fitted.write().overwrite().save(f"{path}/model")
+        side = {"name": self.name, "threshold": float(self.threshold), "vocabulary": self.vocabulary, "c": self.c, "iterations": self.iterations}
+        spark = SparkSession.active()
+        spark.createDataFrame([(json.dumps(side),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/side_car")
+
+    def load(self, path: str, threshold: float | None = None) -> TextModel:
+        """The model as saved; ``threshold`` overrides the one that was tuned."""
+        side = json.loads(SparkSession.active().read.text(f"{path}/side_car").first().value)
+        for k, v in side.items():
+            setattr(self, k, v)
+        self.fitted = PipelineModel.load(f"{path}/model")
+        if threshold is not None:
+            self.threshold = threshold
         return self
 
 
@@ -166,21 +177,19 @@ def external_scores(df: DataFrame, scorer: Callable[[list[str]], Sequence[float]
 
 
 class Registry:
-    """Scorers by name; an unknown name is an error."""
-
-    # Names of the registered models.
-    NAMES = ("baseline", "phobert", "mfinbert", "auditbert")
+    """Scorers by name; the names are the caller's, and an unknown name is an error."""
 
-    def __init__(self):
+    def __init__(self, names: Sequence[str] = ("baseline",)):
+        self.names = tuple(names)
         self._made: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
     def register(self, name: str, scorer: Callable[[DataFrame], DataFrame]) -> None:
-        if name not in self.NAMES:
+        if name not in self.names:
             raise KeyError(name)
         self._made[name] = scorer
 
     def get(self, name: str) -> Callable[[DataFrame], DataFrame]:
-        if name not in self.NAMES:
+        if name not in self.names:
             raise KeyError(name)
         if name not in self._made:
             raise LookupError(f"{name} has no scorer here")
@@ -189,7 +198,7 @@ class Registry:
     def compare(self, df: DataFrame, key: str) -> DataFrame:
         """(key, model, status, raw_score) of every registered model; those without a scorer are ``missing``."""
         out = None
-        for name in self.NAMES:
+        for name in self.names:
             rows = self._made[name](df).select(key, F.lit(name).alias("model"), F.lit("ok").alias("status"), "raw_score") if name in self._made else df.select(key, F.lit(name).alias("model"), F.lit("missing").alias("status"), F.lit(None).cast("double").alias("raw_score"))
             out = rows if out is None else out.unionByName(rows)
         return out

@@ -304,7 +304,7 @@ def mcnemar_pairs(s, d):
 
 @query
 def ablation(s, d):
-    return rounded(metrics.ablation_deltas(measured(s, d), "model", "auditbert", ("f2", "auc_roc")))
+    return rounded(metrics.ablation_deltas(rounded(measured(s, d)), "model"))
 
 
 @query

@@ -186,7 +186,7 @@ SQL: dict[str, str] = {
     "mcnemar_pairs": f"""WITH {EVENTS}, r AS (SELECT sample_id, model, max(CASE WHEN (true_label > 0) = (fraud_prob >= threshold_used) THEN 1 ELSE 0 END) AS ok FROM ev WHERE true_label IS NOT NULL AND fraud_prob IS NOT NULL AND threshold_used IS NOT NULL AND sample_id IS NOT NULL AND model IS NOT NULL GROUP BY 1, 2)
         SELECT a.model AS model_a, b.model AS model_b, sum(CASE WHEN a.ok = 0 AND b.ok = 0 THEN 1 ELSE 0 END)::BIGINT AS n00, sum(CASE WHEN a.ok = 0 AND b.ok = 1 THEN 1 ELSE 0 END)::BIGINT AS n01, sum(CASE WHEN a.ok = 1 AND b.ok = 0 THEN 1 ELSE 0 END)::BIGINT AS n10, sum(CASE WHEN a.ok = 1 AND b.ok = 1 THEN 1 ELSE 0 END)::BIGINT AS n11,
         round(coalesce(power(abs(sum(CASE WHEN a.ok = 0 AND b.ok = 1 THEN 1 ELSE 0 END) - sum(CASE WHEN a.ok = 1 AND b.ok = 0 THEN 1 ELSE 0 END)) - 1, 2)::DOUBLE / nullif(sum(CASE WHEN a.ok <> b.ok THEN 1 ELSE 0 END), 0), 0), 6) AS statistic FROM r a JOIN r b ON a.sample_id = b.sample_id AND a.model < b.model GROUP BY 1, 2""",
-    "ablation": f"WITH {EVENTS}, {evaluate('ev', ['model'], 'true_label', 'fraud_prob', '0.5')}, z AS (SELECT model, {_fb(2)} AS f2, auc_roc FROM e) SELECT z.model, round(b.f2 - z.f2, 6) AS delta_f2, round(b.auc_roc - z.auc_roc, 6) AS delta_auc_roc FROM z, z b WHERE b.model = 'auditbert' AND z.model <> 'auditbert'",
+    "ablation": f"WITH {EVENTS}, {evaluate('ev', ['model'], 'true_label', 'fraud_prob', '0.5')}, z AS (SELECT model, {METRICS} FROM e JOIN a USING (model)), b AS (SELECT * FROM z ORDER BY f2 DESC, model LIMIT 1) SELECT z.model, b.model AS full, round(b.f2 - z.f2, 6) AS delta_f2, round(b.auc_roc - z.auc_roc, 6) AS delta_auc_roc, round(b.mcc - z.mcc, 6) AS delta_mcc FROM z, b WHERE z.model <> b.model",
     "best_models": f"WITH {EVENTS}, {evaluate('ev', ['model'], 'true_label', 'fraud_prob', '0.5')}, z AS (SELECT model, round({_fb(2)}, 6) AS f2, round(auc_roc, 6) AS auc_roc, round(recall, 6) AS recall FROM e), l AS (SELECT 'f2' AS metric, model, f2 AS value FROM z UNION ALL SELECT 'auc_roc', model, auc_roc FROM z UNION ALL SELECT 'recall', model, recall FROM z), o AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, model) AS k FROM l) SELECT metric, model, value FROM o WHERE k = 1",
     "layer_evidence": f"WITH {EVENTS}, x AS (SELECT fraud_prob AS r, least(1.0::DOUBLE, greatest(0.0::DOUBLE, fraud_prob) + 0.05::DOUBLE * len(coalesce(red_flags, []))) AS h FROM ev WHERE fraud_prob IS NOT NULL) SELECT count(*) AS n, round(avg(abs(h - r)), 6) AS mean_shift, round(max(abs(h - r)), 6) AS max_shift, sum(CASE WHEN (r >= 0.5) <> (h >= 0.5) THEN 1 ELSE 0 END)::BIGINT AS changed FROM x",
     "class_weights": "WITH c AS (SELECT label, count(*) AS n FROM mini_samples WHERE label IS NOT NULL GROUP BY 1) SELECT label, n, round(sum(n) OVER () / (count(*) OVER () * n)::DOUBLE, 6) AS weight, round(1 - n / (sum(n) OVER ())::DOUBLE, 6) AS alpha FROM c",

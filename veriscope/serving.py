@@ -10,7 +10,7 @@ from veriscope.operators import drift, model
 
 def health(spark: SparkSession, registry: model.Registry) -> dict:
     """Whether the session answers and which models have a scorer."""
-    return {"status": "ok" if spark.range(1).count() == 1 else "error", "spark": spark.version, "models": {n: n in registry._made for n in registry.NAMES}}
+    return {"status": "ok" if spark.range(1).count() == 1 else "error", "spark": spark.version, "models": {n: n in registry._made for n in registry.names}}
 
 
 def analyze(df: DataFrame, registry: model.Registry, name: str = "baseline", threshold: float = 0.5) -> DataFrame:
