@@ -73,7 +73,7 @@ def test_hybrid_head(spark):
 
 
 def test_registry(spark):
-    r = model.Registry()
+    r = model.Registry(("baseline", "a", "b", "c"))
     with pytest.raises(KeyError):
         r.get("other")
     r.register("baseline", lambda d: d.withColumn("raw_score", F.lit(0.5)))
