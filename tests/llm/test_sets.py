@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,9 +75,26 @@ def test_hot_tiles_lose_nothing(spark, k, t):
     df = spark.createDataFrame(list(enumerate(texts)), "sample_id long, text string").repartition(3)
     corpus = nearsets.Corpus(df, "sample_id", "text", k)
     members = corpus.members().cache()
-    every = lambda hot: {(r.sig_a, r.sig_b, round(r.similarity, 9)) for r in nearsets.similar_classes(corpus, members, t, hot_tile=hot).collect()}
-    want = every(10**6)
-    assert want and every(2) == want and every(5) == want
+    every = lambda **how: {(r.sig_a, r.sig_b, round(r.similarity, 9)) for r in nearsets.similar_classes(corpus, members, t, **how).collect()}
+    want = every(hot_tile=10**6)
+    # split twice, then in blocks; split as often as it helps; split unseen
+    assert want and every(hot_tile=2, levels_most=2) == want and every(hot_tile=5) == want and every(tile_postings=25, levels_most=2) == want
+
+
+def test_shared_boilerplate_makes_no_pairs(spark, monkeypatch):
+    """Texts that share 28 shingles and are below the similarity: no bound is computed for a pair, whatever their number."""
+    rnd = random.Random(4)
+    stock = " ".join(f"khuôn{i}" for i in range(30))
+    texts = [stock + " " + " ".join(f"w{rnd.randrange(10**9)}" for _ in range(rnd.randrange(10, 40))) for _ in range(3000)]
+    s = nearsets.Sets(texts, 3)
+    sketch = np.bincount(s.sets >> np.uint64(46), minlength=1 << 18).astype(np.uint32)
+    tiles = nearsets.Tiles(nearsets.Fraction(3, 5), False)
+    met = []
+    monkeypatch.setattr(tiles, "need", lambda both: met.append(len(both)) or nearsets.Tiles.need(tiles, both))
+    posted = [b.to_pandas() for b in tiles.post(s, np.zeros(3000, np.int64), [nearsets.Level(sketch, 2**32)], 4)]
+    for q in range(4):
+        assert not list(tiles.meet(pd.concat(posted).query("q == @q"), None))
+    assert sum(met) < 3000
 
 
 def test_near_duplicates_edges(spark):

@@ -109,12 +109,23 @@ def grams(h: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return mixed(g[at]), out
 
 
+def by_text(key: np.ndarray, text: np.ndarray, texts: int, tie: np.ndarray | None = None) -> np.ndarray:
+    """The order by text and, within one, by key and then by ``tie``; without ``tie`` equal keys come in any order."""
+    order = np.argsort(key)
+    order = order[np.argsort(text[order].astype(np.uint16 if texts <= 1 << 16 else np.uint32), kind="stable")]
+    if tie is not None and len(key) and ((key[order[1:]] == key[order[:-1]]) & (text[order[1:]] == text[order[:-1]])).any():
+        return np.lexsort((tie, key, text))
+    return order
+
+
 def shingle_sets(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distinct shingles of k words as ascending 32-bit hashes, and where each text starts (n + 1)."""
+    """Each text's distinct shingles of k words as ascending 64-bit hashes, and where each text starts (n + 1)."""
     h, starts = words(texts)
     g, at = grams(h, starts, k)
-    key = (np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(at)) << np.uint64(32)) | (g >> np.uint64(32))
-    key.sort()
-    if len(key):
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    return key.astype(np.uint32), np.searchsorted(key >> np.uint64(32), np.arange(len(texts) + 1, dtype=np.uint64)).astype(np.int64)
+    text = np.repeat(np.arange(len(texts)), np.diff(at))
+    order = by_text(g, text, len(texts))
+    g, text = g[order], text[order]
+    if len(g):
+        keep = np.concatenate([[True], (g[1:] != g[:-1]) | (text[1:] != text[:-1])])
+        g, text = g[keep], text[keep]
+    return g, np.searchsorted(text, np.arange(len(texts) + 1))
