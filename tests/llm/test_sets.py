@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -199,3 +200,36 @@ def test_reading_levels(spark):
     assert sum(error) / len(error) < 0.5 and all(1 <= got[i].grade <= 5 for i in range(400))
     assert readability.reading_levels(docs, labels.limit(0)).where("level is not null").count() == 0
     assert readability.reading_levels(docs.limit(0), labels).count() == 0
+
+
+def test_rounds_help_and_graded_documents_are_clamped(spark):
+    """Held-out quality on the test tables: rounds to convergence beat one round, and beat mean sentence length."""
+    d = "/root/testdata/sf0.1"
+    if not os.path.exists(d):
+        pytest.skip("no test tables")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/reading_labels.parquet")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    truth = labels.where("reading_level is not null").groupBy("doc_id").agg(F.avg("reading_level").alias("y")).join(docs.select("doc_id", "text", F.lower("lang").alias("lang")), "doc_id").where("text rlike '[a-zA-Z]'")
+    y = {r.doc_id: (r.y, r.lang, np.log2(len(r.text.split()) / len(re.split(r"[.!?;]\\s|\n+", r.text)) + 1)) for r in truth.where(held).collect()}
+
+    def quality(grades, rounds, lang=None):
+        got = {r.doc_id: r.level for r in readability.reading_levels(docs, grades, rounds=rounds).where(held).collect()}
+        pairs = np.array([(got[i], v) for i, (v, l, _) in y.items() if got[i] is not None and (lang is None or l == lang)])
+        return np.corrcoef(pairs.T)[0, 1]
+
+    many, few = labels.where(~held), labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(40)) == 1)
+    length = np.corrcoef(np.array([(z, v) for v, _, z in y.values()]).T)[0, 1]
+    one, end = quality(many, 1), quality(many, readability.ROUNDS)
+    assert end > one - 0.01 and end > length and end > 0.86  # with a fifteenth of the documents graded one round does as well
+    assert quality(few, readability.ROUNDS) > quality(few, 1) + 0.03
+    assert quality(many, readability.ROUNDS, "en") > 0.8
+    out = readability.reading_levels(docs, labels).join(truth.select("doc_id", "y"), "doc_id")
+    assert out.where("abs(level - y) > 1e-9").count() == 0
+
+
+def test_rounds_end_by_the_residual(spark):
+    rows = [(readability.finest(np.array([[x, x, 1.0, 0.5]]))[0].item(), 5, int(x in (2.0, 6.0)), float(x) if x in (2.0, 6.0) else 0.0) for x in np.arange(2.0, 6.01, 0.1).round(1)]
+    end = readability.harmonic(spark.createDataFrame(rows, "cell long, n long, graded long, given double"))
+    assert 1 < end.rounds <= readability.ROUNDS and end.residual <= readability.TOLERANCE
+    levels = end.of(readability.nodes_of(np.array([r[0] for r in rows])))
+    assert (np.diff(levels) > -0.05).all() and levels[0] < 3 < 5 < levels[-1]  # a chain without grades between its ends rises

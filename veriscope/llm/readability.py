@@ -1,162 +1,186 @@
-"""Reading level of every document by harmonic propagation over a document-node graph (problem 9).
-
-Nodes are the words of a document, without case and accents, and classes of its shape (length of sentences, commas,
-length of words, share of numbers), hashed to ``NODES`` numbers, so the node side of the graph has a fixed size while the
-document side stays distributed. Documents with levels given by people are clamped to them; every round sets a node to
-the weighted mean of its documents and a document to the weighted mean of its nodes, where a node weighs by rarity and by
-how far its level is from the mean. A linear fit of the clamped documents puts the result on their scale.
+"""Reading level of every document by harmonic propagation over a similarity graph (problem 9).
+
+Documents of similar shape share nodes. A document's shape is four numbers: the logarithm of its mean sentence length, that
+of the length of the sentence that its mean word stands in, its commas a sentence, and the share of its words in long
+sentences. Each node is a cell of three of them; four overlapping tilings of cells, of two such triples, link a document
+with all whose shape is within a step of its own. The steps are fixed, so the nodes are as many at any size of the corpus.
+
+Documents with levels given by people are clamped to them. Every round sets a node to the mean of its documents and a
+document that isn't clamped to the mean of its nodes, graded and ungraded ones counting alike, until no node moves by more
+than ``TOLERANCE``. Documents in the same finest cell are alike to the graph, so the rounds run over the distinct cells
+with their numbers of documents, and texts are read once. A linear fit of the clamped documents puts what the rounds have
+drawn towards the mean back on their scale.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veriscope.llm import blocks
 from veriscope.llm.contamination import comparable, fold_table
-from veriscope.llm.shingles import chunks, mixed, spans
+from veriscope.llm.shingles import chunks, spans
 from veriscope.session import staged
 
-NODES = 1 << 16
-BLOCK = 1 << 13
-ROUNDS = 4
-#: Weight of a class of shape against a word; of a document without a level against one with; of the mean in each node.
-SHAPE, UNGRADED, PRIOR = 30.0, 0.02, 2.0
+#: Words from which a sentence is long.
+LONG = 22
+#: Width of a cell in each number, how many cells it has (greater values fall in the last one), and the tilings.
+STEPS, CELLS, TILINGS = (0.21, 0.21, 0.21, 0.105), (64, 64, 32, 12), 4
+#: Which numbers make the nodes.
+TRIPLES = ((0, 2, 3), (0, 1, 3))
+#: A node counts this much of a document at the mean level; no node moves by more than the tolerance in the last round.
+PRIOR, TOLERANCE, ROUNDS = 0.01, 0.02, 60
 
 _ENDS = np.array([ord(c) for c in ".!?…;"], np.uint32)
 _SPACES = np.array([ord(c) for c in " \t\r \x0b\x0c"], np.uint32)
+NODES = TILINGS * sum(int(np.prod([CELLS[j] for j in t])) for t in TRIPLES)
 
 
-def nodes_of(texts: list[str]) -> list[tuple[bytes, bytes]]:
-    """Each text's word nodes and shape nodes, as distinct 16-bit numbers; empty for a text without a word."""
-    out = []
+def shapes(texts: list[str]) -> np.ndarray:
+    """Row per text: the four numbers of its shape; not a number for a text without a word."""
+    out = np.full((len(texts), 4), np.nan)
     for lo, hi in chunks([len(t) for t in texts]):
-        cp, first, past, h, ends = spans([comparable(t) for t in texts[lo:hi]], fold_table())
+        cp, first, _, _, ends = spans([comparable(t) for t in texts[lo:hi]], fold_table())
+        if not len(first):
+            continue
         n = hi - lo
         doc = np.searchsorted(ends, first)
-        digit = (cp[first] >= 48) & (cp[first] <= 57) if len(first) else np.zeros(0, bool)
         after = np.append(cp[1:], 0).astype(np.uint32)
         stop = np.isin(cp, _ENDS) & (np.isin(after, _SPACES) | (after == 10) | (after == 0)) | (cp == 10) | (cp == 0)
-        sentence = np.cumsum(stop)[first] if len(first) else np.zeros(0, np.int64)
-        _, at, size = np.unique(sentence, return_index=True, return_counts=True)
+        _, at, size = np.unique(np.cumsum(stop)[first], return_index=True, return_counts=True)
         of = doc[at]  # a text's end is a stop too, so no sentence spans two texts
-        k, many = np.bincount(of, minlength=n), np.bincount(doc, minlength=n)
-        mean = many / np.maximum(k, 1)
-        longest = np.zeros(n)
-        np.maximum.at(longest, of, size)
-        order = np.lexsort((size, of))
-        begin = np.concatenate([[0], np.cumsum(k)])[:-1]
-        median = np.zeros(n)
-        some = k > 0
-        median[some] = size[order][(begin + k // 2)[some]]
-        commas = np.bincount(np.searchsorted(ends, np.flatnonzero(cp == 44)), minlength=n)[:n] / np.maximum(k, 1)
-        letters = np.bincount(doc, weights=np.where(digit, 0, past - first), minlength=n) / np.maximum(many - np.bincount(doc, weights=digit, minlength=n), 1)
-        numbers = np.bincount(doc, weights=digit, minlength=n) / np.maximum(many, 1)
-        step = lambda v, b: np.floor(np.log2(v + 1) * b).astype(np.uint64)
-        kinds = (step(mean, 6), step(longest, 4), step(median, 4), step(commas, 8), step(mean, 4) * np.uint64(1000) + step(commas, 5), step(letters, 12), np.floor(numbers * 30).astype(np.uint64))
-        shape = np.stack([mixed(x * np.uint64(64) + np.uint64(i + 7)) >> np.uint64(48) for i, x in enumerate(kinds)], 1).astype(np.uint16)
-        key = np.unique((doc[~digit].astype(np.uint64) << np.uint64(16)) | (h[~digit] >> np.uint64(48)))
-        cut = np.searchsorted(key >> np.uint64(16), np.arange(n + 1, dtype=np.uint64))
-        node = key.astype(np.uint16)
-        out += [(node[cut[i] : cut[i + 1]].tobytes(), shape[i].tobytes() if many[i] else b"") for i in range(n)]
+        sentences, words = np.bincount(of, minlength=n), np.bincount(doc, minlength=n)
+        commas = np.bincount(np.searchsorted(ends, np.flatnonzero(cp == 44)), minlength=n)[:n]
+        some = words > 0
+        k, w = sentences[some], words[some]
+        lived = np.bincount(of, weights=size.astype(float) ** 2, minlength=n)[some] / w
+        long = np.bincount(of, weights=size * (size >= LONG), minlength=n)[some] / w
+        out[np.flatnonzero(some) + lo] = np.stack([np.log2(w / k + 1), np.log2(lived + 1), np.sqrt(commas[some] / k), long], 1)
     return out
 
 
-def summed(df: DataFrame, part: Callable[[pd.DataFrame], np.ndarray], rows: int) -> np.ndarray:
-    """Sum over all batches of ``rows`` vectors of ``NODES`` numbers; the sum has a fixed size."""
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((rows, NODES))
-        for b in batches:
-            total += part(b)
-        for r in range(rows):
-            for lo in range(0, NODES, BLOCK):
-                yield pd.DataFrame({"r": [r], "lo": [lo], "v": [total[r, lo : lo + BLOCK].astype(np.float32).tobytes()]})
-
-    def add(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"r": [key[0]], "lo": [key[1]], "v": [sum(np.frombuffer(v, np.float32).astype(np.float64) for v in b["v"]).tobytes()]})
-
-    out = np.zeros((rows, NODES))
-    for x in df.mapInPandas(sums, "r int, lo int, v binary").groupBy("r", "lo").applyInPandas(add, "r int, lo int, v binary").collect():
-        out[x.r, x.lo : x.lo + BLOCK] = np.frombuffer(x.v)
+def finest(shape: np.ndarray) -> np.ndarray:
+    """The number of the finest cell of each shape, a quarter of a step wide; -1 for a text without a word."""
+    known = ~np.isnan(shape[:, 0])
+    out = np.full(len(shape), -1, np.int64)
+    cell = np.zeros(known.sum(), np.int64)
+    for j, (step, many) in enumerate(zip(STEPS, CELLS, strict=True)):
+        cell = cell * (many * TILINGS) + np.clip(np.floor(shape[known, j] * TILINGS / step), 0, many * TILINGS - 1).astype(np.int64)
+    out[known] = cell
     return out
 
 
-def _edges(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, node, weight) of the edges of a batch."""
-    parts, rows, weights = [], [], []
-    for column, w in (("words", 1.0), ("shape", SHAPE)):
-        sizes = b[column].str.len().values.astype(np.int64) // 2
-        parts.append(np.frombuffer(b"".join(b[column]), np.uint16).astype(np.int64))
-        rows.append(np.repeat(np.arange(len(b)), sizes))
-        weights.append(np.full(sizes.sum(), w))
-    return np.concatenate(rows), np.concatenate(parts), np.concatenate(weights)
-
-
-def _scores(b: pd.DataFrame, level: np.ndarray, pull: np.ndarray, mean: float) -> np.ndarray:
-    row, node, w = _edges(b)
-    g = w * pull[node] + 1e-12
-    total = np.bincount(row, weights=g, minlength=len(b))
-    return np.where(total > 0, np.bincount(row, weights=g * level[node], minlength=len(b)) / np.maximum(total, 1e-300), mean)
+def nodes_of(cell: np.ndarray) -> np.ndarray:
+    """Row per finest cell: its nodes, one for each triple and tiling."""
+    parts = []
+    for many in reversed(CELLS):
+        parts.append(cell % (many * TILINGS))
+        cell = cell // (many * TILINGS)
+    parts.reverse()
+    out, base = [], 0
+    for triple in TRIPLES:
+        for tiling in range(TILINGS):
+            node = np.zeros(len(cell), np.int64)
+            for k, j in enumerate(triple):
+                node = node * CELLS[j] + np.minimum((parts[j] + tiling * (k + 1)) // TILINGS, CELLS[j] - 1)
+            out.append(base + node)
+            base += int(np.prod([CELLS[j] for j in triple]))
+    return np.stack(out, 1) if len(cell) else np.empty((0, len(TRIPLES) * TILINGS), np.int64)
+
+
+@dataclass
+class Levels:
+    """The level of every node, the mean level, and how the rounds ended."""
+
+    node: np.ndarray
+    known: np.ndarray
+    mean: float
+    rounds: int
+    residual: float
+
+    def of(self, nodes: np.ndarray) -> np.ndarray:
+        """The mean of each row's nodes: of those that a level has reached, or else the mean level."""
+        w = self.known[nodes].astype(float)
+        many = w.sum(1)
+        return np.where(many > 0, (w * self.node[nodes]).sum(1) / np.maximum(many, 1), self.mean)
+
+
+def _sums(classes: DataFrame, at: Levels | None) -> np.ndarray:
+    """For every node the documents that count in it and the sum of their levels."""
+    shared = classes.sparkSession.sparkContext.broadcast(at)
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, now = np.zeros((2, NODES)), shared.value
+        for b in batches:
+            nodes = nodes_of(b["cell"].values)
+            weight, level = b["graded"].values.astype(float), b["given"].values.astype(float)
+            if now is not None:
+                free = b["n"].values - weight
+                weight, level = weight + free, level + free * now.of(nodes)
+            for column in nodes.T:
+                total[0] += np.bincount(column, weights=weight, minlength=NODES)
+                total[1] += np.bincount(column, weights=level, minlength=NODES)
+        yield blocks.cut(total.reshape(-1))
+
+    return blocks.joined(classes.mapInPandas(part, "block int, c binary"), 2 * NODES, "<f8").reshape(2, NODES)
+
+
+def harmonic(classes: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Levels:
+    """Levels of the nodes from (cell, n, graded, given): distinct finest cells, their documents, how many are graded and
+    the sum of their levels. A round is one pass over the distinct cells; only the nodes' fixed number of sums travels."""
+    sums = classes.agg(F.sum("given").alias("s"), F.sum("graded").alias("n")).first()
+    mean, now = sums.s / sums.n, None
+    for k in range(1, rounds + 1):
+        weight, total = _sums(classes, now)
+        node = (total + PRIOR * mean) / (weight + PRIOR)
+        residual = float(np.abs(node - now.node)[weight > 0].max()) if now is not None else float("inf")
+        now = Levels(node, weight > 0, mean, k, residual)
+        if residual <= tolerance:
+            break
+    return now
 
 
 def reading_levels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", level_col: str = "reading_level", rounds: int = ROUNDS) -> DataFrame:
     """(id_col, level, grade): every row's reading level on the scale of the labels, and the nearest whole level.
 
-    Texts that are null or without a word have a null level; so have all if there are no labels. Null labels are left
-    out, several of one document are averaged, repeated rows each get the level of their text, an empty table gives an
-    empty result, and extra columns are ignored.
+    A graded document keeps the mean of the levels given to it. Texts that are null or without a word have a null level; so
+    have all if there are no labels. Null labels are left out, repeated rows each get the level of their text, an empty
+    table gives an empty result, and extra columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            made = nodes_of([t or "" for t in b["t"]])
-            yield pd.DataFrame({"id": b["id"], "words": [w for w, _ in made], "shape": [s for _, s in made]})
+            yield pd.DataFrame({"id": b["id"], "cell": finest(shapes([t or "" for t in b["t"]]))})
 
-    given = labels.where(F.col(level_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(level_col).alias("y"))
+    given = labels.where(F.col(level_col).isNotNull()).groupBy(F.col(id_col).cast("string").alias("id")).agg(F.avg(level_col).alias("y"))
     # ids travel as strings: pandas would turn whole numbers among nulls into floats
-    packed = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).mapInPandas(build, "id string, words binary, shape binary")
-    graph = staged(packed.join(given.withColumn("id", F.col("id").cast("string")), "id", "left"), "graph")
-    stats = graph.where("length(shape) > 0").agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.min("y").alias("lo"), F.max("y").alias("hi")).first()
-    if stats.mean is None:
+    packed = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).mapInPandas(build, "id string, cell bigint")
+    graph = staged(packed.join(given, "id", "left"), "graph")
+    by = graph.where("cell >= 0").groupBy("cell").agg(F.count("*").alias("n"), F.count("y").alias("graded"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("given"))
+    classes = staged(by, "cells")
+    stats = graph.where("cell >= 0").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).first()
+    if stats.lo is None:
         return graph.select(F.col("id").cast(kind).alias(id_col), F.lit(None).cast("double").alias("level"), F.lit(None).cast("int").alias("grade"))
-    mean, context = stats.mean, docs.sparkSession.sparkContext
-
-    def first(b: pd.DataFrame) -> np.ndarray:
-        row, node, _ = _edges(b)
-        y = b["y"].values.astype(float)[row]
-        known = ~np.isnan(y)
-        return np.stack([np.bincount(node, minlength=NODES), np.bincount(node[known], weights=y[known], minlength=NODES), np.bincount(node[known], minlength=NODES)])
-
-    count, total, weight = summed(graph, first, 3)
-    rarity = np.log1p(stats.n / np.maximum(count, 1))
-    level = (total + PRIOR * mean) / (weight + PRIOR)
-    for _ in range(rounds - 1):
-        shared = context.broadcast((level, rarity * np.abs(level - mean)))
-
-        def following(b: pd.DataFrame, shared=shared) -> np.ndarray:
-            row, node, _ = _edges(b)
-            y = b["y"].values.astype(float)
-            known = ~np.isnan(y)
-            s, w = np.where(known, y, _scores(b, *shared.value, mean)), np.where(known, 1.0, UNGRADED)
-            return np.stack([np.bincount(node, weights=(s * w)[row], minlength=NODES), np.bincount(node, weights=w[row], minlength=NODES)])
-
-        total, weight = summed(graph, following, 2)
-        level = (total + PRIOR * mean) / (weight + PRIOR)
-    shared = context.broadcast((level, rarity * np.abs(level - mean)))
+    shared = docs.sparkSession.sparkContext.broadcast(harmonic(classes, rounds))
 
     def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            s = pd.Series(_scores(b, *shared.value, mean), index=b.index).where(b["shape"].str.len() > 0)
-            yield pd.DataFrame({"id": b["id"], "s": s, "y": b["y"]})
-
-    scored = graph.mapInPandas(last, "id string, s double, y double")
-    fit = scored.where("y is not null and s is not null").agg(F.regr_slope("y", "s").alias("a"), F.regr_intercept("y", "s").alias("b")).first()
-    a, b = (fit.a, fit.b) if fit.a is not None and np.isfinite(fit.a) else (1.0, 0.0)
+            b["s"] = shared.value.of(nodes_of(b["cell"].values))
+            yield b[["cell", "s", "n", "graded", "given"]]
+
+    scored = classes.mapInPandas(last, "cell bigint, s double, n bigint, graded bigint, given double")
+    # the line through the graded documents, each with the score of its cell
+    m = scored.where("graded > 0").agg(*(F.sum(x).alias(k) for k, x in (("w", F.col("graded").cast("double")), ("x", F.col("graded") * F.col("s")), ("y", F.col("given")), ("xx", F.col("graded") * F.col("s") * F.col("s")), ("xy", F.col("given") * F.col("s"))))).first()
+    spread = m.xx - m.x * m.x / m.w
+    a = (m.xy - m.x * m.y / m.w) / spread if spread > 1e-9 * m.w else 1.0
+    b = (m.y - a * m.x) / m.w
     fitted = F.least(F.lit(stats.hi), F.greatest(F.lit(stats.lo), F.col("s") * F.lit(a) + F.lit(b)))
-    level_ = F.when(F.col("s").isNotNull() & ~F.isnan("s"), fitted)
-    return scored.select(F.col("id").cast(kind).alias(id_col), level_.alias("level"), F.round(level_).cast("int").alias("grade"))
+    level = F.when(F.col("cell") >= 0, F.coalesce("y", "fitted"))
+    out = graph.join(scored.select("cell", fitted.alias("fitted")), "cell", "left").select(F.col("id").cast(kind).alias(id_col), level.alias("level"))
+    return out.select(id_col, "level", F.round("level").cast("int").alias("grade"))
