@@ -29,6 +29,34 @@ def test_script_of_tokens():
         assert canonical(canonical(t)) == canonical(t)
 
 
+@pytest.mark.parametrize(("a", "b"), [("ρhí", "phí"), ("υ", "u"), ("γ", "y"), ("ι", "i"), ("Ү", "Y"), ("Ԝ", "W"), ("Ӏ", "I"), ("ᴄông", "công"), ("Ꭺ", "A"), ("ꓐ", "B"), ("ⲟ", "o"), ("ⅼãi", "lãi"), ("Ⅽ", "C"), ("ꜱ", "s")])
+def test_letters_of_the_public_data(a, b):
+    assert canonical(a) == canonical(b)
+
+
+@pytest.mark.parametrize("word", ["Вольный", "Μήνυμα", "Հայաստան", "ᏣᎳᎩ", "ⲙⲛ̄ⲧⲣⲙ̄ⲛ̄ⲕⲏⲙⲉ", "щётка", "ⅷ", "ﬁn", "ı", "β", "l1I|"])
+def test_genuine_words_stay(word):
+    import unicodedata
+
+    kept = canonical(word)
+    assert canonical(kept) == kept and (word in ("ﬁn", "ⅷ") or unicodedata.normalize("NFC", word).lower()[0] == kept.lower()[0] or not kept.isascii())
+
+
+def test_confusable_tokens(spark):
+    assert textforms.confusable("kһách") == ("mixed", ["CYRILLIC", "LATIN"]) and textforms.confusable("ООО") == ("whole", ["CYRILLIC"])
+    assert textforms.confusable("Bольный") == ("mixed", ["CYRILLIC", "LATIN"]) and textforms.confusable("Вольный") is None and textforms.confusable("tiền") is None
+    df = spark.createDataFrame([(1, "bản nһáp của ООО Вольный"), (None, "ООО"), (2, None), (3, ""), (4, "x")], "sample_id long, text string").withColumn("kind", F.lit(1))
+    got = sorted(((r.sample_id or 0, r.token, r.kind, r.spelling) for r in textforms.confusable_tokens(df).collect()))
+    assert got == [(0, "ООО", "whole", "OOO"), (1, "nһáp", "mixed", "nháp"), (1, "ООО", "whole", "OOO")]
+    assert textforms.confusable_tokens(df.limit(0)).count() == 0
+
+
+def test_copies_are_not_compared(spark):
+    df = spark.range(100_001).select(F.col("id").alias("sample_id"), F.when(F.col("id") == 0, "ɡiá bán").otherwise("giá bán").alias("text"))
+    pairs = textforms.lookalike_pairs(df)
+    assert pairs.count() == 100_000 and pairs.where("sample_a <> 0").count() == 0
+
+
 def test_lookalike_pairs(spark):
     rows = [(1, "giá", "k"), (2, "ɡiá", "k"), (3, "giá", "k"), (4, None, "k"), (5, "​", "k"), (6, "", "k"), (7, "khác", "k"), (2, "ɡiá", "k")]
     df = spark.createDataFrame(rows, "sample_id long, text string, k string")

@@ -22,6 +22,10 @@ def p1_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "mini_samples").select("sample_id", textforms.consistent_form(F.col("text")).alias("text"))
 
 
+def p1_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return textforms.confusable_tokens(table(spark, d, "mini_samples")).select("sample_id", "token", "kind", F.array_join("scripts", ",").alias("scripts"), "spelling")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.restore_texts(table(spark, d, "mini_samples")).select("sample_id").distinct()
 
@@ -83,4 +87,4 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     return readability.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_restored, p3_found, p3_splits, p3_companies, p4_found, p4_report, p5_found, p5_pieces, p6_found, p6_groups, p7_ids, p8_found, p8_leaks, p9_levels)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p1_tokens, p2_found, p2_restored, p3_found, p3_splits, p3_companies, p4_found, p4_report, p5_found, p5_pieces, p6_found, p6_groups, p7_ids, p8_found, p8_leaks, p9_levels)}
