@@ -92,7 +92,7 @@ def test_shared_boilerplate_makes_no_pairs(spark, monkeypatch):
     tiles = nearsets.Tiles(nearsets.Fraction(3, 5), False)
     met = []
     monkeypatch.setattr(tiles, "need", lambda both: met.append(len(both)) or nearsets.Tiles.need(tiles, both))
-    posted = [b.to_pandas() for b in tiles.post(s, np.zeros(3000, np.int64), [nearsets.Level(sketch, 2**32)], 4)]
+    posted = [b.to_pandas() for b in tiles.post(s, np.zeros(3000, np.int64), [nearsets.Level(sketch, 2**32)], np.arange(4, dtype=np.int32))]
     for q in range(4):
         assert not list(tiles.meet(pd.concat(posted).query("q == @q"), None))
     assert sum(met) < 3000

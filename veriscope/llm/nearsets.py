@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriscope.llm import blocks
@@ -146,6 +146,19 @@ def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def even_keys(spark: SparkSession, buckets: int) -> np.ndarray:
+    """A number for each bucket such that hash partitioning puts every bucket in a partition of its own.
+
+    Hashes of few numbers collide, and a task with three buckets takes three times as long. Beyond 10,000 buckets chance
+    evens them out, and the numbers are just those of the buckets.
+    """
+    if buckets > 10_000:
+        return np.arange(buckets, dtype=np.int32)
+    tries = spark.range(int(buckets * (np.log(buckets) + 12)), numPartitions=1).select(F.col("id").cast("int").alias("id"))
+    rows = tries.groupBy(F.pmod(F.hash("id"), F.lit(buckets)).alias("part")).agg(F.min("id").alias("id")).collect()
+    return np.array([r.id for r in sorted(rows)], np.int32) if len(rows) == buckets else np.arange(buckets, dtype=np.int32)
+
+
 def _joined_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(mixed(a) + b)
 
@@ -281,9 +294,9 @@ class Tiles:
 
     SCHEMA = "q int, sig binary, n binary, mask binary, narrow binary, wide binary, count binary, h binary, p binary"
 
-    def packed(self, h: np.ndarray, d: np.ndarray, p: np.ndarray, sig: np.ndarray, n: np.ndarray, mask: np.ndarray, wide: np.ndarray, buckets: int) -> pa.RecordBatch:
+    def packed(self, h: np.ndarray, d: np.ndarray, p: np.ndarray, sig: np.ndarray, n: np.ndarray, mask: np.ndarray, wide: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
         """One row per bucket of tiles with its postings and the texts that they are of."""
-        bucket = bucket_of(h, buckets)
+        bucket = bucket_of(h, len(keys))
         texts = max(1, len(n))
         key = bucket * texts + d
         order = np.argsort(key, kind="stable")
@@ -298,13 +311,13 @@ class Tiles:
         at, at_wide, at_post = ends(np.ones(len(docs), np.int64)), ends(large.astype(np.int64)), ends(count)
         column = lambda data, offsets: pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
         columns = {
-            "q": pa.array(q[first].astype(np.int32)), "sig": column(sig[docs], 8 * at), "n": column(_planes(n[docs], first, held), 4 * at), "mask": column(mask[docs], at),
+            "q": pa.array(keys[q[first]]), "sig": column(sig[docs], 8 * at), "n": column(_planes(n[docs], first, held), 4 * at), "mask": column(mask[docs], at),
             "narrow": column(self.fold(wide)[docs[~large]], 16 * (at - at_wide)), "wide": column(wide[docs[large]], 32 * at_wide), "count": column(_planes(count, first, held), 4 * at),
             "h": column((h & np.uint64(0xFFFFFFFF)).astype(np.uint32), 4 * at_post), "p": column(np.minimum(p, 255).astype(np.uint8), at_post),
         }
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    def post(self, s: Sets, mask: np.ndarray, levels: list[Level], buckets: int, whole: Level | None = None) -> Iterator[pa.RecordBatch]:
+    def post(self, s: Sets, mask: np.ndarray, levels: list[Level], keys: np.ndarray, whole: Level | None = None) -> Iterator[pa.RecordBatch]:
         """The postings of some texts at the last level; copies among them post once. ``whole``: what to compare in blocks."""
         first = np.sort(np.unique(np.stack([s.sig, mask]), axis=1, return_index=True)[1])
         n, sets, doc = s.kept(first)
@@ -317,7 +330,7 @@ class Tiles:
                 h, d, p = self.in_blocks(h, d, p, sig, whole.hot.size(h, whole.count(h).astype(np.int64)))
             if len(h):
                 wide = _bitmaps(sets, doc, len(n), self.cross) if wide is None else wide
-                yield self.packed(h, d, p, sig, n, mask, wide, buckets)
+                yield self.packed(h, d, p, sig, n, mask, wide, keys)
 
     def meet(self, b: pd.DataFrame, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
         """Pairs of signatures of one bucket that the bounds leave, or the tiles with more pairs than ``most`` classes have."""
@@ -434,11 +447,12 @@ def similar_classes(corpus: Corpus, members: DataFrame, similarity: float, cross
             yield Sets(texts, k), np.concatenate(masks)
 
     def candidates_of(levels: list[Level], buckets: int, most: int | None, whole: Level | None = None) -> DataFrame:
-        shared = spark.sparkContext.broadcast((levels, whole))
+        shared, keys = spark.sparkContext.broadcast((levels, whole)), even_keys(spark, buckets)
+        bucket = {int(k): i for i, k in enumerate(keys)}
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s, mask in held(batches):
-                yield from tiles.post(s, mask, shared.value[0], buckets, shared.value[1])
+                yield from tiles.post(s, mask, shared.value[0], keys, shared.value[1])
 
         def meet(b: pd.DataFrame) -> pd.DataFrame:
             pairs, hot = [np.empty((0, 2), np.int64)], [np.empty((0, 2), np.int64)]
@@ -446,12 +460,12 @@ def similar_classes(corpus: Corpus, members: DataFrame, similarity: float, cross
                 if z is None:
                     pairs.append(np.unique(np.stack([x, y], 1), axis=0))
                 else:
-                    hot.append(np.stack([y, x | int(b["q"].iloc[0]) << 32], 1))
+                    hot.append(np.stack([y, x | bucket[int(b["q"].iloc[0])] << 32], 1))
             p, z = np.unique(np.concatenate(pairs), axis=0), np.concatenate(hot)
             return pd.DataFrame({"sig_a": np.concatenate([p[:, 0], z[:, 0]]), "sig_b": np.concatenate([p[:, 1], z[:, 1]]), "hot": pd.Series(np.concatenate([p[:, 1], z[:, 1]])).astype("Int64").where(np.arange(len(p) + len(z)) >= len(p))})
 
-        # tasks follow the number of buckets, not the session's partitions; twice as many, as hashes of few keys collide
-        blobs = corpus.rows.mapInArrow(post, Tiles.SCHEMA).repartition(2 * buckets, "q")
+        # tasks follow the number of buckets, not the session's partitions
+        blobs = corpus.rows.mapInArrow(post, Tiles.SCHEMA).repartition(buckets, "q")
         return staged(blobs.groupBy("q").applyInPandas(meet, "sig_a bigint, sig_b bigint, hot bigint").distinct(), "candidates")
 
     def sketch_of(levels: list[Level]) -> np.ndarray:
