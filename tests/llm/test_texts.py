@@ -87,6 +87,32 @@ def test_restores_misread_utf8(describer, codec, text):
     assert describer.restore(mixed)[0] == VI[2].format(5) + " " + text
 
 
+@pytest.mark.parametrize("text", ["财务报表附注说明", "القوائم المالية الموحدة", "งบการเงินรวมประจำปี", "примечания к отчётности", "επεξηγηματικές σημειώσεις"])
+@pytest.mark.parametrize("codec", ["latin-1", "cp1252", "cp437"])
+def test_restores_other_scripts(describer, codec, text):
+    table = encoding._chars(codec)
+    wrong = "".join(chr(b) if b < 128 else table[b] for b in text.encode())
+    assert describer.restore(wrong)[0] == text
+    sound = VI[1].format(7) + " " + text
+    assert describer.restore(sound) == (sound, [], False)
+
+
+def test_long_chains_are_all_measured(describer):
+    """Each pair and some triples of wrong decodings come back, whichever looks best after one step."""
+    text = VI[0].format(77) + " " + VI[1].format(8)
+    wrong = lambda t, c: "".join(chr(b) if b < 128 else encoding._chars(c)[b] for b in t.encode())
+    for a in encoding.MISREAD_AS:
+        for b in encoding.MISREAD_AS:
+            assert describer.restore(wrong(wrong(text, a), b))[0] == text, (a, b)
+    assert describer.restore(wrong(wrong(wrong(text, "cp1252"), "mac_roman"), "cp850"))[0] == text
+
+
+def test_damage_of_usual_characters_passes_the_gate():
+    for text in ("CÔNG TY", "ÓC", "À"):
+        assert encoding.GATE.search("".join(chr(b) if b < 128 else encoding._chars("cp1252")[b] for b in text.encode()))
+    assert not encoding.GATE.search("Công ty “Hà Nội” – quý 1…")
+
+
 def test_restores_twice_misread_and_tcvn3(describer):
     text = VI[0].format(9)
     twice = text
@@ -96,7 +122,7 @@ def test_restores_twice_misread_and_tcvn3(describer):
     assert describer.restore(text.translate(str.maketrans(encoding.TCVN3_MEANT, encoding.TCVN3_SHOWN)))[0] == text
 
 
-@pytest.mark.parametrize("text", [VI[0], EN[0], "Bên mua ký tên Éclat Rivière, giá £ và ¥ ghi song song.", "Hỏi gì? Đáp.", "ООО Вольный Мост", "Ｄoanh thu​ ɡiá", "", "??", "Ðông Hà"])
+@pytest.mark.parametrize("text", [VI[0], EN[0], "Bên mua ký tên Éclat Rivière, giá £ và ¥ ghi song song.", "Hỏi gì? Đáp.", "Ai ký? Ai duyệt? Vì sao? ", "xem a?b=c&d?e", "ООО Вольный Мост", "Ｄoanh thu​ ɡiá", "", "??", "Ðông Hà"])
 def test_leaves_sound_texts(describer, text):
     assert describer.restore(text) == (text, [], False)
 

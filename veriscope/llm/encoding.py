@@ -1,17 +1,19 @@
 """Texts decoded with a wrong character encoding: detection and restoration (problem 2).
 
-Every chain of up to ``MAX_STEPS`` wrong decodings that can explain a text is undone, each result is compressed with
-one zstandard dictionary per language, and the chain with the least description length (bits of the compressed text
-plus the cost of naming the chain) wins; the empty chain costs nothing, so a text is left unchanged unless undoing a
-chain makes it shorter to describe. A step undoes well-formed damage only, so passages are repaired inside sound text.
+Every chain of up to ``MAX_STEPS`` wrong decodings that can explain a text is undone, each different result is compressed
+with one zstandard dictionary per language, and the chain with the least description length (bits of the compressed text,
+of naming the scripts that the dictionaries don't know, and of naming the chain) wins; the empty chain costs nothing, so a
+text is left unchanged unless undoing a chain makes it shorter to describe. A step undoes well-formed damage only, so
+passages are repaired inside sound text, of whatever script. Letters lost as question marks are found by description
+length too: a text is damaged where naming the letters that were meant makes it shorter.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
-from functools import cache
+from collections.abc import Iterator
+from functools import cache, lru_cache
 
 import pandas as pd
 import zstandard
@@ -21,6 +23,11 @@ from pyspark.sql import functions as F
 #: Bits that each step of a chain costs; what a replaced character costs.
 STEP_BITS = 12
 MAX_STEPS = 3
+#: What naming a script costs that the dictionaries have no letters of (less for the next of kin), and naming a lost letter
+#: and its place.
+SCRIPT_BITS, KIN_BITS, LOST_BITS = 64, 40, 10
+#: Faster levels of compression don't always describe a shorter text in fewer bits.
+LEVEL = 5
 #: At most so many texts train the dictionaries; the size of each in bytes.
 SAMPLE_TEXTS, DICT_BYTES = 6000, 32768
 
@@ -35,10 +42,6 @@ PLAIN = "\t\n\r -~" + VIETNAMESE + "“”‘’–—…€₫"
 
 
 
-#: A text in which this finds nothing has no candidate decoding.
-GATE = re.compile(rf"[^{PLAIN}]|â€|\?[^\W\d_]|[^\W\d_]\?\s*[,;:)–]|[^\W\d_]\?\s+[a-zà-ÿđ]")
-
-
 @cache
 def _chars(codec: str) -> dict[int, str]:
     """Byte to character; bytes without one show as the control character of that number, as browsers do."""
@@ -62,8 +65,27 @@ def _damage(codec: str) -> re.Pattern:
     return re.compile(f"(?:{_class(codec, 0xC2, 0xDF)}{tail}|{_class(codec, 0xE0, 0xEF)}{tail}{{2}}|{_class(codec, 0xF0, 0xF4)}{tail}{{3}})+")
 
 
-#: What sound texts are made of; a sequence that decodes to anything else isn't taken for damage.
-_SOUND = re.compile("[" + PLAIN + r" -ÿŒœŠšŽžƒΑ-ωЁА-яё̀-̄̆-̛̣̌ -‏‐-‧ ‰′″‹›⁠€№™−≤≥﻿！-～]*")
+def _gate() -> re.Pattern:
+    """A text in which this finds nothing has no candidate decoding: no unusual character, no damage of usual ones."""
+    usual, pairs = re.compile(f"[{PLAIN}]"), []
+    for codec in MISREAD_AS:
+        lead, tail = ("".join(re.escape(c) for b in at if usual.fullmatch(c := _chars(codec)[b])) for at in (range(0xC2, 0xF5), range(0x80, 0xC0)))
+        if lead and tail:
+            pairs.append(f"[{lead}][{tail}]")
+    return re.compile("|".join([rf"[^{PLAIN}]", *dict.fromkeys(pairs), r"\?[^\W\d_]", r"[^\W\d_]\?\s*[,;:)–]", r"[^\W\d_]\?\s+[a-zà-ÿđ]"]))
+
+
+GATE = _gate()
+#: What the dictionaries don't know: characters of other scripts, and Latin letters beyond those of European languages.
+_RARE = re.compile("[^\x00-\u017f\u01a0\u01a1\u01af\u01b0\u0300-\u036f\u1ea0-\u1ef9\u2000-\u2bff\u3000\ufb00-\ufb06\ufe00-\ufe0f\ufeff\uff00-\uffff]")
+
+
+@cache
+def _meaningless(c: str) -> bool:
+    if unicodedata.category(c) in ("Cc", "Cn", "Co", "Cs"):
+        return c not in "\t\n\r"
+    # marks and modifiers of no script, but for the tone and vowel marks of Vietnamese
+    return 0x2B0 <= ord(c) <= 0x36F and c not in "\u0300\u0301\u0302\u0303\u0306\u0309\u031b\u0323"
 
 
 @cache
@@ -85,7 +107,7 @@ def undo_utf8(text: str, codec: str) -> str:
             meant = bytes(table[c] for c in m[0]).decode("utf-8")
         except UnicodeDecodeError:
             return m[0]
-        return meant if _SOUND.fullmatch(meant) or _damaged(meant) else m[0]
+        return meant if not any(map(_meaningless, meant)) or _damaged(meant) else m[0]
 
     return _damage(codec).sub(back, text)
 
@@ -112,13 +134,29 @@ def undo_tcvn3(text: str) -> str:
     return "".join(out)
 
 
-STEPS: dict[str, Callable[[str], str]] = {f"utf-8 as {c}": (lambda t, c=c: undo_utf8(t, c)) for c in MISREAD_AS} | {"tcvn3 as cp1252": undo_tcvn3}
+#: Encoded sequences lie in runs of characters beyond ASCII, which are few and short and come again and again.
+_RUN = re.compile("([^\x00-\x7f]+)")
+
+
+@lru_cache(1 << 17)
+def _undo_run(run: str, codec: str) -> str:
+    return undo_utf8(run, codec)
+
+
+class _Text:
+    """A text as the runs it is made of, so that a step is a look at each different run."""
+
+    def __init__(self, text: str):
+        self.pieces = _RUN.split(text)
+        self.first = tuple(dict.fromkeys(self.pieces[1::2]))
+
+    def joined(self, now: tuple[str, ...]) -> str:
+        of = dict(zip(self.first, now, strict=True))
+        return "".join(of[p] if i & 1 else p for i, p in enumerate(self.pieces))
+
 
 #: Question marks that stand for letters a code page lacked.
-_LOST_INSIDE = re.compile(r"(?<=[^\W\d_])\?+(?=[^\W\d_])")
-_LOST_LOWER = re.compile(r"(?<=[^\W\d_])\?+(?=[a-zà-ÿđăĩũơư]|[ạ-ỹ](?<=[ạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]))")
-_LOST_AFTER = re.compile(r"(?<=[^\W\d_])\?+(?=\s*[,;:)–]|\s+[a-zà-ÿđ])")
-_LOST_BEFORE = re.compile(r"(?:(?<=\s)|^)\?+(?=[^\W\d_])")
+_LOST = re.compile(r"(?<=[^\W\d_])\?+(?=[^\W\d_])|(?<=[^\W\d_])\?+(?=\s*[,;:)–]|\s+[a-zà-ÿđ])|(?:(?<=\s)|^)\?+(?=[^\W\d_])")
 # The bytes that Windows-1252 doesn't define; their characters get lost as U+FFFD.
 UNDEFINED_1252 = "\x9d\x81\x8d\x90\x8f"
 
@@ -132,29 +170,55 @@ class Describer:
 
     def __init__(self, dictionaries: dict[str, bytes]):
         kind = zstandard.DICT_TYPE_AUTO
-        self.by = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind), write_content_size=False, write_checksum=False, write_dict_id=False) for _, d in sorted(dictionaries.items()) if d] or [zstandard.ZstdCompressor(level=3)]
+        self.by = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind), write_content_size=False, write_checksum=False, write_dict_id=False) for _, d in sorted(dictionaries.items()) if d] or [zstandard.ZstdCompressor(level=LEVEL)]
 
     def bits(self, text: str) -> int:
         raw = text.encode("utf-8", "surrogatepass")
-        return 8 * min(len(c.compress(raw)) for c in self.by)
+        scripts = {unicodedata.name(c, "").partition(" ")[0] for c in set(_RARE.findall(text)) if unicodedata.category(c)[0] in "LMN"} if _RARE.search(text) else ()
+        return 8 * min(len(c.compress(raw)) for c in self.by) + sum(KIN_BITS if x in ("GREEK", "CYRILLIC") else SCRIPT_BITS for x in scripts)
 
     def best(self, text: str) -> tuple[str, list[str]]:
-        """The restored text and the chain of steps undone, outermost first; (text, []) if none pays."""
-        best, chosen, frontier = self.bits(text), (text, []), [(text, [])]
+        """The restored text and the chain of steps undone, outermost first; (text, []) if none pays.
+
+        Every different text that some chain leads to is measured, once, under its shortest chain.
+        """
+        best, chosen, seen, whole = self.bits(text), (text, []), {text}, _Text(text)
+        frontier: list[tuple[_Text, tuple[str, ...], str, list[str]]] = [(whole, whole.first, text, [])]
+        tried = {(id(whole), whole.first)}
         for depth in range(1, MAX_STEPS + 1):
-            grown: dict[str, list[str]] = {}
-            for t, chain in frontier:
-                for name, undo in STEPS.items():
-                    if (u := undo(t)) != t and u not in grown:
-                        grown[u] = [*chain, name]
-            scored = sorted((self.bits(u) + STEP_BITS * depth, u, c) for u, c in grown.items())
-            if not scored:
-                break
-            if scored[0][0] < best:
-                best, chosen = scored[0][0], (scored[0][1], scored[0][2])
-            frontier = [(u, c) for _, u, c in scored[:4]]
+            grown = []
+            for of, now, t, chain in frontier:
+                for codec in MISREAD_AS:
+                    after = tuple(_undo_run(r, codec) for r in now)
+                    if (id(of), after) not in tried:
+                        tried.add((id(of), after))
+                        grown.append((of, after, of.joined(after), [*chain, f"utf-8 as {codec}"]))
+                if (u := undo_tcvn3(t)) != t:
+                    made = _Text(u)
+                    grown.append((made, made.first, u, [*chain, "tcvn3 as cp1252"]))
+            frontier = []
+            for x in grown:
+                if x[2] not in seen:
+                    seen.add(x[2])
+                    frontier.append(x)
+                    if (bits := self.bits(x[2]) + STEP_BITS * depth) < best:
+                        best, chosen = bits, (x[2], x[3])
         return chosen
 
+    def lost(self, text: str) -> bool:
+        """Whether question marks in and at words stand for letters: naming these describes the text in fewer bits.
+
+        A place pays what the best letter saves there, beyond the cost of naming it; together they must pay for a step.
+        """
+        paid = 0
+        for m in _LOST.finditer(text):
+            for i in range(m.start(), m.end()):
+                before, after = text[max(0, i - 20) : i], text[i + 1 : i + 21]
+                paid += max(0, self.bits(before + "?" + after) - LOST_BITS - min(self.bits(before + c + after) for c in VIETNAMESE))
+                if paid > STEP_BITS:
+                    return True
+        return False
+
     def restore(self, text: str) -> tuple[str, list[str], bool]:
         """The restored text, the chain, and whether characters were lost for good."""
         guess = text
@@ -167,13 +231,12 @@ class Describer:
         restored, chain = self.best(guess)
         if not chain:
             restored = text
-        count = lambda p: len(p.findall(text))
-        lost = "�" in text or "?" in text and (count(_LOST_LOWER) > 0 or count(_LOST_INSIDE) + count(_LOST_BEFORE) + count(_LOST_AFTER) >= 2)
+        lost = "�" in text or "?" in text and self.lost(text)
         return restored, chain + ["lost characters"] * lost, lost
 
 
 def train_dictionaries(df: DataFrame, id_col: str = "sample_id", text_col: str = "text") -> dict[str, bytes]:
-    """One dictionary per language from at most ``SAMPLE_TEXTS`` texts of 40 to 2000 characters: those least by a hash.
+    """One dictionary per language from at most ``SAMPLE_TEXTS`` different texts of 40 to 2000 characters: those least by a hash.
 
     Only texts without a suspicious character train: those with a letter that only Vietnamese has, and those in ASCII and
     quotation marks as English. The bound keeps what reaches the driver at a few MB at any size of the input; tasks only
@@ -182,7 +245,8 @@ def train_dictionaries(df: DataFrame, id_col: str = "sample_id", text_col: str =
     every = df.count()
     share = max(1, min(1 << 20, -(-(4 * SAMPLE_TEXTS << 20) // max(every, 1))))
     texts = df.select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h")).where(F.length("t").between(40, 2000) & (F.pmod("h", F.lit(1 << 20)) < share))
-    sample = [r.t for r in texts.orderBy(F.pmod("h", F.lit(1 << 20)), "h").limit(SAMPLE_TEXTS).collect()]
+    once = texts.groupBy("h").agg(F.first("t").alias("t"))  # a text of many copies counts once
+    sample = [r.t for r in once.orderBy(F.pmod("h", F.lit(1 << 20)), "h").limit(SAMPLE_TEXTS).collect()]
     clean = sorted({t for t in sample if not GATE.search(t)})
     out = {}
     for name, some in (("vi", [t for t in clean if _VIETNAMESE_ONLY.search(t)]), ("en", [t for t in clean if not _BEYOND_ENGLISH.search(t)])):
