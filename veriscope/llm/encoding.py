@@ -27,7 +27,7 @@ MAX_STEPS = 3
 #: and its place.
 SCRIPT_BITS, KIN_BITS, LOST_BITS = 64, 40, 10
 #: Faster levels of compression don't always describe a shorter text in fewer bits.
-LEVEL = 5
+LEVEL = 12
 #: At most so many texts train the dictionaries; the size of each in bytes.
 SAMPLE_TEXTS, DICT_BYTES = 6000, 32768
 
@@ -77,7 +77,7 @@ def _gate() -> re.Pattern:
 
 GATE = _gate()
 #: What the dictionaries don't know: characters of other scripts, and Latin letters beyond those of European languages.
-_RARE = re.compile("[^\x00-\u017f\u01a0\u01a1\u01af\u01b0\u0300-\u036f\u1ea0-\u1ef9\u2000-\u2bff\u3000\ufb00-\ufb06\ufe00-\ufe0f\ufeff\uff00-\uffff]")
+_RARE = re.compile("([^\x00-\u017f\u01a0\u01a1\u01af\u01b0\u0300-\u036f\u1ea0-\u1ef9\u2000-\u2bff\u3000\ufb00-\ufb06\ufe00-\ufe0f\ufeff\uff00-\uffff]+)")
 
 
 @cache
@@ -173,9 +173,15 @@ class Describer:
         self.by = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind), write_content_size=False, write_checksum=False, write_dict_id=False) for _, d in sorted(dictionaries.items()) if d] or [zstandard.ZstdCompressor(level=LEVEL)]
 
     def bits(self, text: str) -> int:
-        raw = text.encode("utf-8", "surrogatepass")
-        scripts = {unicodedata.name(c, "").partition(" ")[0] for c in set(_RARE.findall(text)) if unicodedata.category(c)[0] in "LMN"} if _RARE.search(text) else ()
-        return 8 * min(len(c.compress(raw)) for c in self.by) + sum(KIN_BITS if x in ("GREEK", "CYRILLIC") else SCRIPT_BITS for x in scripts)
+        if not _RARE.search(text):
+            return 8 * self._bytes_of(text.encode("utf-8", "surrogatepass"))
+        scripts = {unicodedata.name(c, "").partition(" ")[0] for c in set("".join(_RARE.findall(text))) if unicodedata.category(c)[0] in "LMN"}
+        # once a script is named, each of its characters takes two bytes, whatever the place of its block
+        parts = (t.encode("utf-16-be" if i & 1 else "utf-8", "surrogatepass") for i, t in enumerate(_RARE.split(text)))
+        return 8 * self._bytes_of(b"".join(parts)) + sum(KIN_BITS if x in ("GREEK", "CYRILLIC") else SCRIPT_BITS for x in scripts)
+
+    def _bytes_of(self, raw: bytes) -> int:
+        return min(len(c.compress(raw)) for c in self.by)
 
     def best(self, text: str) -> tuple[str, list[str]]:
         """The restored text and the chain of steps undone, outermost first; (text, []) if none pays.
