@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 #: Bits that each step of a chain costs; what a replaced character costs.
 STEP_BITS = 12
 MAX_STEPS = 3
-#: What naming a script costs that the dictionaries have no letters of (less for the next of kin), and naming a lost letter
-#: and its place.
-SCRIPT_BITS, KIN_BITS, LOST_BITS = 64, 40, 10
+#: What naming a script costs that the dictionaries have no letters of, and naming a lost letter and its place.
+SCRIPT_BITS, LOST_BITS = 64, 10
 #: Faster levels of compression don't always describe a shorter text in fewer bits.
 LEVEL = 12
 #: At most so many texts train the dictionaries; the size of each in bytes.
@@ -79,6 +78,8 @@ GATE = _gate()
 #: What the dictionaries don't know: characters of other scripts, and Latin letters beyond those of European languages.
 _RARE = re.compile("([^\x00-\u017f\u01a0\u01a1\u01af\u01b0\u0300-\u036f\u1ea0-\u1ef9\u2000-\u2bff\u3000\ufb00-\ufb06\ufe00-\ufe0f\ufeff\uff00-\uffff]+)")
 
+_CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
+
 
 @cache
 def _meaningless(c: str) -> bool:
@@ -95,7 +96,7 @@ def _bytes(codec: str) -> dict[str, int]:
 
 def _damaged(text: str) -> bool:
     """Whether a decoded sequence is itself damage of a usual kind, as after two wrong decodings."""
-    return any(_damage(c).search(text) for c in ("cp1252", "latin-1", "cp1258"))
+    return any(_damage(c).search(text) for c in MISREAD_AS)
 
 
 def undo_utf8(text: str, codec: str) -> str:
@@ -173,12 +174,13 @@ class Describer:
         self.by = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind), write_content_size=False, write_checksum=False, write_dict_id=False) for _, d in sorted(dictionaries.items()) if d] or [zstandard.ZstdCompressor(level=LEVEL)]
 
     def bits(self, text: str) -> int:
+        control = SCRIPT_BITS * bool(_CONTROL.search(text))  # no sound text holds any
         if not _RARE.search(text):
-            return 8 * self._bytes_of(text.encode("utf-8", "surrogatepass"))
+            return 8 * self._bytes_of(text.encode("utf-8", "surrogatepass")) + control
         scripts = {unicodedata.name(c, "").partition(" ")[0] for c in set("".join(_RARE.findall(text))) if unicodedata.category(c)[0] in "LMN"}
         # once a script is named, each of its characters takes two bytes, whatever the place of its block
         parts = (t.encode("utf-16-be" if i & 1 else "utf-8", "surrogatepass") for i, t in enumerate(_RARE.split(text)))
-        return 8 * self._bytes_of(b"".join(parts)) + sum(KIN_BITS if x in ("GREEK", "CYRILLIC") else SCRIPT_BITS for x in scripts)
+        return 8 * self._bytes_of(b"".join(parts)) + SCRIPT_BITS * len(scripts) + control
 
     def _bytes_of(self, raw: bytes) -> int:
         return min(len(c.compress(raw)) for c in self.by)
