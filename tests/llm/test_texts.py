@@ -181,6 +181,32 @@ def test_bpe_round_trip_and_reference(spark):
     assert bpe.encode_texts(df.limit(0)).count() == 0
 
 
+def test_long_words_and_decoding(spark):
+    """Words of a megabyte encode in seconds as the public library does, and decoding gives every text back."""
+    public = pytest.importorskip("public_tokenizers")
+    import random
+    import time
+
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(3)
+    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    texts = ["a" * 1_000_000, "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=200_000)), "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(100_000)), "ab" * 50_001 + "aaa", "ệ" * 9_999, "x" * 63 + "é" * 2, "", None, "<|endoftext|> ế \x00"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    ids = bpe.encode_texts(df).cache()
+    got = {r.doc_id: r.ids for r in ids.collect()}
+    assert time.time() - began < 90
+    for i, x in enumerate(texts):
+        assert got[i] == t.encode(x or "", add_special_tokens=False).ids
+    back = {r.doc_id: r.text for r in bpe.decode_ids(ids.withColumn("text", F.lit(1))).collect()}
+    assert back == {i: x or "" for i, x in enumerate(texts)}
+    assert bpe.decode_ids(ids.limit(0)).count() == 0
+    short = spark.createDataFrame([(1, None), (2, []), (2, got[4][:1])], "doc_id long, ids array<int>")
+    assert [r.text for r in bpe.decode_ids(short).orderBy("doc_id", "text").collect()][:2] == ["", ""]
+
+
 def test_null_ids_and_large_ids(spark):
     from veriscope.llm import neardup, readability
 

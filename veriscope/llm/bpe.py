@@ -2,9 +2,12 @@
 
 Texts are cut into words by the vocabulary's own pattern; each different word of a partition is merged once, by a
 recursive DuckDB query over token-position rows: every step joins the neighbouring tokens with the merge table and
-contracts each word's leftmost pair of least rank, until no pair is left. Words already merged are remembered by the
-worker, so the work follows the number of different words. Nothing is trained and no vocabulary is copied: the path of
-the file is a parameter.
+contracts each word's pair of least rank, leftmost first, wherever it occurs, until no pair is left. (A pair that holds a
+contracted token ranks later, so one occurrence after the other would lead to the same tokens.) Only rows of words that
+still change are carried on. Long words are first cut where no token of the vocabulary can span, which changes nothing
+either. Words already merged are remembered by the worker, so the work follows the number of different words. Decoding is
+an ordered aggregation of the tokens' bytes. Nothing is trained and no vocabulary is copied: the path of the file is a
+parameter.
 """
 
 from __future__ import annotations
@@ -17,11 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Words that a worker remembers, and characters encoded at once; both only bound memory.
-REMEMBERED, CHARS_AT_ONCE = 2_000_000, 4_000_000
+REMEMBERED, CHARS_AT_ONCE, BYTES_AT_ONCE = 2_000_000, 4_000_000, 500_000
+#: Bytes over which a word is cut before it is merged; shorter ones aren't worth the look.
+LONG_WORD = 64
 
 # Fixed value: the public pattern that cuts texts into words for this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -70,13 +75,23 @@ class Encoder:
             UNION ALL (
                 WITH open AS (SELECT word, place, token FROM state WHERE NOT done),
                 next AS (SELECT word, place, token, lead(token) OVER w AS other, lead(place) OVER w AS gone FROM open WINDOW w AS (PARTITION BY word ORDER BY place)),
-                best AS (
-                    SELECT n.word, min(struct_pack(rank := m.rank, place := n.place, gone := n.gone, merged := m.merged)) AS b
-                    FROM next n JOIN merges m ON n.token = m.a AND n.other = m.b GROUP BY n.word
+                pair AS (SELECT n.word, n.place, n.gone, m.rank, m.merged, m.a = m.b AS twins FROM next n JOIN merges m ON n.token = m.a AND n.other = m.b),
+                best AS (SELECT word, min(rank) AS rank FROM pair GROUP BY word),
+                now AS (SELECT p.* FROM pair p JOIN best b ON p.word = b.word AND p.rank = b.rank),
+                apart AS (
+                    SELECT word, place, gone, merged FROM now WHERE NOT twins
+                    UNION ALL
+                    SELECT word, place, gone, merged FROM (
+                        SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY place) AS k FROM (
+                            SELECT *, sum(opens) OVER (PARTITION BY word ORDER BY place) AS run FROM (
+                                SELECT *, CASE WHEN lag(gone) OVER (PARTITION BY word ORDER BY place) = place THEN 0 ELSE 1 END AS opens FROM now WHERE twins
+                            )
+                        )
+                    ) WHERE k % 2 = 1
                 )
-                SELECT o.word, o.place, CASE WHEN o.place = b.b.place THEN b.b.merged ELSE o.token END, b.word IS NULL
-                FROM open o LEFT JOIN best b ON o.word = b.word
-                WHERE b.word IS NULL OR o.place <> b.b.gone
+                SELECT o.word, o.place, coalesce(c.merged, o.token), b.word IS NULL
+                FROM open o LEFT JOIN best b ON o.word = b.word LEFT JOIN apart c ON o.word = c.word AND o.place = c.place LEFT JOIN apart g ON o.word = g.word AND o.place = g.gone
+                WHERE g.word IS NULL
             )
         )
         SELECT word, token FROM state WHERE done ORDER BY word, place
@@ -95,15 +110,56 @@ class Encoder:
         table = pa.table({"a": pa.array([ids[x] for x, _ in pairs], pa.int32()), "b": pa.array([ids[y] for _, y in pairs], pa.int32()), "rank": pa.array(range(len(pairs)), pa.int32()), "merged": pa.array([ids[x + y] for x, y in pairs], pa.int32())})
         self.con.register("given", table)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
+        byte = {c: b for b, c in letters.items()}
+        self.token_pair, self.inside = np.zeros(1 << 16, bool), np.zeros(1 << 24, bool)
+        for x, y in pairs:
+            t = [byte[c] for c in x + y]
+            if len(t) == 2:
+                self.token_pair[t[0] << 8 | t[1]] = True
+            for i in range(len(t) - 2):
+                self.inside[t[i] << 16 | t[i + 1] << 8 | t[i + 2]] = True
         self.number: dict[str, int] = {}
         self.flat, self.start = np.empty(0, np.int32), np.zeros(1, np.int64)
 
+    def cut(self, word: bytes) -> list[bytes]:
+        """A word's parts between places that no token spans: one that did would be the two bytes there, or hold them with
+        the byte before or after."""
+        b = np.frombuffer(word, np.uint8).astype(np.int32)
+        pair = b[:-1] << 8 | b[1:]
+        three = self.inside[pair[:-1] << 8 | b[2:]]
+        spanned = self.token_pair[pair]
+        spanned[1:] |= three
+        spanned[:-1] |= three
+        at = [0, *(np.flatnonzero(~spanned) + 1).tolist(), len(word)]
+        return [word[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
     def learn(self, fresh: list[str]) -> None:
         """Merges words not met before and remembers their ids."""
-        base = len(self.number)
-        parts, starts = [self.flat], [self.start]
-        for lo in range(0, len(fresh), 20_000):
-            some = [w.encode("utf-8", "surrogatepass") for w in fresh[lo : lo + 20_000]]
+        base, parts, index, counts = len(self.number), {}, [], []
+        for w in fresh:
+            raw = w.encode("utf-8", "surrogatepass")
+            made = [raw] if len(raw) <= LONG_WORD else self.cut(raw)
+            index += [parts.setdefault(p, len(parts)) for p in made]
+            counts.append(len(made))
+        flat, start = self.merge(list(parts))
+        index, ends = np.array(index), np.cumsum(counts)
+        sizes = start[index + 1] - start[index]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        tokens = flat[np.arange(total[-1]) + np.repeat(start[index] - total[:-1], sizes)]
+        self.start = np.concatenate([self.start, self.start[-1] + total[ends]])
+        self.flat = np.concatenate([self.flat, tokens])
+        self.number.update((w, base + i) for i, w in enumerate(fresh))
+
+    def merge(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all parts, and where each part starts (n + 1)."""
+        tokens, starts, lo = [], [np.zeros(1, np.int64)], 0
+        while lo < len(parts):
+            hi, held = lo, 0
+            while hi < len(parts) and (hi == lo or hi - lo < 20_000 and held + len(parts[hi]) <= BYTES_AT_ONCE):
+                held += len(parts[hi])
+                hi += 1
+            some = parts[lo:hi]
+            lo = hi
             sizes = np.array([len(w) for w in some])
             word = np.repeat(np.arange(len(some), dtype=np.int32), sizes)
             place = (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
@@ -111,11 +167,9 @@ class Encoder:
             self.con.register("start", start)
             got = self.con.execute(self.STEP).fetchnumpy()
             self.con.unregister("start")
-            parts.append(np.asarray(got["token"], np.int32))
-            ends = np.cumsum(np.bincount(np.asarray(got["word"], np.int64), minlength=len(some)))
-            starts.append(starts[-1][-1] + ends)
-        self.flat, self.start = np.concatenate(parts), np.concatenate(starts)
-        self.number.update((w, base + i) for i, w in enumerate(fresh))
+            tokens.append(np.asarray(got["token"], np.int32))
+            starts.append(starts[-1][-1] + np.cumsum(np.bincount(np.asarray(got["word"], np.int64), minlength=len(some))))
+        return np.concatenate([np.empty(0, np.int32), *tokens]), np.concatenate(starts)
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         """The ids of each text; a null and an empty text have none."""
@@ -171,3 +225,39 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 lo = hi
 
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(encode, schema)
+
+
+def decode_ids(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
+    """(id_col, text): the text that each row's token ids stand for, by an ordered aggregation of the tokens' bytes.
+
+    A null and an empty list give an empty text; an id that the vocabulary lacks is an error; bytes that aren't UTF-8, as of
+    a list cut inside a letter, show as U+FFFD. A repeated row gives a row each time, an empty input an empty result; extra
+    columns are ignored. Rows never leave their partition.
+    """
+    schema = StructType([StructField(id_col, df.schema[id_col].dataType), StructField("text", StringType(), False)])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import duckdb
+
+        with open(vocabulary, encoding="utf-8") as f:
+            model = json.load(f)
+        byte = {c: b for b, c in _byte_letters().items()}
+        given = {**model["model"]["vocab"], **{t["content"]: t["id"] for t in model.get("added_tokens", [])}}
+        added = {t["id"] for t in model.get("added_tokens", [])}
+        raw = {i: t.encode() if i in added else bytes(byte[c] for c in t) for t, i in given.items()}
+        con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        names = pa.table({"id": pa.array(list(raw), pa.int64()), "bytes": pa.array([b.hex() for b in raw.values()])})
+        con.register("given", names)
+        con.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
+        for b in batches:
+            lists = b.column(1).to_pylist()
+            rows = pa.table({"row": pa.array([i for i, x in enumerate(lists) for _ in x or ()], pa.int64()), "place": pa.array([k for x in lists for k in range(len(x or ()))], pa.int64()), "id": pa.array([t for x in lists for t in x or ()], pa.int64())})
+            con.register("tokens", rows)
+            got = con.execute("SELECT row, string_agg(bytes, '' ORDER BY place), count(*) - count(bytes) FROM tokens LEFT JOIN vocabulary USING (id) GROUP BY row").fetchall()
+            con.unregister("tokens")
+            if any(unknown for _, _, unknown in got):
+                raise ValueError("token ids that the vocabulary lacks")
+            texts = {i: bytes.fromhex(h).decode("utf-8", "replace") for i, h, _ in got}
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([texts.get(i, "") for i in range(len(lists))])], names=[id_col, "text"])
+
+    return df.select(F.col(id_col), F.col(ids_col)).mapInArrow(decode, schema)
