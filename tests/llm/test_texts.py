@@ -159,6 +159,23 @@ def test_pieces():
     assert len(chunking.pieces("x " * 50_000, 100, 100)) == 1 + -(-(50_000 - 100) // 50)
 
 
+def test_pieces_of_characters():
+    text = "Điều 1. Mở đầu.\n\nCâu một có năm từ. " + "x" * 57 + " Cuối e\u0302\u0301\u0323 y."
+    for limit in (1, 2, 3, 7, 20, 40, 500):
+        for overlap in (None, 0, 1, 3, 100):
+            made, body = chunking.pieces(text, limit, overlap, "characters"), ""
+            for p, n, shared in made:
+                assert len(p) == n and (n <= limit or len(made) == 1)
+                assert p[:shared] == body[len(body) - shared :] if shared else True
+                body += p[shared:]
+            assert body == text
+    assert all(not p.startswith(("\u0302", "\u0301", "\u0323")) for p, _, _ in chunking.pieces(text, 7, 0, "characters"))
+    assert [n for _, n, _ in chunking.pieces("z" * 1_000_000, 300_000, 0, "characters")] == [300_000] * 3 + [100_000]
+    assert chunking.pieces("   ", 2, 0, "characters") == [("   ", 3, 0)] and chunking.pieces(None, 2, 0, "characters") == []
+    with pytest.raises(ValueError):
+        chunking.pieces("x", 1, 0, "bytes")
+
+
 def test_split_frame(spark):
     df = spark.createDataFrame([("a", "một hai ba bốn", 2, None, "x"), ("b", None, 2, 1, "x"), ("c", "một", None, 1, "x"), ("d", "một hai", 0, 3, "x")], "chunk_id string, text string, chunk_size_tokens int, chunk_overlap_tokens int, piece string")
     got = chunking.split_texts(df).orderBy("chunk_id", "piece").collect()
