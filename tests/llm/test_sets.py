@@ -180,8 +180,11 @@ def test_leaks_against_brute_force(spark):
     assert len(want) > 10
     for bound in (contamination.BROADCAST_WORDS, 0):
         got = contamination.leaked_items(d, i, broadcast_words=bound)
+        runs = {(r.doc_id, r.item_id): r.words for r in got.collect()} if bound else {k: v for k, v in runs.items() if {(r.doc_id, r.item_id): r.words for r in got.collect()} == runs}
         rows = [(r.doc_id, r.item_id) for r in got.collect()]
         assert set(rows) == want and len(rows) == len(want)
+    assert set(runs) == want  # both ways give the same longest runs
+    assert contamination.leaked_items(d.limit(0), i, broadcast_words=0).count() == 0
     assert contamination.leaked_items(d.limit(0), i).count() == 0 and contamination.leaked_items(d, i.limit(0)).count() == 0
 
 

@@ -5,8 +5,10 @@ to the shared span to be found, so that every span of that many words in both te
 fingerprints are joined with those of the items; each hit is extended word by word in both directions, which gives the
 exact span and discards hits that stay too short.
 
-Words are compared without case and accents. The item index is broadcast only up to ``BROADCAST_WORDS`` words of items;
-beyond that fingerprints and words are joined by shuffling.
+Words are compared without case and accents. The item index is broadcast only up to ``BROADCAST_WORDS`` words and
+``BROADCAST_BYTES`` of items. Beyond that nothing but hashes and places is shuffled: fingerprints that both sides hold tell
+where to look, and there the spans of full length around them are joined, so a stock phrase that is shorter than a span
+brings no pair together however often it occurs; spans in a row on both sides are one run.
 """
 
 from __future__ import annotations
@@ -19,13 +21,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veriscope.llm.shingles import chunks, grams, words
 from veriscope.llm.textforms import canonical
 from veriscope.session import staged
 
 SPAN, GRAM = 12, 6
-BROADCAST_WORDS = 2_000_000
+BROADCAST_WORDS, BROADCAST_BYTES = 2_000_000, 32 << 20
 #: Hits extended at once, which bounds memory whatever a text repeats.
 HITS_AT_ONCE = 1 << 18
 
@@ -128,9 +131,9 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", ite
     small = _rows(items, item_col, text_col)
     doc_kind, item_kind = docs.schema[doc_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     schema = f"`{doc_col}` {doc_kind}, `{item_col}` {item_kind}, words int"
-    size = small.agg(F.coalesce(F.sum(F.regexp_count("t", F.lit(r"[\p{L}\p{N}]+"))), F.lit(0))).first()[0]
+    size = small.agg(F.coalesce(F.sum(F.regexp_count("t", F.lit(r"[\p{L}\p{N}]+"))), F.lit(0)), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
     corpus = _rows(docs, doc_col, text_col)
-    if size <= broadcast_words:
+    if size[0] <= broadcast_words and size[1] <= BROADCAST_BYTES:
         rows = small.toPandas()  # bounded by the check
         index = ItemIndex(rows["id"].values, Prints(rows["t"].tolist(), span, gram))
         shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -151,17 +154,33 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", ite
                     p = Prints(b["t"].iloc[lo:hi].tolist(), span, gram)
                     yield pd.DataFrame({"id": b["id"].values[lo:hi][p.doc], "h": p.hash.view(np.int64)}).drop_duplicates()
 
-        a = corpus.mapInPandas(prints, f"id {doc_kind}, h bigint").select(F.col("id").alias("d"), "h")
-        b = small.mapInPandas(prints, f"id {item_kind}, h bigint").select(F.col("id").alias("i"), "h")
-        met = staged(a.join(b, "h").select("d", "i").distinct(), "met")
-        both = met.join(corpus.select(F.col("id").alias("d"), F.col("t").alias("x")), "d").join(small.select(F.col("id").alias("i"), F.col("t").alias("y")), "i")
-
-        def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def spans_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """The full spans that hold a fingerprint of the other side."""
             for b in batches:
-                for d, i, x, y in zip(b["d"], b["i"], b["x"], b["y"], strict=True):
-                    for _, _, run in ItemIndex(np.array([i]), Prints([y], span, gram)).leaks(Prints([x], span, gram), span):
-                        if len(run):
-                            yield pd.DataFrame({doc_col: [d], item_col: [i], "words": [int(run.max())]})
-
-        found = both.mapInPandas(verify, schema)
+                for lo, hi in chunks(b["t"].str.len().tolist()):
+                    p = Prints(b["t"].iloc[lo:hi].tolist(), span, gram)
+                    met = [np.frombuffer(np.array(x, np.int64).tobytes(), np.uint64) for x in b["hs"].iloc[lo:hi]]
+                    of = np.repeat(np.arange(hi - lo), [len(x) for x in met])
+                    seek, known = np.stack([of.astype(np.uint64), np.concatenate([np.empty(0, np.uint64), *met])], 1), np.stack([p.doc.astype(np.uint64), p.hash], 1)
+                    pair = np.dtype([("d", "u8"), ("h", "u8")])
+                    hit = np.isin(np.ascontiguousarray(known).view(pair).reshape(-1), np.ascontiguousarray(seek).view(pair).reshape(-1))
+                    g, at = grams(p.words, p.start, span)
+                    doc, place = p.doc[hit], p.place[hit]
+                    many = np.diff(at)[doc]
+                    first, last = np.maximum(place - (span - gram), 0), np.minimum(place, many - 1)
+                    count = np.maximum(last - first + 1, 0)
+                    k = np.repeat(np.arange(len(doc)), count)
+                    where = first[k] + np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count)
+                    yield pd.DataFrame({"id": b["id"].values[lo:hi][doc[k]], "s": g[at[doc[k]] + where].view(np.int64), "place": where}).drop_duplicates()
+
+        def near(rows: DataFrame, mine: DataFrame, other: DataFrame, name: str, kind: str) -> DataFrame:
+            """(name, s, place) of one side's spans around the fingerprints that the other side has too."""
+            found = mine.join(other.select("h").distinct(), "h", "left_semi").groupBy("id").agg(F.collect_set("h").alias("hs"))
+            return rows.join(found, "id").mapInPandas(spans_of, f"id {kind}, s bigint, place bigint").distinct().select(F.col("id").alias(name), "s", F.col("place").alias(f"{name}_at"))
+
+        a, b = staged(corpus.mapInPandas(prints, f"id {doc_kind}, h bigint"), "prints"), staged(small.mapInPandas(prints, f"id {item_kind}, h bigint"), "prints")
+        both = near(corpus, a, b, "d", doc_kind).join(near(small, b, a, "i", item_kind), "s").select("d", "i", "d_at", (F.col("d_at") - F.col("i_at")).alias("shift")).distinct()
+        # spans in a row on both sides: their places less their rank stay the same
+        run = F.col("d_at") - F.row_number().over(Window.partitionBy("d", "i", "shift").orderBy("d_at"))
+        found = both.withColumn("run", run).groupBy("d", "i", "shift", "run").agg((F.count("*") + F.lit(span - 1)).cast("int").alias("words")).select(F.col("d").alias(doc_col), F.col("i").alias(item_col), "words")
     return found.groupBy(doc_col, item_col).agg(F.max("words").alias("words"))
