@@ -154,6 +154,30 @@ def test_assigned_splits(spark):
     assert groupsplit.companies_per_split(every, companies, out).agg(F.sum("companies")).first()[0] == 503
 
 
+def test_newest_version_by_number(spark):
+    rows = [("v1.9", "train", 0.5), ("v1.10", "train", 0.6), ("v1.2", "train", 0.7), (None, "train", 0.9), ("v1.10", None, 0.3)]
+    assert groupsplit.wanted_shares(spark.createDataFrame(rows, "dataset_version string, split string, share double")) == {"train": 0.6}
+
+
+def test_label_deviation_of_skewed_groups(spark):
+    """A third of all rows in one group, labels that go with groups, small groups of mixed labels: shares hold per label."""
+    rnd = random.Random(8)
+    rows, n = [], 0
+    for g, size in [(0, 1000), *((i, max(1, int(200 / i))) for i in range(1, 400))]:
+        rare = rnd.random() < 0.2
+        for _ in range(size):
+            rows.append((f"r{n}", f"CTY_ANON_{g + 10:07d}", None, "a" if g == 0 else rnd.choice("bc") if rare else "a" if rnd.random() < 0.7 else "b"))
+            n += 1
+    records = spark.createDataFrame(rows, "id string, company_id string, source string, label string")
+    companies = spark.createDataFrame(COMPANIES, "company_id string, ticker string, former_ticker string")
+    dist = spark.createDataFrame([("v1", s, p) for s, p in (("train", 0.7), ("dev", 0.15), ("test", 0.15))], "dataset_version string, split string, share double")
+    splits = groupsplit.assign_splits(records, companies, dist).cache()
+    assert splits.count() == n
+    got = groupsplit.split_deviation(records, splits, dist).collect()
+    assert len(got) == 9 and sum(r.records for r in got) == n
+    assert max(abs(r.deviation) for r in got) < 0.04, [(r.split, r.label, r.deviation) for r in got]
+
+
 def test_leaks_against_brute_force(spark):
     rnd = random.Random(5)
     items = [" ".join(rnd.choices(WORDS, k=rnd.choice([5, 12, 20, 60]))) for _ in range(30)]

@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 from veriscope.llm.components import components
 from veriscope.session import staged
 
-#: A group with at least this share of all records is placed one by one on the driver: at most 1/share groups.
+#: A group with at least this share of all records is placed one by one: at most 1/share groups.
 LARGE_SHARE = 1 / 2000
+#: Smaller groups are placed in bins: groups of one size class and leading label are dealt to so many by a hash.
+BINS = 512
+#: Labels that are told apart, the most frequent ones; the others count as one.
+LABELS = 16
 
 _WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + "　"
 _NARROW = "".join(chr(0x21 + i) for i in range(94)) + " "
@@ -65,54 +69,92 @@ def record_groups(records: DataFrame, companies: DataFrame) -> DataFrame:
     return of.join(sizes, "group").select("id", "group", F.when(~F.col("group").startswith("file:"), F.col("group")).alias("group_company"), "members")
 
 
+def wanted_shares(distribution: DataFrame) -> dict[str, float]:
+    """The shares of the newest dataset version, whose numbers are compared as numbers; 70, 15 and 15 % if there is none."""
+    numbers = F.transform(F.regexp_extract_all("dataset_version", F.lit(r"(\d{1,18})"), F.lit(1)), lambda x: x.cast("bigint"))
+    named = distribution.where("split is not null and share is not null").groupBy("dataset_version").agg(F.collect_list(F.struct("split", "share")).alias("s"))
+    newest = named.orderBy(numbers.desc(), F.desc("dataset_version")).first()
+    return {r.split: r.share for r in newest.s} if newest else {"train": 0.7, "dev": 0.15, "test": 0.15}
+
+
+def _placed(units: dict, totals: dict[str, int], shares: dict[str, float]) -> dict:
+    """A split for every unit (its records by label): in order of size, where the labels it has lack most.
+
+    Afterwards units move as long as a move makes the deviation less, at most ten times through.
+    """
+    names = sorted(shares, key=lambda s: (-shares[s], s))
+    open_ = {s: {k: v * shares[s] for k, v in totals.items()} for s in names}
+    out = {}
+    for u in sorted(units, key=lambda u: (-sum(units[u].values()), str(u))):
+        # what the squares of all deviations, each as a part of its label, fall by
+        gain = lambda s: sum((2 * open_[s][k] - c) * c / totals[k] ** 2 for k, c in units[u].items()) if shares[s] else float("-inf")  # noqa: B023, E731
+        out[u] = max(names, key=gain)
+        for k, c in units[u].items():
+            open_[out[u]][k] -= c
+    for _ in range(10):
+        moved = False
+        for u in sorted(units, key=lambda u: (-sum(units[u].values()), str(u))):
+            for k, c in units[u].items():
+                open_[out[u]][k] += c
+            gain = lambda s: sum((2 * open_[s][k] - c) * c / totals[k] ** 2 for k, c in units[u].items()) if shares[s] else float("-inf")  # noqa: B023, E731
+            best = max(names, key=gain)
+            if gain(best) > gain(out[u]) + 1e-12:
+                out[u], moved = best, True
+            for k, c in units[u].items():
+                open_[out[u]][k] -= c
+        if not moved:
+            break
+    return out
+
+
+def _labelled(records: DataFrame) -> DataFrame:
+    """(id, label) of every distinct id; the least label of repeated ones."""
+    label = F.coalesce(F.upper(F.trim("label")), F.lit("?"))
+    return records.where("id is not null").groupBy("id").agg(F.min(label).alias("label"))
+
+
 def assign_splits(records: DataFrame, companies: DataFrame, distribution: DataFrame) -> DataFrame:
     """(id, split): every distinct non-null id in train, dev or test, groups whole.
 
-    Shares are those of the newest dataset version in ``distribution``. Large groups are placed in order of size where
-    the split still lacks most of their labels relative to its share; the rest, each under ``LARGE_SHARE`` of the records,
-    are spread per leading label by a hash of the group against the shares that are still open.
+    Shares are those of the newest dataset version in ``distribution``. Groups are placed in order of size, each where the
+    labels it has are still lacking most: large ones one by one, smaller ones, each under ``LARGE_SHARE`` of the records,
+    in bins of groups of one size class and leading label. What reaches the driver is bounded by ``LARGE_SHARE``, ``BINS``
+    and ``LABELS``: records by label of each large group and each bin.
     """
-    newest = distribution.where("split is not null and share is not null").groupBy("dataset_version").agg(F.collect_list(F.struct("split", "share")).alias("s")).orderBy(F.desc("dataset_version")).first()
-    shares = {r.split: r.share for r in newest.s} if newest else {"train": 0.7, "dev": 0.15, "test": 0.15}
-    names = sorted(shares, key=lambda s: (-shares[s], s))
+    shares = wanted_shares(distribution)
     grouped = record_groups(records, companies)
-    label = F.coalesce(F.upper(F.trim("label")), F.lit("?"))
-    ids = records.where("id is not null").groupBy("id").agg(F.min(label).alias("label")).join(grouped.select("id", "group"), "id", "left").select("id", "label", F.coalesce("group", F.concat(F.lit("id:"), "id")).alias("group"))
+    ids = _labelled(records).join(grouped.select("id", "group"), "id", "left").select("id", "label", F.coalesce("group", F.concat(F.lit("id:"), "id")).alias("group"))
     ids = staged(ids, "labelled")
-    counts = staged(ids.groupBy("group", "label").agg(F.count("*").alias("c")), "counts")
-    totals = {r.label: r.c for r in counts.groupBy("label").agg(F.sum("c").alias("c")).collect()}  # one row per label
+    common = [r.label for r in ids.groupBy("label").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "label").limit(LABELS - 1).collect()]
+    kept = F.when(F.col("label").isin(common), F.col("label")).otherwise("other") if common else F.lit("other")
+    counts = staged(ids.groupBy("group", kept.alias("label")).agg(F.count("*").alias("c")), "counts")
+    totals = {r.label: r.c for r in counts.groupBy("label").agg(F.sum("c").alias("c")).collect()}
     every = sum(totals.values())
     sizes = counts.groupBy("group").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label"))["label"].alias("lead"))
-    large = sizes.where(F.col("n") >= max(2, every * LARGE_SHARE)).select("group", "n")
-    by: dict[str, dict[str, int]] = {}
-    for r in counts.join(large, "group").collect():  # at most 1 / LARGE_SHARE groups
-        by.setdefault(r.group, {})[r.label] = r.c
-    open_ = {s: {k: v * shares[s] for k, v in totals.items()} for s in names}
-    placed = {}
-    for g in sorted(by, key=lambda g: (-sum(by[g].values()), g)):
-        gain = lambda s: sum((open_[s].get(k, 0) - c / 2) * c / max(totals[k], 1) for k, c in by[g].items()) / shares[s] if shares[s] else float("-inf")  # noqa: B023, E731
-        s = max(names, key=gain)
-        placed[g] = s
-        for k, c in by[g].items():
-            open_[s][k] -= c
-    spark = records.sparkSession
-    fixed = spark.createDataFrame([(g, s) for g, s in placed.items()], "group string, fixed string")
-    u = (F.pmod(F.xxhash64("group"), F.lit(1_000_003)) / F.lit(1_000_003.0)).alias("u")
-    small = sizes.join(fixed, "group", "left")
-    pick = F.lit(names[0])
-    for k in totals:
-        room = {s: max(0.0, open_[s][k]) for s in names}
-        whole = sum(room.values()) or 1.0
-        cuts, at = [], 0.0
-        for s in names:
-            at += room[s] / whole
-            cuts.append((at, s))
-        column = F.lit(names[-1])
-        for at, s in reversed(cuts[:-1]):
-            column = F.when(F.col("u") < at, s).otherwise(column)
-        pick = F.when(F.col("lead") == k, column).otherwise(pick)
-    chosen = small.withColumn("u", u).select("group", F.coalesce("fixed", pick).alias("split"))
-    return ids.join(chosen, "group").select("id", "split")
+    large = F.col("n") >= max(2, every * LARGE_SHARE)
+    unit = sizes.select("group", F.when(large, F.col("group")).alias("alone"), F.floor(F.log2("n")).cast("int").alias("class"), "lead", F.pmod(F.xxhash64("group"), F.lit(BINS)).cast("int").alias("bin"))
+    unit = unit.select("group", "alone", *(F.when(F.col("alone").isNull(), F.col(c)).alias(c) for c in ("class", "lead", "bin")))
+    keys = ["alone", "class", "lead", "bin"]
+    units: dict[tuple, dict[str, int]] = {}
+    for r in counts.join(unit, "group").groupBy(*keys, "label").agg(F.sum("c").alias("c")).collect():
+        units.setdefault(tuple(r[k] for k in keys), {})[r.label] = r.c
+    placed = _placed(units, totals, shares)
+    chosen = records.sparkSession.createDataFrame([(*u, s) for u, s in placed.items()], "alone string, class int, lead string, bin int, split string")
+    same = [unit[k].eqNullSafe(chosen[k]) for k in keys]
+    of = unit.join(F.broadcast(chosen), same[0] & same[1] & same[2] & same[3]).select("group", "split")
+    return ids.join(of, "group").select("id", "split")
+
+
+def split_deviation(records: DataFrame, splits: DataFrame, distribution: DataFrame) -> DataFrame:
+    """(split, label, records, wanted, deviation): the records of each label in each split, how many its share asks for, and
+    the difference as a part of all records of the label. A label that a split lacks has a row with 0 records."""
+    shares = wanted_shares(distribution)
+    wanted = records.sparkSession.createDataFrame(sorted(shares.items()), "split string, share double")
+    of = _labelled(records).join(splits, "id")
+    totals = of.groupBy("label").agg(F.count("*").alias("total"))
+    cells = totals.join(F.broadcast(wanted)).join(of.groupBy("label", "split").agg(F.count("*").alias("records")), ["label", "split"], "left")
+    n, w = F.coalesce("records", F.lit(0)), F.col("total") * F.col("share")
+    return cells.select("split", "label", n.alias("records"), w.alias("wanted"), ((n - w) / F.col("total")).alias("deviation"))
 
 
 def companies_per_split(records: DataFrame, companies: DataFrame, splits: DataFrame) -> DataFrame:

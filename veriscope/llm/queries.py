@@ -47,6 +47,10 @@ def p3_companies(spark: SparkSession, d: str) -> DataFrame:
     return groupsplit.companies_per_split(table(spark, d, "m1_records"), table(spark, d, "companies"), p3_splits(spark, d))
 
 
+def p3_deviation(spark: SparkSession, d: str) -> DataFrame:
+    return groupsplit.split_deviation(table(spark, d, "m1_records"), p3_splits(spark, d), table(spark, d, "m1_distribution"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return crossplit.cross_split_pairs(table(spark, d, "mini_samples"), **NEAR)
 
@@ -87,4 +91,4 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     return readability.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p1_tokens, p2_found, p2_restored, p3_found, p3_splits, p3_companies, p4_found, p4_report, p5_found, p5_pieces, p6_found, p6_groups, p7_ids, p8_found, p8_leaks, p9_levels)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p1_tokens, p2_found, p2_restored, p3_found, p3_splits, p3_companies, p3_deviation, p4_found, p4_report, p5_found, p5_pieces, p6_found, p6_groups, p7_ids, p8_found, p8_leaks, p9_levels)}
