@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import cache, lru_cache, partial
 
 import pandas as pd
 import zstandard
@@ -66,21 +66,28 @@ def _damage(codec: str) -> re.Pattern:
 
 def _gate() -> re.Pattern:
     """A text in which this finds nothing has no candidate decoding: no unusual character, no damage of usual ones."""
-    usual, pairs = re.compile(f"[{PLAIN}]"), []
+    usual, pairs, leads = re.compile(f"[{PLAIN}]"), [], ""
     for codec in MISREAD_AS:
         lead, tail = ("".join(re.escape(c) for b in at if usual.fullmatch(c := _chars(codec)[b])) for at in (range(0xC2, 0xF5), range(0x80, 0xC0)))
         if lead and tail:
             pairs.append(f"[{lead}][{tail}]")
-    return re.compile("|".join([rf"[^{PLAIN}]", *dict.fromkeys(pairs), r"\?[^\W\d_]", r"[^\W\d_]\?\s*[,;:)–]", r"[^\W\d_]\?\s+[a-zà-ÿđ]"]))
+            leads += lead
+    return re.compile(rf"[^{PLAIN}]|(?=[{leads}])(?:{'|'.join(dict.fromkeys(pairs))})|\?[^\W\d_]|(?<=[^\W\d_])\?(?:\s*[,;:)–]|\s+[a-zà-ÿđ])")
 
 
 GATE = _gate()
 #: What the dictionaries don't know: characters of other scripts, and Latin letters beyond those of European languages.
-_RARE = re.compile("([^\x00-\u017f\u01a0\u01a1\u01af\u01b0\u0300-\u036f\u1ea0-\u1ef9\u2000-\u2bff\u3000\ufb00-\ufb06\ufe00-\ufe0f\ufeff\uff00-\uffff]+)")
+_RARE = re.compile("[^\x00-\u017f\u01a0\u01a1\u01af\u01b0\u0300-\u036f\u1ea0-\u1ef9\u2000-\u2bff\u3000\ufb00-\ufb06\ufe00-\ufe0f\ufeff\uff00-\uffff]")
+_THREE_BYTES = re.compile("((?:(?![\u1ea0-\u1ef9\u2000-\u2bff\u3000\ufb00-\ufb06\ufe00-\ufe0f\ufeff\uff00-\uffff])[\u0800-\U0010ffff])+)")
 
 _CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
 
 
+@cache
+def _script(c: str) -> str:
+    return unicodedata.name(c, "").partition(" ")[0] if unicodedata.category(c)[0] in "LMN" else ""
+
+
 @cache
 def _meaningless(c: str) -> bool:
     if unicodedata.category(c) in ("Cc", "Cn", "Co", "Cs"):
@@ -124,6 +131,8 @@ _SENTENCES = re.compile(r"(?<=[.!?;])\s+|\n")
 def undo_tcvn3(text: str) -> str:
     """Rewrites the sentences that hold at least two characters inside words that Vietnamese doesn't have, and none
     of the letters that such text can't show."""
+    if len(_TCVN3_ODD.findall(text)) < 2:
+        return text
     out, at = [], 0
     for m in [*_SENTENCES.finditer(text), None]:
         end = m.start() if m else len(text)
@@ -139,9 +148,8 @@ def undo_tcvn3(text: str) -> str:
 _RUN = re.compile("([^\x00-\x7f]+)")
 
 
-@lru_cache(1 << 17)
-def _undo_run(run: str, codec: str) -> str:
-    return undo_utf8(run, codec)
+#: What each codec's step makes of a run, remembered.
+_UNDO = {codec: lru_cache(1 << 16)(partial(undo_utf8, codec=codec)) for codec in MISREAD_AS}
 
 
 class _Text:
@@ -149,11 +157,12 @@ class _Text:
 
     def __init__(self, text: str):
         self.pieces = _RUN.split(text)
-        self.first = tuple(dict.fromkeys(self.pieces[1::2]))
+        self.runs = self.pieces[1::2]
+        self.first = tuple(dict.fromkeys(self.runs))
 
     def joined(self, now: tuple[str, ...]) -> str:
-        of = dict(zip(self.first, now, strict=True))
-        return "".join(of[p] if i & 1 else p for i, p in enumerate(self.pieces))
+        self.pieces[1::2] = map(dict(zip(self.first, now, strict=True)).__getitem__, self.runs)
+        return "".join(self.pieces)
 
 
 #: Question marks that stand for letters a code page lacked.
@@ -174,13 +183,14 @@ class Describer:
         self.by = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind), write_content_size=False, write_checksum=False, write_dict_id=False) for _, d in sorted(dictionaries.items()) if d] or [zstandard.ZstdCompressor(level=LEVEL)]
 
     def bits(self, text: str) -> int:
-        control = SCRIPT_BITS * bool(_CONTROL.search(text))  # no sound text holds any
-        if not _RARE.search(text):
-            return 8 * self._bytes_of(text.encode("utf-8", "surrogatepass")) + control
-        scripts = {unicodedata.name(c, "").partition(" ")[0] for c in set("".join(_RARE.findall(text))) if unicodedata.category(c)[0] in "LMN"}
-        # once a script is named, each of its characters takes two bytes, whatever the place of its block
-        parts = (t.encode("utf-16-be" if i & 1 else "utf-8", "surrogatepass") for i, t in enumerate(_RARE.split(text)))
-        return 8 * self._bytes_of(b"".join(parts)) + SCRIPT_BITS * len(scripts) + control
+        named = SCRIPT_BITS * bool(_CONTROL.search(text))  # no sound text holds any
+        rare = set(_RARE.findall(text))
+        if rare:
+            named += SCRIPT_BITS * len({script for c in rare if (script := _script(c))})
+            if max(rare) >= "\u0800":  # once a script is named, each of its characters takes two bytes, wherever its block is
+                parts = (t.encode("utf-16-be" if i & 1 else "utf-8", "surrogatepass") for i, t in enumerate(_THREE_BYTES.split(text)))
+                return 8 * self._bytes_of(b"".join(parts)) + named
+        return 8 * self._bytes_of(text.encode("utf-8", "surrogatepass")) + named
 
     def _bytes_of(self, raw: bytes) -> int:
         return min(len(c.compress(raw)) for c in self.by)
@@ -197,7 +207,7 @@ class Describer:
             grown = []
             for of, now, t, chain in frontier:
                 for codec in MISREAD_AS:
-                    after = tuple(_undo_run(r, codec) for r in now)
+                    after = tuple(map(_UNDO[codec], now))
                     if (id(of), after) not in tried:
                         tried.add((id(of), after))
                         grown.append((of, after, of.joined(after), [*chain, f"utf-8 as {codec}"]))
