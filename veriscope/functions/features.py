@@ -30,8 +30,8 @@ def _sum(cols: Sequence[Column]) -> Column:
 
 def _share(tokens: Column, words: Sequence[str], marks: str, n: Column) -> Column:
     """Share of tokens that are one of the words once ``marks`` are stripped."""
-    pattern = tx.one_of(words, marks)
-    return F.size(F.filter(tokens, lambda x: x.rlike(pattern))) / n
+    known = F.array(*map(F.lit, words))
+    return F.size(F.filter(tokens, lambda x: F.array_contains(known, F.btrim(x, F.lit(marks))))) / n
 
 
 def with_metadata_features(df: DataFrame, text_col: str = "text", rules: Sequence[rl.Rule] = rl.DEFAULT_RULES) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -23,9 +22,10 @@ def pages(t: Column) -> Column:
     return F.when(F.size(numbers) > 0, made).otherwise(F.array(F.struct(F.lit(1).alias("page"), tx.strip(t).alias("content"))))
 
 
-def sections(t: Column, headings: Mapping[str, str] = lx.SECTIONS) -> Column:
-    """Map of section to its text, from the first mention of its heading to the next section; else the full text."""
-    starts = F.array(*(F.struct(F.regexp_instr(t, F.lit(rl._java(p))).alias("at"), F.lit(k).alias("name")) for k, p in headings.items()))
+def sections(t: Column, headings: Mapping[str, Sequence[str]] = lx.SECTIONS) -> Column:
+    """Map of section to its text, from the first mention of a heading, with or without accents, to the next section; else
+    the full text."""
+    starts = F.array(*(F.struct(F.regexp_instr(t, F.lit("(?iu)" + tx.any_phrase(h, accents=False))).alias("at"), F.lit(k).alias("name")) for k, h in headings.items()))
     found = F.array_sort(F.filter(starts, lambda x: x["at"] > 0))
     size = F.size(found)
     ends = F.transform(found, lambda x, i: F.when(i + 1 < size, F.element_at(found, i.cast("int") + 2)["at"]).otherwise(F.length(t) + 1))
@@ -33,24 +33,52 @@ def sections(t: Column, headings: Mapping[str, str] = lx.SECTIONS) -> Column:
     return F.when(size > 0, F.map_from_entries(made)).otherwise(F.create_map(F.lit("full_text"), t))
 
 
-def field(t: Column, patterns: Sequence[str]) -> Column:
-    """What the first pattern that matches captured, its groups joined by spaces; null if none matches."""
+def _caught(t: Column, pattern: str, groups: int = 1) -> Column:
+    """What the pattern's groups caught, joined by spaces; null where it doesn't match."""
+    parts = F.array(*(F.nullif(F.regexp_extract(t, "(?iumd)" + pattern, g + 1), F.lit("")) for g in range(groups)))
+    return F.nullif(tx.strip(F.array_join(parts, " ")), F.lit(""))
+
+
+def amount(t: Column, labels: Sequence[Sequence[str] | int], signed: bool = False) -> Column:
+    """The amount that follows a label, as written: of the first group of labels that has one.
+
+    An amount is one to three digits and two or more groups of three. It stands on the label's line, or else after at most
+    120 characters without a digit from the line's end on (80 after a code). Letters match with or without accents.
+    """
+    digits = rf"\d{{1,3}}(?:[,.{tx.WS[1:-1]}]+\d{{3}}){{2,}}"
+    figure = rf"(\(?{digits}\)?)" if signed else f"({digits})"
     tries = []
-    for p in patterns:
-        java = "(?iumd)" + p.replace(r"\s", tx.WS) if r"[\s" not in p else "(?iumd)" + p.replace(r"[\s", "[" + tx.WS[1:-1]).replace(r"[A-Z\s", "[A-Z" + tx.WS[1:-1]).replace(r"\s", tx.WS)
-        groups = re.compile(p).groups
-        caught = F.array(*(F.nullif(F.regexp_extract(t, java, g + 1), F.lit("")) for g in range(groups)))
-        tries.append(F.nullif(tx.strip(F.array_join(caught, " ")), F.lit("")))
+    for g in labels:
+        label, gap = (rf"\b(?:{tx.phrase('ma so', accents=False)}{tx.WS}*)?{g}\b", 80) if isinstance(g, int) else (tx.any_phrase(g, accents=False), 120)
+        tries.append(_caught(t, rf"{label}(?:[^\n]*?{figure}|[^\n]*+\D{{0,{gap}}}?{figure})", 2))
     return F.coalesce(*tries)
 
 
-def fields(t: Column, patterns: Mapping[str, Sequence[str]] = lx.FIELDS) -> dict[str, Column]:
-    """Each field as text (``_raw``) and as a number where it reads as one (``_num``)."""
-    out = {}
-    for name, p in patterns.items():
-        raw = field(t, p)
-        out[f"{name}_raw"], out[f"{name}_num"] = raw, tx.accounting_number(raw)
-    return out
+def company_name(t: Column) -> Column:
+    """The name after ``công ty`` at the start of a line, up to the line's end or a tax or address label; else a line in
+    capitals that ends with an English company suffix."""
+    forms, ends = tx.any_phrase(lx.COMPANY_FORMS, accents=False), tx.any_phrase(lx.COMPANY_ENDS, accents=False)
+    ours = _caught(t, rf"(?:^|\n){tx.phrase('cong ty', accents=False)}{tx.WS}+(?:{forms})?{tx.WS}*(.{{5,120}}?)(?:\n|{ends}|$)")
+    theirs = F.nullif(tx.strip(F.regexp_extract(t, rf"(?md)^([A-Z][A-Z&,.{tx.WS[1:-1]}]{{10,120}}{tx.any_phrase(lx.COMPANY_SUFFIXES)})", 1)), F.lit(""))
+    return F.coalesce(ours, theirs)
+
+
+def period(t: Column) -> Column:
+    """``quarter year``, or the year that a label of years or of a period's end is followed by."""
+    quarter = _caught(t, rf"{tx.any_phrase(lx.QUARTERS, accents=False)}{tx.WS}*(\d){tx.WS}*(?:{tx.any_phrase(['nam', 'year'], accents=False)})?{tx.WS}*(\d{{4}})", 2)
+    year = _caught(t, rf"{tx.any_phrase(lx.YEARS, accents=False)}{tx.WS}+(\d{{4}})")
+    return F.coalesce(quarter, year, _caught(t, rf"{tx.any_phrase(lx.PERIODS, accents=False)}[^\n]*?(\d{{4}})"))
+
+
+FIELDS = ("ten_cong_ty", "ky_bao_cao", *lx.AMOUNTS)
+
+
+def with_fields(df: DataFrame, text_col: str) -> DataFrame:
+    """Adds each field as text (``_raw``) and as a number where it reads as one (``_num``). Numbers are made from columns of
+    their own, so that no pattern runs twice."""
+    t = F.col(text_col)
+    raw = {"ten_cong_ty": company_name(t), "ky_bao_cao": period(t)} | {k: amount(t, labels, k in lx.SIGNED) for k, labels in lx.AMOUNTS.items()}
+    return df.withColumns({f"{k}_raw": c for k, c in raw.items()}).withColumns({f"{k}_num": tx.accounting_number(F.col(f"{k}_raw")) for k in raw})
 
 
 def parse_documents(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -58,8 +86,10 @@ def parse_documents(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     Unlike a snippet alone, the cleaned text stays in ``text_clean``, so the result can go straight into training.
     """
-    base = df.withColumn("text_clean", tx.denoise(tx.nfc(F.col(text_col))))
-    base = base.withColumns(fields(F.col("text_clean")))
+    base = tx.once(df, text_clean=tx.denoise(tx.nfc(F.col(text_col))))
+    base = tx.once(base, _k=tx.terms(F.col("text_clean")))
+    base = with_fields(base, "text_clean")
     t = F.col("text_clean")
-    base = base.withColumns({"pages": pages(F.col(text_col)), "sections": sections(t), "ocr_quality": tx.quality(t, tx.terms(t)), "fraud_signals": rl.fraud_signals(t), "distress_signals": rl.distress_signals(t, F.col("loi_nhuan_sau_thue_num"), F.col("doanh_thu_num"))})
+    base = base.withColumns({"pages": pages(F.col(text_col)), "sections": sections(t), "fraud_signals": rl.fraud_signals(t), "distress_signals": rl.distress_signals(t, F.col("loi_nhuan_sau_thue_num"), F.col("doanh_thu_num"))})
+    base = base.withColumn("ocr_quality", tx.quality(t, F.col("_k"))).drop("_k")
     return base.withColumns({"auto_label": rl.auto_label(t, F.col("fraud_signals")), "suggested_review": (F.col("ocr_quality") < 0.5) | (F.size("fraud_signals") > 0), "text_snippet": F.left(t, F.lit(500)), "char_count": F.length(t)})

@@ -175,27 +175,34 @@ def personal_data(t: Column) -> dict[str, Column]:
     return {"email": F.regexp_count(t, F.lit(lx.EMAIL)), "phone": F.regexp_count(t, F.lit(lx.PHONE)), "long_id": F.regexp_count(t, F.lit(lx.LONG_ID))}
 
 
-def _java(pattern: str) -> str:
-    """The pattern with Unicode case and white space."""
-    return "(?iu)" + pattern.replace(r"\s", tx.WS)
+def mentions(t: Column, phrases: Sequence[str], accents: bool = True) -> Column:
+    """Whether the text holds one of the phrases, in any case and with any white space between its words."""
+    return t.rlike("(?iu)" + tx.any_phrase(phrases, accents))
 
 
-def fraud_signals(t: Column, patterns: Mapping[str, str] = lx.FRAUD_PATTERNS, older_names: bool = False) -> Column:
-    """Ids of fraud signals in order; ``older_names`` gives the pattern's first 20 characters instead of the stable id."""
+def near(t: Column, first: str, within: int, then: Sequence[str]) -> Column:
+    """Whether one of ``then`` follows ``first`` on its line with at most so many characters between."""
+    return t.rlike(f"(?iu){tx.phrase(first)}.{{0,{within}}}{tx.any_phrase(then)}")
+
+
+def fraud_signals(t: Column, signals: Sequence[tuple[str, Sequence[str]]] = tuple(lx.FRAUD_SIGNALS)) -> Column:
+    """Names of fraud signals in order: many round amounts, the phrases of each signal, related parties."""
     rounds = F.size(F.filter(F.regexp_extract_all(t, F.lit(r"\b(\d+)(?:,000){2,}\b"), F.lit(1)), lambda x: x.endswith("000")))
     made = [F.when(rounds > 5, F.concat(F.lit("so_tien_tron_bat_thuong_"), rounds.cast("string"), F.lit("_lan")))]
-    made += [F.when(t.rlike(_java(p)), F.lit(f"tu_khoa_{p[:20].strip() if older_names else i}")) for i, p in patterns.items()]
-    made.append(F.when(t.rlike(_java(lx.RELATED_PATTERN)), F.lit("co_giao_dich_ben_lien_quan")))
+    made += [F.when(mentions(t, phrases), F.lit(f"tu_khoa_{name}")) for name, phrases in signals]
+    made.append(F.when(mentions(t, lx.RELATED_PARTIES), F.lit("co_giao_dich_ben_lien_quan")))
     return F.filter(F.array(*made), lambda x: x.isNotNull())
 
 
 def distress_signals(t: Column, profit: Column, revenue: Column) -> Column:
-    """Ids of distress signals from the text and two fields."""
+    """Names of distress signals from the text and two fields."""
     ratio = F.abs(profit) / F.nullif(revenue, F.lit(0.0))
-    provision = tx.accounting_number(F.nullif(F.regexp_extract(t, _java(lx.PROVISION), 1), F.lit("")))
+    word, within = lx.PROVISION
+    amount = F.regexp_extract(t, f"(?iu){tx.phrase(word)}.{{0,{within}}}([0-9.]{{8,}})", 1)
+    provision = tx.accounting_number(F.nullif(amount, F.lit("")))
     made = [
         F.when((revenue > 0) & (profit < 0) & (ratio > 0.3), F.concat(F.lit("lo_nang_"), F.format_string("%.1f%%", ratio * 100), F.lit("_doanh_thu"))),
-        F.when(t.rlike(_java(lx.LOSS_RUN)), F.lit("lo_lien_tiep")),
+        F.when(near(t, *lx.LASTING_LOSS), F.lit("lo_lien_tiep")),
         F.when((revenue > 0) & (provision / F.nullif(revenue, F.lit(0.0)) > 0.1), F.lit("du_phong_lon_hon_10pct_dt")),
     ]
     return F.filter(F.array(*made), lambda x: x.isNotNull())
@@ -203,4 +210,5 @@ def distress_signals(t: Column, profit: Column, revenue: Column) -> Column:
 
 def auto_label(t: Column, signals: Column) -> Column:
     """1 for an adverse, qualified or withheld opinion or any fraud signal, else 0."""
-    return F.when(t.rlike(_java(lx.OPINION_PATTERNS[0])) | t.rlike(_java(lx.OPINION_PATTERNS[1])) | (F.size(signals) > 0), 1).otherwise(0)
+    first, within, then = lx.REFUSED
+    return F.when(mentions(t, lx.ADVERSE_OPINIONS) | near(t, first, within, [then]) | (F.size(signals) > 0), 1).otherwise(0)

@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -44,12 +44,42 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def once(df: DataFrame, **made: Column) -> DataFrame:
+    """Adds columns that are made once per row however often they are read: a generator of one row, into which the optimizer
+    can't inline them as it does into a projection that holds a Python function."""
+    for name, c in made.items():
+        df = df.select(*(F.col(f"`{k}`") for k in df.columns if k != name), F.explode(F.array(c)).alias(name))
+    return df
+
+
 def one_of(words: Sequence[str], marks: str = "") -> str:
     """A pattern of exactly one of the words, with any of ``marks`` around it."""
     around = f"[{re.escape(marks)}]*" if marks else ""
     return f"^{around}(?:{'|'.join(map(re.escape, sorted(words)))}){around}$"
 
 
+def _variants() -> dict[str, str]:
+    """Every unaccented letter with the letters that fold to it."""
+    out: dict[str, str] = {}
+    for a, b in zip(FOLD_FROM, FOLD_TO, strict=True):
+        if a.isalpha() and b.isascii() and (ord(a) < 0x250 or 0x1E00 <= ord(a) < 0x1F00):
+            out[b.lower()] = out.get(b.lower(), "") + a
+    return out
+
+
+VARIANTS = _variants()
+
+
+def phrase(words: str, accents: bool = True) -> str:
+    """A pattern of the words with any white space, or none, between them; without ``accents`` letters match all variants."""
+    made = (w if accents else "".join(f"[{c}{VARIANTS[c]}]" if c in VARIANTS else c for c in w) for w in (re.escape(w) for w in words.split()))
+    return f"{WS}*".join(made)
+
+
+def any_phrase(phrases: Sequence[str], accents: bool = True) -> str:
+    return "(?:" + "|".join(phrase(p, accents) for p in phrases) + ")"
+
+
 def fold_literal(s: str) -> str:
     """``fold_accents`` of a constant, at plan time."""
     out = "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn")
@@ -105,8 +135,8 @@ def join_compounds(t: Column, compounds: Sequence[str] = lx.COMPOUNDS) -> Column
 
 
 def kept_tokens(tokens: Column, stop: Sequence[str] = tuple(lx.STOP_WORDS)) -> Column:
-    pattern = one_of(stop)
-    return F.filter(tokens, lambda x: (F.length(x) > 1) & ~x.rlike(pattern))
+    words = F.array(*map(F.lit, stop))
+    return F.filter(tokens, lambda x: (F.length(x) > 1) & ~F.array_contains(words, x))
 
 
 def terms(t: Column) -> Column:
@@ -116,9 +146,9 @@ def terms(t: Column) -> Column:
 
 def is_english(t: Column, keywords: Sequence[str] = tuple(lx.ENGLISH_KEYWORDS)) -> Column:
     """Over nine tenths ASCII and at least three keyword tokens."""
-    pattern = one_of(keywords)
+    words = F.array(*map(F.lit, keywords))
     ascii_ = F.length(F.regexp_replace(t, r"[^\x00-\x7F]", "")) / F.greatest(F.length(t), F.lit(1))
-    return (ascii_ > 0.9) & (F.size(F.filter(word_tokens(t), lambda x: x.rlike(pattern))) >= 3)
+    return (ascii_ > 0.9) & (F.size(F.filter(word_tokens(t), lambda x: F.array_contains(words, x))) >= 3)
 
 
 def segments(t: Column) -> Column:
@@ -141,7 +171,7 @@ def count_of(t: Column, phrase: str) -> Column:
 
 def matching(t: Column, char_class: str) -> Column:
     """How many characters are of a class."""
-    return F.length(F.regexp_replace(t, f"[^{char_class}]", ""))
+    return F.regexp_count(t, F.lit(f"[{char_class}]"))
 
 
 def quality(t: Column, tokens: Column) -> Column:

@@ -35,10 +35,15 @@ CORPUS_RULES = (
 )
 
 
+#: Bytes up to which a table is spread over the cores.
+SMALL_TABLE = 64 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """More partitions than files where a small table is one file, so that all cores work on its texts."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """A table that the planner knows to be small, and that is one file, in as many partitions as cores. Larger tables come in
+    the partitions that the reader cuts, and aren't shuffled; no files are listed here."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_TABLE else df
 
 
 def docs(s: SparkSession, d: str) -> DataFrame:
@@ -160,10 +165,15 @@ def pii_scan(s, d):
     return docs(s, d).select("doc_id", *(c.alias(k) for k, c in rl.personal_data(T()).items()))
 
 
+@query
+def pii_ids(s, d):
+    return docs(s, d).select("doc_id", rl.personal_data(T())["long_id"].alias("long_ids"))
+
+
 @query
 def parsed_documents(s, d):
-    x = parse.parse_documents(docs(s, d).select("doc_id", "text"))
-    return x.select("doc_id", F.size("pages").alias("pages"), F.array_join(F.sort_array(F.map_keys("sections")), ",").alias("sections"), *(f"{k}_raw" for k in lx.FIELDS), "doanh_thu_num", "loi_nhuan_sau_thue_num", "ocr_quality", F.array_join("fraud_signals", ",").alias("fraud_signals"), F.array_join("distress_signals", ",").alias("distress_signals"), "auto_label", "suggested_review", "char_count")
+    x = parse.parse_documents(docs(s, d).select("doc_id", "text")).withColumn("ocr_quality", F.round("ocr_quality", 6))
+    return x.select("doc_id", F.size("pages").alias("pages"), F.array_join(F.sort_array(F.map_keys("sections")), ",").alias("sections"), *(f"{k}_raw" for k in parse.FIELDS[1:]), tx.fold(F.col("ten_cong_ty_raw")).alias("ten_cong_ty"), "doanh_thu_num", "loi_nhuan_sau_thue_num", "ocr_quality", F.array_join("fraud_signals", ",").alias("fraud_signals"), F.array_join("distress_signals", ",").alias("distress_signals"), "auto_label", "suggested_review", "char_count")
 
 
 @query

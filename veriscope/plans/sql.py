@@ -304,22 +304,16 @@ def _m1_sql() -> str:
         CASE WHEN label = 'BINH_THUONG' THEN 'Khong phat hien canh bao rui ro trong doan van.' WHEN len(f) > 0 THEN 'Phat hien tin hieu rui ro: ' || array_to_string(f, ', ') WHEN len(refs) > 0 THEN 'Can doi chieu them voi ' || array_to_string(refs, ', ') ELSE 'Canh bao rui ro sai lech trong yeu can kiem tra bo sung.' END AS finding FROM r"""
 
 
-def _signal_sql() -> str:
-    rx = lambda p: "(?i)" + p.replace(r"\s", WS)
-    made = [f"CASE WHEN regexp_matches(t, {q(rx(p))}) THEN {q('tu_khoa_' + i)} END" for i, p in lx.FRAUD_PATTERNS.items()] + [f"CASE WHEN regexp_matches(t, {q(rx(lx.RELATED_PATTERN))}) THEN 'co_giao_dich_ben_lien_quan' END"]
-    rounds = "len(list_filter(regexp_extract_all(t, '\\b(\\d+)(?:,000){2,}\\b', 1), lambda x: x LIKE '%000'))"
-    made.insert(0, f"CASE WHEN {rounds} > 5 THEN 'so_tien_tron_bat_thuong_' || {rounds} || '_lan' END")
-    opinion = " OR ".join(f"regexp_matches(t, {q(rx(p))})" for p in lx.OPINION_PATTERNS)
-    return f"WITH {DOCS}, f AS (SELECT doc_id, t, list_filter([{', '.join(made)}], lambda x: x IS NOT NULL) AS f FROM docs) SELECT doc_id, array_to_string(f, ',') AS signals, CASE WHEN {opinion} OR len(f) > 0 THEN 1 ELSE 0 END AS label FROM f"
-
-
-def _denoised_sql() -> str:
-    s = sub("t", f"{tx.BLANK}+", " ")
+def denoise(t: str) -> str:
+    s = sub(t, f"{tx.BLANK}+", " ")
     s = sub(s, r"[_\-.]{5,}", " ")
     s = sub(s, rf"(?m)^{WS}*[^a-zA-Z0-9À-ỹ\n]{{5,}}{WS}*$", "")
     s = sub(s, rf"(?mi)^{WS}*(?:[-–—]?{WS}*\d+{WS}*[-–—]?|Trang{WS}*\d+(?:/\d+)?|Page{WS}*\d+){WS}*$", "")
-    s = strip(sub(s, r"\n{3,}", "\n\n"))
-    m = "t"
+    return strip(sub(s, r"\n{3,}", "\n\n"))
+
+
+def _denoised_sql() -> str:
+    s, m = denoise("t"), "t"
     for p in lx.LEAKING_PHRASES:
         m = sub(m, f"(?i){p}", "[MASK]")
     return f"WITH {DOCS} SELECT doc_id, {s} AS text, {m} AS masked FROM docs"
@@ -343,7 +337,7 @@ def _report_sql() -> str:
 SQL["drift_reports"] = _report_sql()
 SQL["text_denoised"] = _denoised_sql()
 SQL["standard_matches"] = f"WITH {DOCS}, f AS (SELECT doc_id, {fold('t')} AS f FROM docs), p(standard, p) AS (VALUES " + ", ".join(f"({q(k)}, {q(p)})" for k, p in lx.STANDARD_PATTERNS.items()) + ") SELECT doc_id, standard FROM f JOIN p ON regexp_matches(f, p)"
-SQL |= {"time_marks": _date_sql(), "m1_canonical": _m1_sql(), "fraud_signals": _signal_sql()}
+SQL |= {"time_marks": _date_sql(), "m1_canonical": _m1_sql()}
 SQL |= {
     "retrieval_sets": "WITH i AS (SELECT DISTINCT id FROM m1_records WHERE id IS NOT NULL) SELECT 1 AS label, count(*) AS pairs FROM i UNION ALL SELECT 0, 3 * count(*) FROM i",
     "first_standards": "WITH k(chunk_id, hay, position) AS (VALUES " + ", ".join(f"({q(s[0])}, {q(' '.join(s[1:4]).lower())}, {i})" for i, s in enumerate(lx.STANDARDS)) + f"), r AS (SELECT DISTINCT id, {ws_tokens('lower(coalesce(standard_ref[1], ' + q('') + '))')} AS w FROM m1_records WHERE id IS NOT NULL), h AS (SELECT r.id, min_by(k.chunk_id, k.position) AS c FROM r JOIN k ON len(list_filter(r.w, lambda x: contains(k.hay, x))) > 0 GROUP BY 1) SELECT r.id, coalesce(h.c, {q(lx.STANDARDS[0][0])}) AS chunk_id FROM r LEFT JOIN h ON r.id = h.id",
@@ -353,3 +347,7 @@ SQL |= {
 }
 SQL["metadata_features"], SQL["linguistic_features"], SQL["drift_by_month"] = _feature_sql(), _linguistic_sql(), _drift_sql()
 SQL = {k: v for k, v in SQL.items() if v}
+
+from veriscope.plans import sql_documents  # noqa: E402
+
+SQL |= sql_documents.SQL
