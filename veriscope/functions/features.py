@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriscope.functions import lexicons as lx
@@ -67,6 +67,20 @@ def with_metadata_features(df: DataFrame, text_col: str = "text", rules: Sequenc
     return base.select(*df.columns, *(made[k].alias(k) for k in METADATA))
 
 
+# The group of every metadata feature.
+GROUPS = {
+    "length": ["log_char_len", "log_token_count", "avg_token_len"], "quality": ["ocr_quality", "digit_ratio", "uppercase_ratio", "newline_density"],
+    "rules": ["red_flag_count", "suspicious_segment_count"], "language": ["english_keyword_ratio"], "risk": ["has_related_party", "has_invoice_risk", "has_cashflow_risk", "has_off_balance_risk"],
+    "finance": ["financial_term_density_vn", "financial_term_density_en", "round_number_ratio", "accounting_code_count", "loss_keyword_count", "abnormal_profit_signal"],
+}
+
+
+def schema(spark: SparkSession) -> DataFrame:
+    """(position, name, group, dtype) of the metadata features in the order of the feature vector."""
+    of = {n: g for g, names in GROUPS.items() for n in names}
+    return spark.createDataFrame([(i, n, of[n], "double") for i, n in enumerate(METADATA)], "position int, name string, group string, dtype string")
+
+
 def vector(names: Sequence[str] = METADATA) -> Column:
     """The features as an array in order; a missing one is 0."""
     return F.array(*(F.coalesce(F.col(n), F.lit(0.0)) for n in names))

@@ -116,7 +116,7 @@ def clean(t: Column) -> Column:
     s = nfc(F.regexp_replace(t, "<[^>]+>", " "))
     s = F.regexp_replace(F.replace(s, F.lit("\xa0"), F.lit(" ")), f"https?://{NOT_WS}+", " ")
     s = F.regexp_replace(s, "&[a-z]+;", " ")
-    return collapse(F.regexp_replace(s, f"[^0-9A-Za-zÀ-ỹ_{WS[1:]}", " "))
+    return collapse(F.regexp_replace(s, f"[^0-9A-Za-zÀ-ỹ_{WS[1:]}+", " "))
 
 
 def word_tokens(t: Column) -> Column:
@@ -211,3 +211,14 @@ def numbers(t: Column) -> Column:
     """Numbers in a text: points group, a comma separates decimals; what then can't be read is left out."""
     found = F.regexp_extract_all(t, F.lit(r"(\d+(?:[.,]\d+)*)"), F.lit(1))
     return F.filter(F.transform(found, lambda x: F.replace(F.replace(x, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")), lambda x: x.isNotNull())
+
+
+def counted(tokens: Column) -> Column:
+    """Array of (term, tf) of an array of tokens: sorted once, each run of equal ones counted by where the next begins."""
+    n = F.size(tokens)
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.struct(x.alias("term"), i.alias("at"))), lambda x: (x["at"] == 0) | (x["term"] != F.element_at(s, F.greatest(x["at"], F.lit(1)))))
+        return let(starts, lambda r: F.transform(r, lambda x, j: F.struct(x["term"].alias("term"), (F.when(j + 1 < F.size(r), F.element_at(r, F.least(j + 2, F.size(r)))["at"]).otherwise(n) - x["at"]).alias("tf"))))
+
+    return let(F.array_sort(tokens), runs)

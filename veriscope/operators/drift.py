@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -96,7 +98,7 @@ def last_window(events: DataFrame, partition: Sequence[str], order: Sequence[str
 
 def with_ground_truth(events: DataFrame, truth: DataFrame, key: str = "event_id") -> DataFrame:
     """Events with late labels by id: the newest label wins, an event without one keeps its own; no event is lost."""
-    newest = truth.where("true_label is not null").groupBy(key).agg(F.max_by("true_label", "labelled_at").alias("_late"))
+    newest = truth.where("true_label is not null").groupBy(key).agg(F.max(F.struct("labelled_at", "true_label"))["true_label"].alias("_late"))
     return events.join(newest, key, "left").withColumn("true_label", F.coalesce("_late", "true_label")).drop("_late")
 
 
@@ -118,12 +120,40 @@ def new_baseline(events: DataFrame, bins: int = 10) -> list[float]:
     return shares
 
 
+def save_baseline(spark: SparkSession, path: str, shares: Sequence[float], metrics: Mapping[str, float]) -> None:
+    """Writes what later reports compare with: shares of ten bins and the metrics of the last evaluation."""
+    spark.createDataFrame([(json.dumps({"metrics": dict(metrics), "prob_dist": list(shares)}),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_baseline(spark: SparkSession, path: str) -> tuple[list[float], dict[str, float]]:
+    """(shares, metrics) as saved; shares that aren't ten, or a store that isn't there, give the default ones."""
+    try:
+        stored = json.loads(spark.read.text(path).first().value)
+    except (AnalysisException, ValueError, AttributeError):
+        stored = {}
+    shares = stored.get("prob_dist") or []
+    return (list(shares) if len(shares) == len(lx.BASELINE_BINS) else list(lx.BASELINE_BINS)), {**lx.BASELINE_METRICS, **stored.get("metrics", {})}
+
+
+def simulated(spark: SparkSession, n: int, shift_at: int | None = None, seed: int = 42, model: str = "baseline") -> DataFrame:
+    """Events whose scores follow Beta(1, 3) and, from event ``shift_at`` on, Beta(2, 2): the least and the middle of three
+    uniform numbers, made from hashes of the event's number, so the same for every run and partitioning."""
+    u = F.array_sort(F.array(*(F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 52)) / F.lit(float(1 << 52)) for k in range(3))))
+    at = spark.range(n)
+    p = F.element_at(u, F.when(F.col("id") >= (n if shift_at is None else shift_at), 2).otherwise(1))
+    ts = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id"))
+    return at.select(F.col("id").alias("event_id"), F.lit(model).alias("model"), ts.alias("ts"), ts.alias("received_at"), F.lit(100).alias("text_length"), p.alias("fraud_prob"), (p >= 0.5).cast("int").alias("label"), F.lit(0.5).alias("threshold_used"), F.lit(0).alias("red_flag_count"), F.array().cast("array<string>").alias("red_flags"), F.lit(None).cast("int").alias("true_label"))
+
+
 def term_drift(df: DataFrame, partition: str, order: Sequence[str], text_col: str = "text", block: int = 20_000) -> DataFrame:
     """Adds ``drift_score``: 1 minus the Jaccard similarity of a text's terms and those of the one before in its partition;
-    0 for the first. Computed in overlapping blocks, so one busy partition isn't one task.
+    0 for the first. The text itself is left out: its terms travel as hashes. Computed in overlapping blocks, so one busy
+    partition isn't one task.
     """
-    rows = blocked(df, [partition], order, 1, block).withColumn("_terms", F.array_distinct(tx.terms(F.coalesce(F.col(text_col), F.lit("")))))
+    kept = [c for c in df.columns if c != text_col]
+    hashed = F.array_distinct(F.transform(tx.terms(F.coalesce(F.col(text_col), F.lit(""))), lambda x: F.xxhash64(x)))
+    rows = blocked(df.select(*kept, hashed.alias("_terms")), [partition], order, 1, block)
     rows = rows.withColumn("_prev", F.lag("_terms").over(Window.partitionBy(partition, "_block").orderBy("_position"))).where("_own")
     both = F.size(F.array_intersect("_terms", "_prev"))
     union = F.size("_terms") + F.size("_prev") - both
-    return rows.select(*df.columns, F.when(F.col("_prev").isNull(), 0.0).otherwise(F.lit(1.0) - both / F.greatest(union, F.lit(1))).alias("drift_score"))
+    return rows.select(*kept, F.when(F.col("_prev").isNull(), 0.0).otherwise(F.lit(1.0) - both / F.greatest(union, F.lit(1))).alias("drift_score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,36 @@ def first_tokens(t: Column, n: int = 12) -> Column:
     return F.slice(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(TOKENS), F.lit(1)), 1, n)
 
 
+def explainable(term: Column) -> Column:
+    """Whether a term can stand in an explanation: 2 to 30 characters, a letter, no mark of a broken subword, no number."""
+    return F.length(term).between(2, 30) & term.rlike(r"\p{L}") & ~term.contains("@@") & ~term.rlike(r"^[\p{Nd}., :]*$")
+
+
+def linear_attributions(contributions: DataFrame, key: str) -> DataFrame:
+    """(key, term, score, rank): integrated gradients of a linear model from an empty text, which are the contributions
+    themselves, scaled by the greatest of the row; terms that can't explain are left out."""
+    top = F.max(F.abs("contribution")).over(Window.partitionBy(key))
+    kept = contributions.where(explainable(F.col("term"))).withColumn("score", F.coalesce(F.col("contribution") / F.nullif(top, F.lit(0.0)), F.lit(0.0)))
+    w = Window.partitionBy(key).orderBy(F.desc(F.round(F.abs("score"), 9)), "term")
+    return kept.withColumn("rank", F.row_number().over(w)).select(key, "term", "score", "rank")
+
+
+def chosen(df: DataFrame, key: str, methods: Mapping[str, DataFrame]) -> DataFrame:
+    """(key, method, top_terms): for each row the first method, in order, that has terms for it; else ``none``.
+
+    ``methods``: frames of (key, term, rank) by name; terms come in order of rank.
+    """
+    out = df.select(key)
+    for name, terms in methods.items():
+        listed = terms.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias(f"_{name}"))
+        out = out.join(listed, key, "left")
+    name, terms = F.lit("none"), F.array().cast("array<string>")
+    for m in reversed(list(methods)):
+        has = F.size(F.coalesce(f"_{m}", F.array().cast("array<string>"))) > 0
+        name, terms = F.when(has, m).otherwise(name), F.when(has, F.col(f"_{m}")).otherwise(terms)
+    return out.select(key, name.alias("method"), terms.alias("top_terms"))
+
+
 def leave_one_out(df: DataFrame, key: str, scorer: Scorer, text: str = "text", n: int = 12, top: int = 5) -> DataFrame:
     """(key, term, contribution, rank): full score minus the score without one of the first ``n`` tokens.
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -133,6 +134,16 @@ def mcnemar(df: DataFrame, item: str, model: str, label: str, predicted: str) ->
     return out.withColumn("statistic", F.when(F.col("n01") + F.col("n10") == 0, 0.0).otherwise(diff * diff / F.nullif(F.col("n01") + F.col("n10"), F.lit(0))))
 
 
+def with_p_value(pairs: DataFrame, statistic: str = "statistic") -> DataFrame:
+    """Adds ``p_value``, the chi-square tail (one degree) of each pair's statistic; 1 without discordant pairs."""
+
+    @F.pandas_udf("double")
+    def tail(s: pd.Series) -> pd.Series:
+        return s.map(mcnemar_p)
+
+    return pairs.withColumn("p_value", tail(F.col(statistic)))
+
+
 def mcnemar_p(statistic: float | None) -> float:
     """Chi-square (one degree) tail of a statistic; 1 for none."""
     return 1.0 if not statistic else math.erfc(math.sqrt(statistic / 2))
@@ -162,6 +173,16 @@ def layer_evidence(df: DataFrame, raw: str, hybrid: str, threshold: float) -> Da
     return df.where(F.col(raw).isNotNull() & F.col(hybrid).isNotNull()).agg(F.count("*").alias("n"), F.avg(shift).alias("mean_shift"), F.max(shift).alias("max_shift"), F.count_if(changed).alias("changed"))
 
 
+def both_layers(df: DataFrame, label: str, raw: str, hybrid: str, threshold: float) -> DataFrame:
+    """One row: how far two score layers lie apart, and the areas and F2 of both over rows with a label and both scores."""
+    rows = df.where(F.col(label).isNotNull() & F.col(raw).isNotNull() & F.col(hybrid).isNotNull())
+    out = layer_evidence(rows, raw, hybrid, threshold)
+    for name, score in (("raw", raw), ("hybrid", hybrid)):
+        one = evaluate(rows, (), label, score, threshold).select(*(F.col(m).alias(f"{name}_{m}") for m in ("auc_roc", "auprc", "f2")))
+        out = out.join(F.broadcast(one))  # one row each
+    return out
+
+
 def changed_decisions(df: DataFrame, key: str, raw: str, hybrid: str, threshold: float, n: int = 10) -> DataFrame:
     """The first ``n`` rows whose decision differs between two layers."""
     return df.where((F.col(raw) >= threshold) != (F.col(hybrid) >= threshold)).orderBy(key).limit(n).select(key, raw, hybrid)

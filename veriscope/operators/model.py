@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -19,18 +20,31 @@ from veriscope.functions import features as ft
 from veriscope.functions import lexicons as lx
 from veriscope.functions import rules as rl
 from veriscope.functions import text as tx
-from veriscope.operators import metrics
+from veriscope.operators import explain, metrics
+from veriscope.session import staged
+
+
+#: Terms of a corpus up to which their document counts are broadcast (about 64 MB).
+BROADCAST_TERMS = 1_000_000
 
 
 def tfidf(df: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """(key, term, tf, df, weight): raw counts times ln((1+n)/(1+df))+1, scaled to unit length per row."""
-    d = df.select(key, tokens.alias("_t"))
-    n = d.agg(F.count("*").alias("_n"))
-    tf = d.select(key, F.explode("_t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    freq = tf.groupBy("term").agg(F.count("*").alias("df"))
-    raw = tf.join(freq, "term").join(F.broadcast(n)).withColumn("_w", F.col("tf") * (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + 1))
+    """(key, term, tf, df, weight): raw counts times ln((1+n)/(1+df))+1, scaled to unit length per row.
+
+    Terms are counted inside each row. Their document counts are broadcast while they are at most ``BROADCAST_TERMS``, so
+    that only the scaling shuffles, by key. A repeated key counts as one row.
+    """
+    d = tx.once(df.select(key, tokens.alias("_t")), _c=tx.counted(F.col("_t")))
+    tf = d.select(key, F.inline("_c"))
+    if df.groupBy(key).count().where("count > 1").limit(1).count():
+        tf = tf.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+    n = df.count()
+    freq = staged(tf.groupBy("term").agg(F.count("*").alias("df")), "terms")
+    if freq.count() <= BROADCAST_TERMS:
+        freq = F.broadcast(freq)
+    raw = tf.join(freq, "term").withColumn("_w", F.col("tf") * (F.log(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", "tf", "df", (F.col("_w") / norm).alias("weight"))
+    return raw.select(key, "term", F.col("tf").cast("long").alias("tf"), "df", (F.col("_w") / norm).alias("weight"))
 
 
 def top_terms(weights: DataFrame, key: str, weight: str = "weight", k: int = 5) -> DataFrame:
@@ -73,8 +87,6 @@ class TextModel:
         from pyspark.ml.stat import Summarizer
 
         present = vectors.select(Summarizer.numNonZeros(F.col("_tf")).alias("df")).first().df.toArray() if n else [0.0] * size
-        import numpy as np
-
         idf = np.log((1 + n) / (1 + np.asarray(present))) + 1
         scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_tfidf")
         unit = Normalizer(p=2.0, inputCol="_tfidf", outputCol="features")
@@ -222,6 +234,78 @@ def predictions(df: DataFrame, threshold: float, model: str = "baseline", labels
         "van_ban_sach": tx.clean(F.coalesce("text", F.lit(""))), "doan_nghi_ngo": rl.suspicious_segments(F.coalesce("text", F.lit("")), flags=F.col("red_flags")),
         "bias_flags": rl.bias_flags(F.col("ocr_quality"), F.col("digit_ratio"), F.col("log_char_len"), F.col("red_flag_count"), F.col("english_keyword_ratio")),
         "metadata_features": F.create_map(*(x for n in ft.METADATA for x in (F.lit(n), four(F.col(n))))),
-        "explanation": F.format_string("raw=%.3f final=%.3f flags=%d", F.col("raw_score"), s, F.size("red_flags")),
     }
+    # The sentences of an explanation.
+    terms = F.col("top_terms") if "top_terms" in df.columns else F.array().cast("array<string>")
+    lines = [
+        F.when(F.size("red_flags") > 0, F.concat(F.lit("Các red flags theo rule-based: "), F.array_join("red_flags", ", "))),
+        F.format_string("Xác suất gian lận của mô hình: %.3f", F.col("raw_score")), F.format_string("Điểm rủi ro sau rule-based: %.3f", s), F.format_string("Chất lượng văn bản/OCR: %.3f", F.col("ocr_quality")),
+        F.when(F.size(terms) > 0, F.concat(F.lit("Từ khóa tác động mạnh: "), F.array_join(terms, ", "))),
+    ]
+    made["explanation"] = F.filter(F.array(*lines), lambda x: x.isNotNull())
     return base.withColumns(made).drop(*ft.METADATA)
+
+
+def full_predictions(model: TextModel, df: DataFrame, key: str, head: HybridHead | None = None, threshold: float | None = None, terms: int = 5) -> DataFrame:
+    """The whole chain for rows with ``text``: text score, hybrid head where one is fitted, rules, and an explanation by the
+    terms that weigh most in the linear model. Keys must be unique and not null."""
+    scored = model.score(df)
+    if head is not None and head.coefficients:
+        scored = ft.with_metadata_features(scored).withColumn("hybrid_score", head.column()).drop(*ft.METADATA)
+    by = explain.linear_attributions(model.contributions(df, key, 4 * terms), key).where(F.col("rank") <= terms)
+    why = explain.chosen(df, key, {"tfidf_logreg_contribution": by})
+    return predictions(scored.join(why, key), model.threshold if threshold is None else threshold, model.name).withColumnRenamed("method", "explanation_method")
+
+
+@dataclass
+class DescentModel:
+    """Logistic regression of term shares by batch gradient descent, as a check on the solver's.
+
+    Fits on at most ``sample`` labelled rows, those of least hash, which bounds what reaches the driver; scoring is a join of
+    term weights. A term's value is its share of the text's terms times ln((1+n)/(1+df))+1.
+    """
+
+    rate: float = 0.25
+    epochs: int = 500
+    vocabulary: int = 5_000
+    sample: int = 5_000
+    weights: dict[str, float] = field(default_factory=dict)
+    bias: float = 0.0
+
+    def fit(self, df: DataFrame) -> DescentModel:
+        rows = df.where("label is not null").select(tx.terms(F.coalesce("text", F.lit(""))).alias("_t"), (F.col("label") > 0).cast("int").alias("y"), F.xxhash64("text").alias("_h")).orderBy("_h").limit(self.sample).toPandas()
+        count: dict[str, int] = {}
+        for t in rows["_t"]:
+            for w in set(t):
+                count[w] = count.get(w, 0) + 1
+        names = sorted(count, key=lambda w: (-count[w], w))[: self.vocabulary]
+        at, n = {w: i for i, w in enumerate(names)}, len(rows)
+        x = np.zeros((n, len(names)), np.float32)
+        for i, t in enumerate(rows["_t"]):
+            for w in t:
+                if w in at:
+                    x[i, at[w]] += 1 / len(t)
+        idf = np.log((1 + n) / (1 + np.array([count[w] for w in names], float))) + 1
+        x *= idf.astype(np.float32)
+        y = rows["y"].values.astype(float)
+        each = np.where(y > 0, n / max(2 * y.sum(), 1), n / max(2 * (n - y.sum()), 1))
+        w, b = np.zeros(len(names)), 0.0
+        for _ in range(self.epochs):
+            g = each * (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y)
+            w -= self.rate * (x.T @ g) / max(n, 1)
+            b -= self.rate * g.mean() if n else 0.0
+        self.weights, self.bias = dict(zip(names, (w * idf).tolist(), strict=True)), float(b)
+        return self
+
+    def score(self, df: DataFrame, key: str) -> DataFrame:
+        """Adds ``raw_score``; a text without a known term has that of the bias. Keys must be unique."""
+        weights = F.broadcast(df.sparkSession.createDataFrame(list(self.weights.items()), "term string, _w double"))  # at most ``vocabulary`` rows
+        t = tx.once(df.select(key, tx.terms(F.coalesce("text", F.lit(""))).alias("_t")), _c=tx.counted(F.col("_t")))
+        z = t.select(key, F.size("_t").alias("_n"), F.inline("_c")).join(weights, "term").groupBy(key).agg(F.sum(F.col("tf") / F.col("_n") * F.col("_w")).alias("_z"))
+        return df.join(z, key, "left").withColumn("raw_score", 1 / (1 + F.exp(-(F.coalesce("_z", F.lit(0.0)) + self.bias)))).drop("_z")
+
+
+def metadata_only(train: DataFrame, test: DataFrame) -> DataFrame:
+    """``test`` with ``raw_score`` by a head that sees the metadata features alone, its scaling learnt on ``train``."""
+    head = HybridHead(list(ft.METADATA)).fit(ft.with_metadata_features(train))
+    return ft.with_metadata_features(test).withColumn("raw_score", head.column()).drop(*ft.METADATA)

@@ -24,17 +24,6 @@ def query(f: Query) -> Query:
     return f
 
 
-#: The default rules and rules for phrases of the test corpus.
-CORPUS_RULES = (
-    *rl.DEFAULT_RULES,
-    rl.Rule("che_giau_ngoai_so", (("bị giấu ngoài sổ", "không thấy trong sổ chi tiết"),)),
-    rl.Rule("chung_tu_yeu", (("chỉ dựa trên thư điện tử", "thiếu chữ ký người duyệt", "không có phiếu xuất kho"),)),
-    rl.Rule("lui_ngay", (("lùi ngày sang kỳ trước",),)),
-    rl.Rule("doanh_thu_bat_thuong", (("doanh thu", "doanh số"), ("vượt xa năng lực sản xuất", "ghi khống khối lượng", "không đối chiếu được với sao kê"))),
-    rl.Rule("window_dressing_cuoi_ky", (("dồn vào ba ngày cuối quý",),), late=True),
-)
-
-
 #: Bytes up to which a table is spread over the cores.
 SMALL_TABLE = 64 << 20
 
@@ -66,7 +55,7 @@ def T() -> Column:  # noqa: N802
 
 @query
 def risk_bands(s, d):
-    f = folded(docs(s, d), "lang").select(F.lower(F.coalesce("lang", F.lit("unknown"))).alias("lang"), rl.red_flags(F.col("_fold"), CORPUS_RULES).alias("f"))
+    f = folded(docs(s, d), "lang").select(F.lower(F.coalesce("lang", F.lit("unknown"))).alias("lang"), rl.red_flags(F.col("_fold")).alias("f"))
     x = f.select("lang", rl.risk_band(rl.boosted(F.lit(0.4), F.col("f"))).alias("band"), F.size("f").alias("n"))
     return x.groupBy("lang", "band").agg(F.count("*").alias("documents"), F.sum("n").alias("flags"))
 
@@ -126,17 +115,17 @@ def text_denoised(s, d):
 
 @query
 def rule_flags(s, d):
-    return folded(docs(s, d), "doc_id").select("doc_id", F.array_join(rl.red_flags(F.col("_fold"), CORPUS_RULES), ",").alias("flags"))
+    return folded(docs(s, d), "doc_id").select("doc_id", F.array_join(rl.red_flags(F.col("_fold")), ",").alias("flags"))
 
 
 @query
 def rule_flag_counts(s, d):
-    return folded(docs(s, d)).select(F.explode(rl.red_flags(F.col("_fold"), CORPUS_RULES)).alias("flag")).groupBy("flag").agg(F.count("*").alias("documents"))
+    return folded(docs(s, d)).select(F.explode(rl.red_flags(F.col("_fold"))).alias("flag")).groupBy("flag").agg(F.count("*").alias("documents"))
 
 
 @query
 def suspicious_segments(s, d):
-    return docs(s, d).select("doc_id", F.posexplode(rl.suspicious_segments(T(), CORPUS_RULES)).alias("position", "x")).select("doc_id", "position", "x.snippet", "x.flags")
+    return docs(s, d).select("doc_id", F.posexplode(rl.suspicious_segments(T())).alias("position", "x")).select("doc_id", "position", "x.snippet", "x.flags")
 
 
 @query
@@ -181,6 +170,17 @@ def metadata_features(s, d):
     return rounded(ft.with_metadata_features(docs(s, d).select("doc_id", "text")).drop("text"))
 
 
+@query
+def feature_schema(s, d):
+    return ft.schema(s)
+
+
+@query
+def explanation_terms(s, d):
+    x = docs(s, d).select("doc_id", F.explode(F.array_distinct(tx.ws_tokens(F.lower(T())))).alias("term"))
+    return x.where(explain.explainable(F.col("term"))).groupBy("doc_id").agg(F.count("*").alias("terms"), F.min("term").alias("first"), F.max("term").alias("last"))
+
+
 @query
 def linguistic_features(s, d):
     x = ft.with_linguistic_features(docs(s, d).select("doc_id", "text"))
@@ -309,7 +309,7 @@ def bias_slices(s, d):
 @query
 def mcnemar_pairs(s, d):
     x = events(s, d).where("fraud_prob is not null and threshold_used is not null and sample_id is not null and model is not null").select("sample_id", "model", (F.col("true_label") > 0).cast("int").alias("y"), (F.col("fraud_prob") >= F.col("threshold_used")).cast("int").alias("p"))
-    return rounded(metrics.mcnemar(x, "sample_id", "model", "y", "p"))
+    return rounded(metrics.with_p_value(metrics.mcnemar(x, "sample_id", "model", "y", "p")))
 
 
 @query
@@ -328,6 +328,18 @@ def layer_evidence(s, d):
     return rounded(metrics.layer_evidence(x, "fraud_prob", "h", 0.5))
 
 
+@query
+def both_layers(s, d):
+    x = events(s, d).withColumn("h", rl.boosted(F.col("fraud_prob"), F.coalesce("red_flags", F.array().cast("array<string>"))))
+    return rounded(metrics.both_layers(x, "true_label", "fraud_prob", "h", 0.5))
+
+
+@query
+def changed_decisions(s, d):
+    x = events(s, d).withColumn("h", rl.boosted(F.col("fraud_prob"), F.coalesce("red_flags", F.array().cast("array<string>"))))
+    return rounded(metrics.changed_decisions(x, "event_id", "fraud_prob", "h", 0.5))
+
+
 @query
 def class_weights(s, d):
     return rounded(metrics.class_weights(table(s, d, "mini_samples")))
@@ -354,7 +366,8 @@ def drift_reports(s, d):
 def late_labels(s, d):
     every = table(s, d, "prediction_events")
     truth = every.where("true_label is not null").select("event_id", "true_label", F.col("received_at").alias("labelled_at"))
-    return drift.with_ground_truth(events(s, d), truth).groupBy("model").agg(F.count("*").alias("events"), F.count("true_label").alias("labelled"), F.sum("true_label").alias("positives"))
+    unlabelled = events(s, d).withColumn("true_label", F.lit(None).cast("int"))  # as logged: every label comes later
+    return drift.with_ground_truth(unlabelled, truth).groupBy("model").agg(F.count("*").alias("events"), F.count("true_label").alias("labelled"), F.sum("true_label").alias("positives"))
 
 
 @query
@@ -422,6 +435,39 @@ def chat_rows(s, d):
     return retrieval.chat_rows(x, lx.SYSTEM_PROMPT)
 
 
+@query
+def knowledge_base(s, d):
+    x = retrieval.knowledge_base(table(s, d, "kb_chunks"))
+    return x.select("chunk_id", "source", "article", "title", F.md5("text").alias("text"), "chunk_index", "total_chunks")
+
+
+def passages(s, d) -> DataFrame:
+    """The passages of the knowledge base that come closest to each evaluation item of the stated set."""
+    kb = retrieval.knowledge_base(table(s, d, "kb_chunks"))
+    q = table(s, d, "eval_items").where("item_id % 20 = 0").select("item_id", F.coalesce("text", F.lit("")).alias("query"))
+    return retrieval.bm25(q, kb, "item_id", "chunk_id", tx.word_tokens(F.col("query")), tx.word_tokens(T()))
+
+
+@query
+def kb_search(s, d):
+    return rounded(passages(s, d), places=5)
+
+
+@query
+def prompt_rows(s, d):
+    kb = retrieval.knowledge_base(table(s, d, "kb_chunks"))
+    found = passages(s, d).join(kb.select("chunk_id", "title"), "chunk_id").select("item_id", "rank", F.col("title").alias("passage"))
+    items = table(s, d, "eval_items").where("item_id % 20 = 0")
+    x = retrieval.prompt_rows(items, lx.SYSTEM_PROMPT, lx.PROMPTS["retrieval"], found, "item_id")
+    return x.select("item_id", F.md5("user").alias("user"), "gold_label", "char_count")
+
+
+@query
+def encoder_rows(s, d):
+    x = retrieval.encoder_rows(table(s, d, "mini_samples"), "sample_id", "text", "label", "split")
+    return x.select("sample_id", "part", F.md5("text").alias("text"), "label_int", "split")
+
+
 @query
 def rolled_up_scores(s, d):
     c = docs(s, d).select("doc_id", F.explode(tx.windows(T())).alias("c"))
@@ -455,8 +501,27 @@ def text_model_metrics(s, d):
 @query
 def predictions(s, d):
     m, x = trained(s, d)
-    out = model.predictions(m.score(x.where("split = 'test'")), m.threshold)
-    return out.select("sample_id", "label_int", "muc_do_rui_ro", "fraud_probability", "threshold_used", F.array_join("red_flags", ",").alias("red_flags"), "explanation")
+    out = model.full_predictions(m, x.where("split = 'test'").select("sample_id", "text"), "sample_id")
+    return out.select("sample_id", "label_int", "muc_do_rui_ro", "fraud_probability", "threshold_used", F.array_join("red_flags", ",").alias("red_flags"), F.array_join("top_terms", ",").alias("top_terms"), "explanation_method", F.array_join("explanation", " | ").alias("explanation"))
+
+
+@query
+def descent_model_metrics(s, d):
+    x = spread(labelled(s, d))
+    m = model.DescentModel().fit(x.where("split = 'train'"))
+    return metrics.evaluate(m.score(x.where("split = 'test'").select("sample_id", "text", "label"), "sample_id"), (), "label", "raw_score", 0.5)
+
+
+@query
+def metadata_model_metrics(s, d):
+    x = spread(labelled(s, d))
+    return metrics.evaluate(model.metadata_only(x.where("split = 'train'"), x.where("split = 'test'")), (), "label", "raw_score", 0.5)
+
+
+@query
+def drift_simulated(s, d):
+    x = drift.simulated(s, 4000, 2000).withColumn("half", F.floor(F.col("event_id") / 2000))
+    return rounded(drift.drift_report(x, ["half"]).select("half", "events", "mean_prob", "psi", "level"))
 
 
 def _scorer(df: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from veriscope.functions import lexicons as lx
 from veriscope.functions import rules as rl
 from veriscope.functions import text as tx
-from veriscope.plans.queries import CORPUS_RULES as RULES
 
 WS, WORD = tx.WS, tx.WORD
 
@@ -127,7 +126,7 @@ def _fb(b: float) -> str:
 METRICS = f"support, positives, tp, fp, fn, tn, round(precision, 6) AS precision, round(recall, 6) AS recall, round({_fb(1)}, 6) AS f1, round({_fb(0.5)}, 6) AS f0_5, round({_fb(2)}, 6) AS f2, round((tp + tn) / support::DOUBLE, 6) AS accuracy, round(auc_roc, 6) AS auc_roc, round(coalesce(ap, 0), 6) AS auprc, round(coalesce((tp * tn - fp * fn)::DOUBLE / nullif(sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0), 6) AS mcc"
 
 SQL: dict[str, str] = {
-    "risk_bands": f"""WITH {DOCS}, f AS (SELECT lang, {flags('f', RULES)} AS fl FROM (SELECT lang, {fold('t')} AS f FROM docs)),
+    "risk_bands": f"""WITH {DOCS}, f AS (SELECT lang, {flags('f')} AS fl FROM (SELECT lang, {fold('t')} AS f FROM docs)),
         s AS (SELECT lower(coalesce(lang, 'unknown')) AS lang, least(1.0::DOUBLE, 0.4::DOUBLE + 0.05::DOUBLE * len(fl)) AS score, len(fl) AS n FROM f)
         SELECT lang, CASE WHEN score >= 0.75 THEN 'Cao' WHEN score >= 0.45 THEN 'Trung bình' ELSE 'Thấp' END AS band, count(*) AS documents, sum(n)::BIGINT AS flags FROM s GROUP BY ALL""",
     "text_tokens": f"WITH {DOCS} SELECT doc_id, len({words('t')}) AS tokens, len({kept(words('t'))}) AS kept, len({ws_tokens('t')}) AS ws FROM docs",
@@ -144,9 +143,9 @@ SQL: dict[str, str] = {
     "text_numbers": f"""WITH {DOCS}, n AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(t, '\\d+(?:[.,]\\d+)*'), lambda x: TRY_CAST(replace(replace(x, '.', ''), ',', '.') AS DOUBLE)), lambda x: x IS NOT NULL) AS n FROM docs)
         SELECT doc_id, len(n) AS numbers, coalesce(list_max(n), 0) AS largest FROM n""",
     "text_denoised": "",
-    "rule_flags": f"WITH {DOCS}, f AS (SELECT doc_id, {fold('t')} AS f FROM docs) SELECT doc_id, array_to_string({flags('f', RULES)}, ',') AS flags FROM f",
-    "rule_flag_counts": f"WITH {DOCS}, f AS (SELECT {fold('t')} AS f FROM docs), x AS (SELECT unnest({flags('f', RULES)}) AS flag FROM f) SELECT flag, count(*) AS documents FROM x GROUP BY flag",
-    "suspicious_segments": f"WITH {DOCS}, s AS (SELECT doc_id, list_filter(list_transform({segments('t')}, lambda s: {{'snippet': left(s, 300), 'flags': array_to_string({flags(fold('s'), RULES)}, ', ')}}), lambda x: x.flags <> '') AS s FROM docs), u AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) - 1 AS position FROM s) SELECT doc_id, position, x.snippet AS snippet, x.flags AS flags FROM u",
+    "rule_flags": f"WITH {DOCS}, f AS (SELECT doc_id, {fold('t')} AS f FROM docs) SELECT doc_id, array_to_string({flags('f')}, ',') AS flags FROM f",
+    "rule_flag_counts": f"WITH {DOCS}, f AS (SELECT {fold('t')} AS f FROM docs), x AS (SELECT unnest({flags('f')}) AS flag FROM f) SELECT flag, count(*) AS documents FROM x GROUP BY flag",
+    "suspicious_segments": f"WITH {DOCS}, s AS (SELECT doc_id, list_filter(list_transform({segments('t')}, lambda s: {{'snippet': left(s, 300), 'flags': array_to_string({flags(fold('s'))}, ', ')}}), lambda x: x.flags <> '') AS s FROM docs), u AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) - 1 AS position FROM s) SELECT doc_id, position, x.snippet AS snippet, x.flags AS flags FROM u",
     "declared_rules": f"WITH {DOCS}, f AS (SELECT doc_id, {fold('t')} AS f FROM docs), r(rule_id, standard, trig, ctx, label, risk) AS (VALUES "
     + ", ".join(f"({q(i)}, {q(s)}, {q(t)}, {q(c)}, {q(lb)}, {q(r)})" for i, _, s, t, c, lb, r in lx.DECLARED_RULES)
     + ") SELECT doc_id, rule_id, standard, label, risk FROM f JOIN r ON regexp_matches(f, trig) AND regexp_matches(f, ctx)",
@@ -192,7 +191,7 @@ SQL: dict[str, str] = {
     "class_weights": "WITH c AS (SELECT label, count(*) AS n FROM mini_samples WHERE label IS NOT NULL GROUP BY 1) SELECT label, n, round(sum(n) OVER () / (count(*) OVER () * n)::DOUBLE, 6) AS weight, round(1 - n / (sum(n) OVER ())::DOUBLE, 6) AS alpha FROM c",
     "rolling_window": f"WITH {EVENTS} SELECT event_id, count(fraud_prob) OVER w AS window_n, round(avg(fraud_prob) OVER w, 6) AS window_mean, round(max(fraud_prob) OVER w, 6) AS window_max FROM ev WINDOW w AS (PARTITION BY model ORDER BY ts, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)",
     "drift_by_month": "",
-    "late_labels": f"WITH {EVENTS} SELECT model, count(*) AS events, count(true_label) AS labelled, sum(true_label)::BIGINT AS positives FROM ev GROUP BY 1",
+    "late_labels": "WITH e AS (SELECT event_id, min(model) AS model FROM (SELECT DISTINCT * FROM prediction_events) GROUP BY 1), t AS (SELECT event_id, true_label, row_number() OVER (PARTITION BY event_id ORDER BY received_at DESC NULLS LAST, true_label DESC) AS k FROM prediction_events WHERE true_label IS NOT NULL) SELECT e.model, count(*) AS events, count(t.true_label) AS labelled, sum(t.true_label)::BIGINT AS positives FROM e LEFT JOIN t ON e.event_id = t.event_id AND k = 1 GROUP BY 1",
     "event_days": "SELECT event_type, date_trunc('day', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "event_sessions": "WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS brk FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), g AS (SELECT user_id, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM x) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM g GROUP BY user_id, s",
     "tfidf_terms": f"""WITH {DOCS}, k AS (SELECT doc_id, unnest({words('t')}) AS term FROM docs), tf AS (SELECT doc_id, term, count(*) AS tf FROM k GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM docs),
@@ -205,7 +204,6 @@ SQL: dict[str, str] = {
         o AS (SELECT item_id, doc_id, sum(w) AS score FROM qt JOIN w USING (term) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM o) SELECT item_id, doc_id, round(score, 5) AS score, rank FROM r WHERE rank <= 5""",
     "cosine_top": """WITH v AS (SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL), p AS (SELECT a.vec_id AS query, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, vec_id) AS rank FROM p) SELECT query, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""",
-    "hard_negatives": "WITH c(c) AS (VALUES " + ", ".join(f"({q(s[0])})" for s in lx.STANDARDS) + "), p AS (SELECT id, c, row_number() OVER (PARTITION BY id ORDER BY md5(id || ':' || c || ':42')) AS k FROM (SELECT DISTINCT id FROM m1_records WHERE id IS NOT NULL), c WHERE c <> 'VAS01-chunk01') SELECT id, c AS chunk_id, k - 1 AS position FROM p WHERE k <= 3",
     "rolled_up_scores": f"""WITH {DOCS}, s AS (SELECT doc_id, {strip('t')} AS s FROM docs), w AS (SELECT doc_id, unnest(generate_series(0, greatest(ceil((length(s) - 120) / 648.0::DOUBLE) - 1, 0)::BIGINT)) AS i, s FROM s), p AS (SELECT doc_id, {strip('substring(s, (i * 648 + 1)::BIGINT, 768)')} AS c FROM w),
         z AS (SELECT doc_id, length(c) AS l, least(1.0::DOUBLE, {count_of('c', ',')} / 20.0::DOUBLE) AS v FROM p WHERE c <> '') SELECT doc_id, round(0.6::DOUBLE * max(v) + 0.4::DOUBLE * sum(v * l) / sum(l), 6) AS score FROM z GROUP BY 1""",
     "ingest_new": "SELECT DISTINCT source FROM documents WHERE source IS NOT NULL AND source NOT IN (SELECT source FROM mini_samples WHERE source IS NOT NULL)",
@@ -339,7 +337,6 @@ SQL["text_denoised"] = _denoised_sql()
 SQL["standard_matches"] = f"WITH {DOCS}, f AS (SELECT doc_id, {fold('t')} AS f FROM docs), p(standard, p) AS (VALUES " + ", ".join(f"({q(k)}, {q(p)})" for k, p in lx.STANDARD_PATTERNS.items()) + ") SELECT doc_id, standard FROM f JOIN p ON regexp_matches(f, p)"
 SQL |= {"time_marks": _date_sql(), "m1_canonical": _m1_sql()}
 SQL |= {
-    "retrieval_sets": "WITH i AS (SELECT DISTINCT id FROM m1_records WHERE id IS NOT NULL) SELECT 1 AS label, count(*) AS pairs FROM i UNION ALL SELECT 0, 3 * count(*) FROM i",
     "first_standards": "WITH k(chunk_id, hay, position) AS (VALUES " + ", ".join(f"({q(s[0])}, {q(' '.join(s[1:4]).lower())}, {i})" for i, s in enumerate(lx.STANDARDS)) + f"), r AS (SELECT DISTINCT id, {ws_tokens('lower(coalesce(standard_ref[1], ' + q('') + '))')} AS w FROM m1_records WHERE id IS NOT NULL), h AS (SELECT r.id, min_by(k.chunk_id, k.position) AS c FROM r JOIN k ON len(list_filter(r.w, lambda x: contains(k.hay, x))) > 0 GROUP BY 1) SELECT r.id, coalesce(h.c, {q(lx.STANDARDS[0][0])}) AS chunk_id FROM r LEFT JOIN h ON r.id = h.id",
     "leave_one_out": f"""WITH {DOCS}, k AS (SELECT doc_id, t, (regexp_extract_all(t, '[A-Za-zÀ-ỹ0-9_]+'))[1:12] AS w FROM docs), u AS (SELECT doc_id, t, w, unnest(range(1, len(w) + 1)) AS i FROM k),
         s AS (SELECT doc_id, i, w[i] AS term, least(1.0::DOUBLE, length(regexp_replace(t, '[^0-9]', '', 'g')) / 20.0::DOUBLE) - least(1.0::DOUBLE, length(regexp_replace(array_to_string(list_filter(w, lambda x, j: j <> i), ' '), '[^0-9]', '', 'g')) / 20.0::DOUBLE) AS contribution FROM u),

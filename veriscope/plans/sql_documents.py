@@ -81,13 +81,78 @@ def _parsed() -> str:
         array_to_string(f, ',') AS fraud_signals, array_to_string({distress}, ',') AS distress_signals, CASE WHEN {OPINION} OR len(f) > 0 THEN 1 ELSE 0 END AS auto_label, ocr_quality < 0.5 OR len(f) > 0 AS suggested_review, length(t) AS char_count FROM n"""
 
 
-# look-arounds are spelt out: digits before or after a match are caught with it, and matches with them don't count
-PHONE = r"(?:^|[^0-9])(?:\+?84|0)(?:[0-9][\t\n\x0B\f\r .-]?){8,10}"
-LONG_ID = "len(list_filter(regexp_extract_all(t, '[0-9]+'), lambda x: length(x) BETWEEN 10 AND 14))"
-EMAIL = "len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'))"
+# A mark before every number that no digit precedes stands in for looking back; the character after a match may be the one
+# before the next mark, but never the mark.
+MARKED = r"regexp_replace({t}, '([^0-9+])(\+?[0-9])', '\1§\2', 'g')"
+PHONE = "len(regexp_extract_all(" + MARKED + r", '(?:^|§)(?:\+?84|0)(?:[0-9][\t\n\x0B\f\r .-]?§?){{8,10}}(?:[^0-9]|$)'))"
+LONG_ID = "len(list_filter(regexp_extract_all({t}, '[0-9]+'), lambda x: length(x) BETWEEN 10 AND 14))"
+EMAIL = "len(regexp_extract_all({t}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}'))"
+# the numerical tail of the chi-square distribution: 1 less the integral of its density in the root of the statistic
+TAIL = "CASE WHEN statistic = 0 THEN 1.0::DOUBLE ELSE 1 - 2 * list_sum(list_transform(range(0, 2000), lambda i: exp(-power(sqrt(statistic) * (i + 0.5::DOUBLE) / 2000, 2) / 2) / sqrt(2 * pi()) * sqrt(statistic) / 2000)) END"
+
+
+def _governance() -> str:
+    t = "coalesce(text, '')"
+    share = lambda f: f"avg(CASE WHEN trim(coalesce({f}::VARCHAR, '')) <> '' THEN 1.0::DOUBLE ELSE 0 END)"
+    fields = ["source", "doc_id", "version", "collected_at", "anonymized", "privacy_reviewed"]
+    return f"""WITH a AS (SELECT count(*) AS total, count(label) AS labels, sum(CASE WHEN label > 0 THEN 1 ELSE 0 END)::BIGINT AS fraud, sum({EMAIL.format(t=t)})::BIGINT AS pii_email, sum({PHONE.format(t=t)})::BIGINT AS pii_phone, sum({LONG_ID.format(t=t)})::BIGINT AS pii_long_id,
+        {', '.join(f'{share(f)} AS coverage_{f}' for f in fields)}, count(*) - count(DISTINCT {t}) AS duplicates FROM mini_samples),
+        b AS (SELECT *, fraud / greatest(total, 1)::DOUBLE AS fraud_ratio, least(fraud, total - fraud) / greatest(total, 1)::DOUBLE AS minority_ratio, pii_email + pii_phone + pii_long_id = 0 AS clean FROM a)
+        SELECT * EXCLUDE (clean), CASE WHEN coverage_source >= 0.5 OR coverage_doc_id >= 0.5 THEN 'ok' ELSE 'warning' END AS step_1, CASE WHEN clean THEN 'ok' ELSE 'warning' END AS step_2, CASE WHEN total > 0 THEN 'ok' ELSE 'warning' END AS step_3,
+        total > 0 AND labels = total AND duplicates / greatest(total, 1)::DOUBLE <= 0.1 AND clean AND minority_ratio >= 0.1 AS ready FROM b"""
+
+
+def _manifest() -> str:
+    return f"""WITH m AS ({base.SQL['time_marks']}), n AS (SELECT m.*, label, row_number() OVER (ORDER BY m.date NULLS FIRST, sample_id) - 1 AS i, count(*) OVER () AS n FROM m JOIN mini_samples USING (sample_id)),
+        s AS (SELECT *, CASE WHEN i < floor(n * 0.8) THEN 'train' WHEN i < floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM n)
+        SELECT split, count(*) AS total, sum(CASE WHEN label > 0 THEN 1 ELSE 0 END)::BIGINT AS fraud, sum(CASE WHEN label <= 0 THEN 1 ELSE 0 END)::BIGINT AS non_fraud, round(avg(CASE WHEN label > 0 THEN 1.0::DOUBLE WHEN label IS NOT NULL THEN 0 END), 4) AS fraud_ratio, round(avg(CASE WHEN known THEN 1.0::DOUBLE ELSE 0 END), 4) AS known_ratio, min(CASE WHEN known THEN date END) AS start, max(CASE WHEN known THEN date END) AS "end" FROM s GROUP BY split"""
+
+
+KB = f"""kb AS (SELECT DISTINCT ON (chunk_id) chunk_id, trim(coalesce(source, '')) AS source, trim(coalesce(article, '')) AS article, trim(coalesce(title, '')) AS title, {base.strip("coalesce(text, '')")} AS text, chunk_index, total_chunks FROM kb_chunks WHERE chunk_id IS NOT NULL AND {base.strip("coalesce(text, '')")} <> '' ORDER BY chunk_id)"""
+SEARCH = f"""{KB}, d AS (SELECT chunk_id, {base.words('text')} AS k FROM kb), l AS (SELECT chunk_id, k, len(k) AS len FROM d), s AS (SELECT count(*) AS n, avg(len) AS avgl FROM l),
+        qt AS (SELECT item_id, unnest(list_distinct({base.words("coalesce(text, '')")})) AS term FROM eval_items WHERE item_id % 20 = 0), tf AS (SELECT chunk_id, len, term, count(*) AS tf FROM (SELECT chunk_id, len, unnest(k) AS term FROM l) WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+        w AS (SELECT chunk_id, term, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgl)) AS w FROM tf JOIN df USING (term), s),
+        o AS (SELECT item_id, chunk_id, sum(w) AS score FROM qt JOIN w USING (term) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM o)"""
+FEATURES = "log_char_len length,log_token_count length,avg_token_len length,ocr_quality quality,digit_ratio quality,uppercase_ratio quality,newline_density quality,red_flag_count rules,suspicious_segment_count rules,english_keyword_ratio language,has_related_party risk,has_invoice_risk risk,has_cashflow_risk risk,has_off_balance_risk risk,financial_term_density_vn finance,financial_term_density_en finance,round_number_ratio finance,accounting_code_count finance,loss_keyword_count finance,abnormal_profit_signal finance"
+BOOSTED = f"{base.EVENTS}, x AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, fraud_prob) + 0.05::DOUBLE * len(coalesce(red_flags, []))) AS h FROM ev WHERE fraud_prob IS NOT NULL)"
+SYSTEM = "Bạn hỗ trợ kiểm toán báo cáo tài chính. Dựa vào đoạn văn được cung cấp, trả về một đối tượng JSON gồm các trường label, risk_level, standard_ref, finding và confidence; không suy đoán khi thiếu bằng chứng."
+
+
+def _layers() -> str:
+    one = lambda c: f"SELECT round(auc_roc, 6) AS auc_roc, round(coalesce(ap, 0), 6) AS auprc, round({base._fb(2)}, 6) AS f2 FROM (WITH {base.evaluate('x', [], 'true_label', c, '0.5')} SELECT * FROM e, a)"
+    return f"""WITH {BOOSTED}, p AS ({one('fraud_prob')}), q AS ({one('h')}), z AS (SELECT count(*) AS n, round(avg(abs(h - fraud_prob)), 6) AS mean_shift, round(max(abs(h - fraud_prob)), 6) AS max_shift, sum(CASE WHEN (fraud_prob >= 0.5) <> (h >= 0.5) THEN 1 ELSE 0 END)::BIGINT AS changed FROM x WHERE true_label IS NOT NULL)
+        SELECT z.*, p.auc_roc AS raw_auc_roc, p.auprc AS raw_auprc, p.f2 AS raw_f2, q.auc_roc AS hybrid_auc_roc, q.auprc AS hybrid_auprc, q.f2 AS hybrid_f2 FROM z, p, q"""
+
+
+def _positives() -> str:
+    """The records by id, the first reference of each, given or else inferred, and the first standard that holds a word of it."""
+    label = "CASE WHEN upper(trim(label)) IN ('BINH_THUONG', 'CANH_BAO', 'VI_PHAM', 'KHONG') THEN upper(trim(label)) WHEN upper(trim(label)) IN ('1', 'RISK', 'HIGH_RISK') OR TRY_CAST(upper(trim(label)) AS INT) > 0 THEN 'CANH_BAO' ELSE 'BINH_THUONG' END"
+    hit = lambda *ws: "(" + " OR ".join(f"contains(k, '{w}')" for w in ws) + ")"
+    inferred = f"CASE WHEN {hit('du_phong', 'du phong', 'kho_doi', 'no_phai_thu')} THEN 'TT48/2019 Dieu 6' WHEN {hit('doanh_thu', 'doanh thu', 'hoa_don', 'hoa don')} THEN 'VAS 14' WHEN {hit('ben_lien_quan', 'ngoai_bang', 'che_giau')} OR {label} <> 'BINH_THUONG' THEN 'VAS 01' END"
+    rows = ", ".join(f"({base.q(r[0])}, {base.q(' '.join(r[1:4]).lower())}, {base.q(r[4])}, {i})" for i, r in enumerate(base.lx.STANDARDS))
+    return f"""c(chunk_id, hay, passage, position) AS (VALUES {rows}), m AS (SELECT DISTINCT ON (id) id, coalesce(text, '') AS text, label, standard_ref, array_to_string({base.terms("coalesce(text, '')")}, ' ') AS k FROM m1_records WHERE id IS NOT NULL),
+        f AS (SELECT id, text, CASE WHEN len(coalesce(standard_ref, [])) > 0 THEN standard_ref[1] ELSE {inferred} END AS ref FROM m), g AS (SELECT id, text, {base.ws_tokens("lower(coalesce(ref, ''))")} AS w FROM f),
+        h AS (SELECT g.id, min_by(c.chunk_id, c.position) AS own FROM g JOIN c ON len(list_filter(g.w, lambda x: contains(c.hay, x))) > 0 GROUP BY 1), p AS (SELECT g.id, g.text, coalesce(h.own, (SELECT chunk_id FROM c WHERE position = 0)) AS own FROM g LEFT JOIN h ON g.id = h.id),
+        n AS (SELECT p.id, c.chunk_id, row_number() OVER (PARTITION BY p.id ORDER BY md5(p.id || ':' || c.chunk_id || ':42')) - 1 AS position FROM p JOIN c ON c.chunk_id <> p.own)"""
+
 
 SQL: dict[str, str] = {
+    "hard_negatives": f"WITH {_positives()} SELECT id, chunk_id, position FROM n WHERE position < 3",
+    "retrieval_sets": f"WITH {_positives()} SELECT p.id, p.text AS query, c.passage, 1 AS label FROM p JOIN c ON p.own = c.chunk_id UNION ALL SELECT n.id, p.text, c.passage, 0 FROM n JOIN c USING (chunk_id) JOIN p ON n.id = p.id WHERE n.position < 3",
     "parsed_documents": _parsed(),
     "fraud_signals": f"WITH {base.DOCS}, f AS (SELECT doc_id, t, {_names()} AS f FROM docs) SELECT doc_id, array_to_string(f, ',') AS signals, CASE WHEN {OPINION} OR len(f) > 0 THEN 1 ELSE 0 END AS label FROM f",
-    "pii_ids": f"WITH {base.DOCS} SELECT doc_id, {LONG_ID} AS long_ids FROM docs",
+    "pii_ids": f"WITH {base.DOCS} SELECT doc_id, {LONG_ID.format(t='t')} AS long_ids FROM docs",
+    "pii_scan": f"WITH {base.DOCS} SELECT doc_id, {EMAIL.format(t='t')} AS email, {PHONE.format(t='t')} AS phone, {LONG_ID.format(t='t')} AS long_id FROM docs",
+    "governance_steps": _governance(),
+    "temporal_manifest": _manifest(),
+    "mcnemar_pairs": f"SELECT *, round({TAIL}, 6) AS p_value FROM ({base.SQL['mcnemar_pairs']})",
+    "both_layers": _layers(),
+    "changed_decisions": f"WITH {BOOSTED} SELECT event_id, round(fraud_prob, 6) AS fraud_prob, round(h, 6) AS h FROM x WHERE (fraud_prob >= 0.5) <> (h >= 0.5) ORDER BY event_id LIMIT 10",
+    "feature_schema": "SELECT i::INT AS position, split_part(x, ' ', 1) AS name, split_part(x, ' ', 2) AS \"group\", 'double' AS dtype FROM (SELECT unnest(string_split('" + FEATURES + "', ',')) AS x, generate_subscripts(string_split('" + FEATURES + "', ','), 1) - 1 AS i)",
+    "explanation_terms": f"WITH {base.DOCS}, k AS (SELECT doc_id, unnest(list_distinct({base.ws_tokens('lower(t)')})) AS term FROM docs) SELECT doc_id, count(*) AS terms, min(term) AS first, max(term) AS last FROM k WHERE length(term) BETWEEN 2 AND 30 AND regexp_matches(term, '[\\p{{L}}]') AND NOT contains(term, '@@') GROUP BY 1",
+    "knowledge_base": f"WITH {KB} SELECT chunk_id, source, article, title, md5(text) AS text, chunk_index, total_chunks FROM kb",
+    "kb_search": f"WITH {SEARCH} SELECT item_id, chunk_id, round(score, 5) AS score, rank FROM r WHERE rank <= 5",
+    "prompt_rows": f"WITH {SEARCH}, c AS (SELECT item_id, string_agg(title, chr(10) ORDER BY rank, title) AS c FROM r JOIN kb USING (chunk_id) WHERE rank <= 5 GROUP BY 1) SELECT e.item_id, md5('Đoạn văn:' || chr(10) || coalesce(text, '') || chr(10) || chr(10) || 'Chuẩn mực liên quan:' || chr(10) || coalesce(c, '')) AS \"user\", label AS gold_label, length(coalesce(text, '')) AS char_count FROM eval_items e LEFT JOIN c ON e.item_id = c.item_id WHERE e.item_id % 20 = 0",
+    "encoder_rows": f"SELECT sample_id, 0 AS part, md5(t) AS text, label AS label_int, split FROM (SELECT sample_id, label, split, {base.strip("coalesce(text, '')")} AS t FROM mini_samples WHERE label IS NOT NULL AND split IS NOT NULL) WHERE t <> ''",
+    "chat_rows": f"""WITH m AS ({base.SQL['m1_canonical']}), x AS (SELECT id, min(text) AS text FROM m1_records GROUP BY 1) SELECT m.id, to_json([{{'role': 'system', 'content': {base.q(SYSTEM)}}}, {{'role': 'user', 'content': coalesce(x.text, '')}}, {{'role': 'assistant', 'content': to_json({{'label': label, 'risk_level': risk_level, 'standard_ref': standard_ref, 'finding': finding, 'confidence': CASE WHEN label = 'BINH_THUONG' THEN 0.82::DOUBLE ELSE 0.76::DOUBLE END}})::VARCHAR}}])::VARCHAR AS messages FROM m JOIN x ON m.id = x.id""",
 }

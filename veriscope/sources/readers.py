@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from veriscope.functions import text as tx
+from veriscope.session import staged
 
 RECORD = StructType([
     StructField("text", StringType()), StructField("label", IntegerType()), *(StructField(n, StringType()) for n in "source doc_id version collected_at published_at report_date file company_id split".split()),
@@ -48,30 +49,79 @@ def read_json(spark: SparkSession, path: str, schema: StructType = RECORD) -> Da
         .when(F.col("_o.records").isNotNull(), F.col("_o.records"))
         .when(F.col("_o.texts").isNotNull() & (F.size("_o.texts") != F.size("_o.labels")), F.raise_error(F.lit("texts and labels differ in length")).cast(f"array<{kind}>"))
         .when(F.col("_o.texts").isNotNull(), columns)
+        .when((first == "{") & ~F.col("v").rlike("[\r\n]") & ~F.array_contains(F.coalesce(F.json_object_keys("v"), F.array().cast("array<string>")), "text"), F.raise_error(F.lit("an object without text, texts or records")).cast(f"array<{kind}>"))
         .otherwise(lines)
     )
     return parsed.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def require_labelled(df: DataFrame) -> DataFrame:
-    """The rows; one without text or label raises when it is read."""
-    return df.where(F.when(F.col("text").isNull() | F.col("label").isNull(), F.raise_error(F.lit("a record lacks text or label")).cast("boolean")).otherwise(True))
+def require_labelled(df: DataFrame, index: str | None = None) -> DataFrame:
+    """The rows; one without text or label raises when it is read, naming its ``index`` column if there is one."""
+    which = F.concat(F.lit("record "), F.coalesce(F.col(index).cast("string"), F.lit("?"))) if index else F.lit("a record")
+    return df.where(F.when(F.col("text").isNull() | F.col("label").isNull(), F.raise_error(F.concat(which, F.lit(" lacks text or label"))).cast("boolean")).otherwise(True))
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text, source_type, extraction_method, ocr_used, error) of ``.txt`` and ``.pdf`` files below a folder.
+def read_documents(spark: SparkSession, path: str, names: str = "*.{txt,pdf,docx,TXT,PDF,DOCX}") -> DataFrame:
+    """(path, text, source_type, extraction_method, ocr_used, error) of the files below a folder whose names fit ``names``.
 
-    Bytes that aren't UTF-8 are dropped. PDF text needs the optional ``fitz`` library; without it, as for an empty text
-    or another suffix, ``text`` is null and ``error`` says why.
+    Other files aren't opened. Bytes that aren't UTF-8 are dropped. DOCX gives its paragraphs and, row by row, its tables.
+    PDF text needs the optional ``fitz`` library; without it, as for an empty text or a broken file, ``text`` is null and
+    ``error`` says why.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(path)
     name = F.lower("path")
     raw = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
     text = F.nullif(tx.strip(raw), F.lit(""))
     pdf = _pdf_text(F.when(name.endswith(".pdf"), F.col("content")))
-    made = F.when(name.endswith(".txt"), text).when(name.endswith(".pdf"), pdf)
-    error = F.when(made.isNotNull(), F.lit(None)).when(name.endswith(".txt"), "the file is empty").when(name.endswith(".pdf"), "no text layer, or fitz isn't installed").otherwise("unsupported file type")
-    return files.select("path", made.alias("text"), F.when(name.endswith(".pdf"), "pdf").when(name.endswith(".txt"), "txt").otherwise("other").alias("source_type"), F.when(name.endswith(".pdf"), "text_layer").when(name.endswith(".txt"), "utf-8").alias("extraction_method"), F.lit(False).alias("ocr_used"), error.cast("string").alias("error"))
+    word = _docx_text(F.when(name.endswith(".docx"), F.col("content")))
+    made = F.when(name.endswith(".txt"), text).when(name.endswith(".pdf"), pdf).when(name.endswith(".docx"), word)
+    error = F.when(made.isNotNull(), F.lit(None)).when(name.endswith(".txt"), "the file is empty").when(name.endswith(".pdf"), "no text layer, or fitz isn't installed").when(name.endswith(".docx"), "no text, or not a document").otherwise("unsupported file type")
+    return files.select("path", made.alias("text"), F.when(name.endswith(".pdf"), "pdf").when(name.endswith(".txt"), "txt").when(name.endswith(".docx"), "docx").otherwise("other").alias("source_type"), F.when(name.endswith(".pdf"), "text_layer").when(name.endswith(".txt"), "utf-8").when(name.endswith(".docx"), "xml").alias("extraction_method"), F.lit(False).alias("ocr_used"), error.cast("string").alias("error"))
+
+
+def docx_text(content: bytes) -> str | None:
+    """Paragraphs and tables of a document in order; a table's row is a line, its cells are parted by bars."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{w}body")
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+        return None
+    words = lambda e: "".join("\t" if x.tag == f"{w}tab" else "\n" if x.tag == f"{w}br" else x.text or "" for x in e.iter() if x.tag in (f"{w}t", f"{w}tab", f"{w}br"))
+    lines = []
+    for e in body if body is not None else ():
+        if e.tag == f"{w}p":
+            lines.append(words(e))
+        elif e.tag == f"{w}tbl":
+            lines += [" | ".join(" ".join(words(p) for p in cell.iter(f"{w}p")).strip() for cell in row.iter(f"{w}tc")) for row in e.iter(f"{w}tr")]
+    return "\n".join(lines).strip() or None
+
+
+@F.pandas_udf(StringType())
+def _docx_text(content):  # noqa: ANN001, ANN202
+    import pandas as pd
+
+    return pd.Series([docx_text(c) if c is not None else None for c in content], dtype=object)
+
+
+def ingest(spark: SparkSession, path: str, out: str, done: DataFrame | None = None) -> DataFrame:
+    """Parses the new files of a folder into ``out``/parsed and those that failed into ``out``/errors, both appended.
+
+    ``done``: (path) of files processed before. Returns (source_type, suggested_review, files) of this run; null review: failed.
+    """
+    from veriscope.functions import parse
+
+    found = read_documents(spark, path)
+    rows = staged(found if done is None else new_files(found, done, "path"), "ingest")
+    rows.where("text is null").select("path", "source_type", "error").write.mode("append").json(f"{out}/errors")
+    parsed = staged(parse.parse_documents(rows.where("text is not null").drop("error")), "parsed")
+    parsed.write.mode("append").parquet(f"{out}/parsed")
+    every = parsed.select("source_type", "suggested_review").unionByName(rows.where("text is null").select("source_type", F.lit(None).cast("boolean").alias("suggested_review")))
+    return every.groupBy("source_type", "suggested_review").agg(F.count("*").alias("files"))
 
 
 @F.pandas_udf(StringType())

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,21 @@ def write_splits(df: DataFrame, path: str, fmt: str = "json", split: str = "spli
     df.write.mode("overwrite").partitionBy(split).format(fmt).save(path)
 
 
+def split_cache(model: str, dataset: str) -> str:
+    """The name under which a model's split of a dataset is kept: it changes with the dataset's path."""
+    return f"{model}_split_{Path(dataset).stem or 'dataset'}_{hashlib.md5(dataset.encode()).hexdigest()[:8]}"
+
+
+def cached_splits(spark: SparkSession, folder: str, model: str, dataset: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of a split with their ``split``: as written by an earlier run for the same model and dataset, or made and
+    written now."""
+    path = f"{folder.rstrip('/')}/{split_cache(model, dataset)}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        write_splits(make(), path, "parquet")
+    return spark.read.parquet(path)
+
+
 def read_split(spark: SparkSession, path: str, name: str, fmt: str = "json", split: str = "split") -> DataFrame:
     return spark.read.format(fmt).load(path).where(F.col(split) == name)
 
