@@ -16,7 +16,7 @@ DEMO = ["Doanh thu tăng mạnh nhưng dòng tiền âm trong kỳ.", "Báo cáo
 
 
 def _split(df):
-    marked = prep.time_mark(df.withColumn("_row", F.monotonically_increasing_id()), "2026-12-31")
+    marked = prep.time_mark(df, "2026-12-31")
     if prep.choose_strategy(marked) == "temporal":
         return prep.temporal_split(marked.withColumn("_date", F.col("mark.date")), ["_date", "_row"])
     return prep.stratified_split(marked, "label", F.md5(F.concat(F.col("_row").cast("string"), F.lit(":42"))), {"train": 0.8, "val": 0.1, "test": 0.1})
@@ -26,7 +26,7 @@ def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="veriscope")
     sub = p.add_subparsers(dest="command", required=True)
     for name, options in {
-        "train": ("dataset", "out"), "score": ("folder", "model", "out"), "text": ("text", "model"), "demo": ("model",), "governance": ("dataset",), "split": ("dataset", "out"), "build": ("dataset", "out"), "tune": ("dataset",), "evaluate": ("csv", "model"), "drift": ("events",),
+        "train": ("dataset", "out"), "score": ("folder", "model", "out"), "text": ("text", "model"), "demo": ("model",), "governance": ("dataset",), "split": ("dataset", "out"), "build": ("dataset", "out"), "tune": ("dataset",), "evaluate": ("csv", "model"), "drift": ("events",), "mcnemar": ("scored",), "ablation": ("scored",), "ingest": ("folder", "out"),
     }.items():
         c = sub.add_parser(name)
         for o in options:
@@ -36,17 +36,17 @@ def main(argv: list[str] | None = None) -> None:
     spark = get_spark()
     show = lambda rows: print(json.dumps([r.asDict(recursive=True) for r in rows], ensure_ascii=False, default=str, indent=2))
     if a.command in ("train", "split", "governance", "build", "tune"):
-        df = readers.read_json(spark, a.dataset)
+        df = readers.read_json(spark, a.dataset, row="_row")
         if a.command == "governance":
-            show(governance.governance_report(df).collect())
+            show(governance.governance_report(df.drop("_row")).collect())
             return
         if a.command == "build":
-            print(json.dumps(datasets.build(spark, df.withColumn("_row", F.monotonically_increasing_id()), "_row", a.out), ensure_ascii=False, indent=2))
+            print(json.dumps(datasets.build(spark, df, "_row", a.out), ensure_ascii=False, indent=2))
             return
         if a.command == "tune":
-            print(json.dumps(tuning.search(readers.require_labelled(df).withColumn("_row", F.monotonically_increasing_id()), ["_row"]), indent=2))
+            print(json.dumps(tuning.search(readers.require_labelled(df, "_row"), ["_row"]), indent=2))
             return
-        parts = _split(prep.first_of_duplicates(readers.require_labelled(df).withColumn("sample_id", F.monotonically_increasing_id())))
+        parts = _split(prep.first_of_duplicates(readers.require_labelled(df, "_row").withColumn("sample_id", F.col("_row"))))
         if a.command == "split":
             writers.write_splits(parts.drop("mark", "_row", "_date"), a.out)
             show(prep.split_manifest(parts).collect())
@@ -54,6 +54,14 @@ def main(argv: list[str] | None = None) -> None:
         m = model.TextModel().fit(parts.where("split = 'train'"), parts.where("split = 'val'"))
         m.save(a.out)
         show(metrics.evaluate(m.score(parts.where("split = 'test'")), (), "label", "raw_score", m.threshold).collect())
+    elif a.command == "ingest":
+        show(readers.ingest(spark, a.folder, a.out).collect())
+    elif a.command == "mcnemar":
+        scored = spark.read.parquet(a.scored).withColumns({"_y": (F.col("label") > 0).cast("int"), "_p": F.col("predicted_label").cast("int")})
+        show(metrics.with_p_value(metrics.mcnemar(scored, "index", "model", "_y", "_p")).collect())
+    elif a.command == "ablation":
+        by = metrics.evaluate(spark.read.parquet(a.scored), ["model"], "label", "final_score", 0.5 if a.threshold is None else a.threshold)
+        show(metrics.ablation_deltas(by, "model").collect())
     elif a.command == "drift":
         show(drift.drift_report(drift.once(spark.read.parquet(a.events)), ["model"]).collect())
     else:

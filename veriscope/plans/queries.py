@@ -13,7 +13,7 @@ from veriscope.functions import parse
 from veriscope.functions import rules as rl
 from veriscope.functions import text as tx
 from veriscope.operators import drift, explain, governance, metrics, model, prep, retrieval
-from veriscope.session import table
+from veriscope.session import staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -488,7 +488,7 @@ def labelled(s, d) -> DataFrame:
 
 
 def trained(s, d) -> tuple[model.TextModel, DataFrame]:
-    x = spread(labelled(s, d)).persist()
+    x = staged(spread(labelled(s, d)), "labelled")  # both the model and its users read it
     return model.TextModel().fit(x.where("split = 'train'"), x.where("split = 'val'")), x
 
 

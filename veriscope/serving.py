@@ -30,6 +30,21 @@ def prediction_events(predicted: DataFrame, key: str, model_name: str) -> DataFr
     return predicted.select(F.col(key).alias("event_id"), F.lit(model_name).alias("model"), F.current_timestamp().alias("ts"), F.current_timestamp().alias("received_at"), F.length("text").alias("text_length"), F.col("fraud_probability").alias("fraud_prob"), F.col("label_int").alias("label"), "threshold_used", F.size("red_flags").alias("red_flag_count"), "red_flags", F.lit(None).cast("int").alias("true_label"))
 
 
+def drift_alerts(events: DataFrame) -> DataFrame:
+    """(model, alert, level): what the report over each model's last events warns of."""
+    return drift.alerts_of(drift_status(events), ["model"])
+
+
+def ground_truth(events: DataFrame, truth: DataFrame) -> DataFrame:
+    """The log with labels that came later, by event id; no event and no earlier report is lost."""
+    return drift.with_ground_truth(drift.once(events), truth)
+
+
+def update_baseline(spark: SparkSession, events: DataFrame, metrics: dict[str, float], path: str) -> None:
+    """Stores the scored events' shares and an evaluation's metrics as what later reports compare with."""
+    drift.save_baseline(spark, path, drift.new_baseline(events), metrics)
+
+
 def drift_status(events: DataFrame) -> DataFrame:
     """The report over each model's last events."""
     return drift.drift_report(drift.last_window(drift.once(events), ["model"], ["ts", "event_id"]), ["model"])

@@ -17,6 +17,7 @@ def get_spark(app: str = "veriscope", cpus: int | str = 8, **conf: str) -> Spark
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
     if SparkSession.getActiveSession() is None:
         b = b.master(f"local[{cpus}]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1")

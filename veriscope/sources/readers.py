@@ -29,14 +29,15 @@ def _require_content(spark: SparkSession, path: str) -> None:
                 raise ValueError(f"{g.getPath()} is empty")
 
 
-def read_json(spark: SparkSession, path: str, schema: StructType = RECORD) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: StructType = RECORD, row: str | None = None) -> DataFrame:
     """Records of files that hold one JSON value each: an array of records, ``{"records": [...]}``, or parallel arrays
     ``{"texts": [...], "labels": [...]}``; otherwise JSON lines. Files are read whole, so each must fit a task.
 
-    An empty file raises at once, a blank one and arrays of different length when the rows are read.
+    An empty file raises at once, a blank one and arrays of different length when the rows are read. ``row`` names a column
+    for each record's place, file and number, which orders the records alike however the files are split over tasks.
     """
     _require_content(spark, path)
-    whole = spark.read.format("binaryFile").load(path).select(tx.strip(F.col("content").cast("string")).alias("v"))
+    whole = spark.read.format("binaryFile").load(path).select("path", tx.strip(F.col("content").cast("string")).alias("v"))
     kind = schema.simpleString()
     wide = f"struct<records:array<{kind}>,texts:array<string>,labels:array<int>>"
     first = F.left("v", F.lit(1))
@@ -52,7 +53,9 @@ def read_json(spark: SparkSession, path: str, schema: StructType = RECORD) -> Da
         .when((first == "{") & ~F.col("v").rlike("[\r\n]") & ~F.array_contains(F.coalesce(F.json_object_keys("v"), F.array().cast("array<string>")), "text"), F.raise_error(F.lit("an object without text, texts or records")).cast(f"array<{kind}>"))
         .otherwise(lines)
     )
-    return parsed.select(F.explode(rows).alias("r")).select("r.*")
+    made = parsed.select("path", F.posexplode(rows).alias("i", "r"))
+    place = F.concat_ws(":", "path", F.lpad(F.col("i").cast("string"), 12, "0"))
+    return made.select("r.*", place.alias(row)) if row else made.select("r.*")
 
 
 def require_labelled(df: DataFrame, index: str | None = None) -> DataFrame:
@@ -61,10 +64,11 @@ def require_labelled(df: DataFrame, index: str | None = None) -> DataFrame:
     return df.where(F.when(F.col("text").isNull() | F.col("label").isNull(), F.raise_error(F.concat(which, F.lit(" lacks text or label"))).cast("boolean")).otherwise(True))
 
 
-def read_documents(spark: SparkSession, path: str, names: str = "*.{txt,pdf,docx,TXT,PDF,DOCX}") -> DataFrame:
+def read_documents(spark: SparkSession, path: str, names: str = "*.{txt,pdf,docx,TXT,PDF,DOCX}", docx: bool = False) -> DataFrame:
     """(path, text, source_type, extraction_method, ocr_used, error) of the files below a folder whose names fit ``names``.
 
-    Other files aren't opened. Bytes that aren't UTF-8 are dropped. DOCX gives its paragraphs and, row by row, its tables.
+    Other files aren't opened. Bytes that aren't UTF-8 are dropped. With ``docx`` such files give their paragraphs and, row
+    by row, their tables; without, as screening has it, they are an unsupported type.
     PDF text needs the optional ``fitz`` library; without it, as for an empty text or a broken file, ``text`` is null and
     ``error`` says why.
     """
@@ -73,10 +77,10 @@ def read_documents(spark: SparkSession, path: str, names: str = "*.{txt,pdf,docx
     raw = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
     text = F.nullif(tx.strip(raw), F.lit(""))
     pdf = _pdf_text(F.when(name.endswith(".pdf"), F.col("content")))
-    word = _docx_text(F.when(name.endswith(".docx"), F.col("content")))
-    made = F.when(name.endswith(".txt"), text).when(name.endswith(".pdf"), pdf).when(name.endswith(".docx"), word)
-    error = F.when(made.isNotNull(), F.lit(None)).when(name.endswith(".txt"), "the file is empty").when(name.endswith(".pdf"), "no text layer, or fitz isn't installed").when(name.endswith(".docx"), "no text, or not a document").otherwise("unsupported file type")
-    return files.select("path", made.alias("text"), F.when(name.endswith(".pdf"), "pdf").when(name.endswith(".txt"), "txt").when(name.endswith(".docx"), "docx").otherwise("other").alias("source_type"), F.when(name.endswith(".pdf"), "text_layer").when(name.endswith(".txt"), "utf-8").when(name.endswith(".docx"), "xml").alias("extraction_method"), F.lit(False).alias("ocr_used"), error.cast("string").alias("error"))
+    word = _docx_text(F.when(name.endswith(".docx"), F.col("content"))) if docx else F.lit(None)
+    made = F.when(name.endswith(".txt"), text).when(name.endswith(".pdf"), pdf).when(name.endswith(".docx") & F.lit(docx), word)
+    error = F.when(made.isNotNull(), F.lit(None)).when(name.endswith(".txt"), "the file is empty").when(name.endswith(".pdf"), "no text layer, or fitz isn't installed").when(name.endswith(".docx") & F.lit(docx), "no text, or not a document").otherwise("unsupported file type")
+    return files.select("path", made.alias("text"), F.when(name.endswith(".pdf"), "pdf").when(name.endswith(".txt"), "txt").when(name.endswith(".docx") & F.lit(docx), "docx").otherwise("other").alias("source_type"), F.when(name.endswith(".pdf"), "text_layer").when(name.endswith(".txt"), "utf-8").when(name.endswith(".docx") & F.lit(docx), "xml").alias("extraction_method"), F.lit(False).alias("ocr_used"), error.cast("string").alias("error"))
 
 
 def docx_text(content: bytes) -> str | None:
@@ -115,7 +119,7 @@ def ingest(spark: SparkSession, path: str, out: str, done: DataFrame | None = No
     """
     from veriscope.functions import parse
 
-    found = read_documents(spark, path)
+    found = read_documents(spark, path, docx=True)
     rows = staged(found if done is None else new_files(found, done, "path"), "ingest")
     rows.where("text is null").select("path", "source_type", "error").write.mode("append").json(f"{out}/errors")
     parsed = staged(parse.parse_documents(rows.where("text is not null").drop("error")), "parsed")
