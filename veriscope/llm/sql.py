@@ -25,12 +25,13 @@ def _folded(t: str) -> str:
 
 
 def _spans(table: str, key: str, where: str = "") -> str:
-    """Sequences of twelve words as hashes of their text."""
-    return f"""(SELECT {key}, array_to_string(w[i : i + 11], ' ') AS s FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 10, 1))) AS i FROM (SELECT {key}, regexp_extract_all({_folded("coalesce(text, '')")}, '[\\p{{L}}\\p{{N}}]+') AS w FROM {table})) {where})"""
+    """Sequences of twelve words and the place of each."""
+    return f"""(SELECT {key}, i, array_to_string(w[i : i + 11], ' ') AS s FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 10, 1))) AS i FROM (SELECT {key}, regexp_extract_all({_folded("coalesce(text, '')")}, '[\\p{{L}}\\p{{N}}]+') AS w FROM {table})) {where})"""
 
 
 SQL: dict[str, str] = {
     "p3_found": f"{_GROUPS} SELECT member.id, CASE WHEN member.g NOT LIKE 'file:%' THEN member.g END AS group_company FROM member JOIN size ON member.g = size.g WHERE n > 1",
     "p5_found": f"SELECT chunk_id FROM kb_chunks WHERE text IS NOT NULL AND chunk_size_tokens IS NOT NULL AND len(list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda x: x <> '')) > chunk_size_tokens",
+    "p8_leaks": f"WITH m AS (SELECT DISTINCT d.doc_id, e.item_id, d.i, d.i - e.i AS shift FROM {_spans('documents', 'doc_id')} d JOIN {_spans('eval_items', 'item_id')} e ON d.s = e.s), r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY i) AS run FROM m), n AS (SELECT doc_id, item_id, count(*) + 11 AS words FROM r GROUP BY doc_id, item_id, shift, run) SELECT doc_id, item_id, max(words)::INT AS words FROM n GROUP BY 1, 2",
     "p8_found": f"SELECT DISTINCT d.doc_id, e.item_id FROM {_spans('documents', 'doc_id')} d JOIN {_spans('eval_items', 'item_id')} e ON d.s = e.s",
 }

@@ -10,7 +10,6 @@ that script, so genuine Cyrillic, Greek or Armenian words stay what they are.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -48,7 +47,8 @@ def _plain(c: str) -> str | None:
     return None
 
 
-PLAIN = {o: p for o in range(0x80, sys.maxunicode + 1) if (p := _plain(chr(o))) is not None}
+#: The planes that have such characters: beyond them lie ideographs and unassigned numbers.
+PLAIN = {o: p for o in (*range(0x80, 0x20000), *range(0xE0000, 0xE1000)) if (p := _plain(chr(o))) is not None}
 PROTOTYPE = {ord(a): b for m in letters().values() for a, b in m.items()}
 #: Latin letter -> the scripts that have a letter of its looks.
 RESOLVED = {b: {s for s, m in SCRIPTS.items() if b in m.values()} for m in SCRIPTS.values() for b in m.values()}
