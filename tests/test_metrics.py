@@ -68,3 +68,15 @@ def test_psi(spark):
     flat = spark.range(1).select(drift.psi(F.array(*map(F.lit, base)), base).alias("x")).first().x
     assert flat == 0
     assert spark.range(1).select(F.array(*(drift.bin_of(F.lit(v)) for v in (0.0, 0.999, 1.0, -1.0, 2.0))).alias("x")).first().x == [0, 9, 9, 0, 9]
+
+
+def test_scores_of_any_range(spark):
+    """Logits and counts are ranked as probabilities are, and fall into many bins."""
+    import random
+
+    rnd = random.Random(1)
+    rows = [(i, int(rnd.random() < 0.4), rnd.gauss(0, 5)) for i in range(400)]
+    squashed = [(i, y, 1 / (1 + 2.718281828**-s)) for i, y, s in rows]
+    schema = "i int, label int, score double"
+    a, b = (metrics.evaluate(spark.createDataFrame(r, schema), (), "label", "score", 0.0).first() for r in (rows, squashed))
+    assert abs(a.auc_roc - b.auc_roc) < 1e-9 and abs(a.auprc - b.auprc) < 1e-9

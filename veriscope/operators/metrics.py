@@ -39,11 +39,13 @@ def _running(by: DataFrame, group: Sequence[str], cols: Sequence[str]) -> DataFr
     """Adds ``up_*`` and ``down_*``, sums of the columns over scores up to and down to each row's ``s``, and ``all_*``.
 
     Sums run within bins of the score and are offset by the sums of whole bins, at most ``BINS`` rows a group, so neither
-    one group nor a table without groups is summed in one task. The bin is monotone in the score, so any score is right;
-    those outside 0 to 1 share the outer bins.
+    one group nor a table without groups is summed in one task. The bin is monotone in the score: half of
+    the bins lie between 0 and 1, and a quarter on either side, ever wider, so scores of any range are told apart.
     """
     g = list(group)
-    by = by.withColumn("_bin", F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s"))) * BINS).cast("int"))))
+    s = F.col("s")
+    place = F.when(F.isnan(s), 1.0).when(s < 0, 0.25 / (1 - s)).when(s > 1, 1 - 0.25 / s).otherwise(0.25 + 0.5 * s)
+    by = by.withColumn("_bin", F.least(F.lit(BINS - 1), F.floor(place * BINS).cast("int")))
     inner = Window.partitionBy(*g, "_bin").orderBy("s")
     bins = by.groupBy(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(g)), F.col("_bin").alias("_b")).agg(*(F.sum(c).alias(f"_s_{c}") for c in cols))
     keys = [f"_g{i}" for i in range(len(g))]

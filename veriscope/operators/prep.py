@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -107,13 +108,18 @@ def temporal_split(df: DataFrame, order: Sequence[str | Column], train: float =
     return placed.withColumn("split", F.when(F.col("_position") < a, "train").when(F.col("_position") < a + b, "val").otherwise("test")).drop("_position")
 
 
+#: Rows that one part of a stratum holds on average at most.
+PART_ROWS = 200_000
+
+
 def stratified_split(df: DataFrame, label: str, key: Column, shares: Mapping[str, float]) -> DataFrame:
     """Adds ``split`` with the shares held within every label to a row, in the order of ``key`` (say a seeded hash).
 
-    Strata are numbered in hash ranges: a window over (label, first byte of the key) numbers rows of 256 parts of each
-    label at once, and the counts of the parts, one row each, give the offsets.
+    Strata are numbered in hash ranges: a window over (label, first hexadecimal digits of the key) numbers rows of many parts
+    of each label at once, as many as keep a part under ``PART_ROWS`` rows, and the counts of the parts give the offsets.
     """
-    rows = df.withColumn("_key", key).withColumn("_part", F.left("_key", F.lit(2)))
+    digits = max(2, math.ceil(math.log(max(df.count() / PART_ROWS, 1), 16)))
+    rows = df.withColumn("_key", key).withColumn("_part", F.left("_key", F.lit(digits)))
     within = rows.withColumn("_r", F.row_number().over(Window.partitionBy(label, "_part").orderBy("_key")))
     parts = rows.groupBy(label, "_part").agg(F.count("*").alias("_c"))
     w = Window.partitionBy(label)
