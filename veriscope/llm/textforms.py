@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from veriscope.llm.confusables import letters, script
+from veriscope.session import staged
 
 # Hyphens of one position, and characters that show nothing.
 HYPHENS = "‐‑﹣－"
@@ -196,6 +197,7 @@ def lookalike_pairs(df: DataFrame, id_col: str = "sample_id", text_col: str = "t
         .withColumn("c", consistent_form(F.col("t")))
         .select("id", F.xxhash64("c").alias("k"), F.hash("c").alias("k2"), F.xxhash64("t").alias("h"))
     )
+    rows = staged(rows, "forms")  # hashes alone, so that texts are read and normalised once
     several = rows.groupBy("k", "k2").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("k", "k2")
     few = rows.join(several, ["k", "k2"], "left_semi")
     texts = few.select("k", "k2", "h").distinct()
