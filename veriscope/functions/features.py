@@ -127,7 +127,8 @@ def with_linguistic_features(df: DataFrame, text_col: str = "text", fold: bool =
     }
     made["sent_neu"] = F.greatest(F.lit(0.0), F.lit(1.0) - made["sent_pos"] - made["sent_neg"])
     for i in range(TOPICS):
-        made[f"topic_{i}"] = F.size(F.filter(flags, lambda f, i=i: F.pmod(F.xxhash64(f), F.lit(TOPICS)) == i)) / F.greatest(F.size(flags), F.lit(1))
+        bucket = lambda f: F.conv(F.left(F.md5(f), F.lit(8)), 16, 10).cast("long") % TOPICS
+        made[f"topic_{i}"] = F.size(F.filter(flags, lambda f, i=i: bucket(f) == i)) / F.greatest(F.size(flags), F.lit(1))
     return base.select(*df.columns, *(made[c].alias(c) for c in LINGUISTIC))
 
 

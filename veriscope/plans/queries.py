@@ -130,12 +130,12 @@ def suspicious_segments(s, d):
 
 @query
 def declared_rules(s, d):
-    return rl.declared_hits(docs(s, d))
+    return rl.declared_hits(spread(table(s, d, "mini_samples").select("sample_id", "text")), id_col="sample_id")
 
 
 @query
 def standard_matches(s, d):
-    return rl.standard_matches(docs(s, d))
+    return rl.standard_matches(spread(table(s, d, "mini_samples").select("sample_id", "text")), id_col="sample_id")
 
 
 @query
@@ -170,6 +170,76 @@ def metadata_features(s, d):
     return rounded(ft.with_metadata_features(docs(s, d).select("doc_id", "text")).drop("text"))
 
 
+@query
+def feature_vectors(s, d):
+    x = metadata_features(s, d).select("doc_id", F.posexplode(ft.vector()).alias("position", "value"))
+    return x.where("value <> 0")
+
+
+@query
+def bias_flags(s, d):
+    x = metadata_features(s, d)
+    f = rl.bias_flags(F.col("ocr_quality"), F.col("digit_ratio"), F.col("log_char_len"), F.col("red_flag_count"), F.col("english_keyword_ratio"))
+    return x.select("doc_id", F.array_join(f, ",").alias("flags"))
+
+
+@query
+def score_breakdown(s, d):
+    x = events(s, d).where("fraud_prob is not null").withColumn("h", F.when(F.col("event_id") % 3 > 0, F.sqrt("fraud_prob")))
+    b = rl.score_breakdown(F.col("fraud_prob"), F.col("h"), F.coalesce("red_flags", F.array().cast("array<string>")), F.coalesce("threshold_used", F.lit(0.5)))
+    return rounded(x.select("event_id", b.alias("b")).select("event_id", "b.hybrid_metadata_score", "b.final_score", "b.rule_increment", "b.predicted_label", "b.decision_layer"))
+
+
+@query
+def accounting_numbers(s, d):
+    found = F.regexp_extract_all(T(), F.lit(r"(\(?-?[0-9][0-9.,]*[0-9]\)?)"), F.lit(1))
+    x = docs(s, d).select("doc_id", F.explode(found).alias("raw")).distinct()
+    return x.select("doc_id", "raw", tx.accounting_number(F.col("raw")).alias("value")).where("value is not null")
+
+
+@query
+def lexical_tokens(s, d):
+    return retrieval.lexical_tokens(docs(s, d), "doc_id").select("doc_id", F.md5(F.array_join("tokens", " ")).alias("tokens"))
+
+
+@query
+def rule_table(s, d):
+    return rl.rule_table(s)
+
+
+@query
+def split_strategy(s, d):
+    x = prep.time_mark(table(s, d, "mini_samples"), "2026-01-01")
+    return s.createDataFrame([(prep.choose_strategy(x),)], "strategy string")
+
+
+@query
+def folder_summary(s, d):
+    from veriscope.sources.writers import scan_summary
+
+    f = folded(docs(s, d), "doc_id").select(rl.risk_band(rl.boosted(F.lit(0.42), rl.red_flags(F.col("_fold")))).alias("muc_do_rui_ro"), F.when(F.col("_fold") == "", "empty").alias("error"))
+    return scan_summary(f)
+
+
+@query
+def drift_alerts(s, d):
+    x = drift.drift_report(drift.last_window(events(s, d), ["model"], ["ts", "event_id"]), ["model"])
+    return drift.alerts_of(x, ["model"])
+
+
+@query
+def best_chunks(s, d):
+    c = docs(s, d).select("doc_id", F.posexplode(tx.windows(T())).alias("i", "c"))
+    x = c.select("doc_id", "i", "c", tx.count_of(F.col("c"), ",").alias("v"))
+    return model.best_chunk(x, "doc_id", "v", "i", "c").select("doc_id", F.md5("c").alias("chunk"))
+
+
+@query
+def embedding_triples(s, d):
+    x, p = m1_positives(s, d)
+    return retrieval.embedding_triples(x, p, retrieval.hard_negatives(p, standards(s), "id").where("position = 0"), standards(s), "id")
+
+
 @query
 def feature_schema(s, d):
     return ft.schema(s)
@@ -184,7 +254,7 @@ def explanation_terms(s, d):
 @query
 def linguistic_features(s, d):
     x = ft.with_linguistic_features(docs(s, d).select("doc_id", "text"))
-    return rounded(x.drop("text", "drift_sc", *(f"topic_{i}" for i in range(ft.TOPICS))))
+    return rounded(x.drop("text"))
 
 
 @query
@@ -525,7 +595,7 @@ def drift_simulated(s, d):
 
 
 def _scorer(df: DataFrame) -> DataFrame:
-    """A transparent score for explanations: commas, digits and length."""
+    """A transparent score that SQL can follow: the digits of a text, up to twenty."""
     return df.withColumn("raw_score", F.least(F.lit(1.0), F.length(F.regexp_replace("text", "[^0-9]", "")) / F.lit(20.0)))
 
 
@@ -534,6 +604,13 @@ def leave_one_out(s, d):
     return rounded(explain.leave_one_out(docs(s, d), "doc_id", _scorer))
 
 
+@query
+def model_explanations(s, d):
+    """What the fitted text model's score rests on, by leaving out each of the first tokens of the test texts."""
+    m, x = trained(s, d)
+    return rounded(explain.leave_one_out(x.where("split = 'test'").select("sample_id", "text"), "sample_id", m.score))
+
+
 @query
 def local_surrogates(s, d):
     return explain.local_surrogate(docs(s, d), "doc_id", _scorer)

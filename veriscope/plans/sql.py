@@ -146,9 +146,6 @@ SQL: dict[str, str] = {
     "rule_flags": f"WITH {DOCS}, f AS (SELECT doc_id, {fold('t')} AS f FROM docs) SELECT doc_id, array_to_string({flags('f')}, ',') AS flags FROM f",
     "rule_flag_counts": f"WITH {DOCS}, f AS (SELECT {fold('t')} AS f FROM docs), x AS (SELECT unnest({flags('f')}) AS flag FROM f) SELECT flag, count(*) AS documents FROM x GROUP BY flag",
     "suspicious_segments": f"WITH {DOCS}, s AS (SELECT doc_id, list_filter(list_transform({segments('t')}, lambda s: {{'snippet': left(s, 300), 'flags': array_to_string({flags(fold('s'))}, ', ')}}), lambda x: x.flags <> '') AS s FROM docs), u AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) - 1 AS position FROM s) SELECT doc_id, position, x.snippet AS snippet, x.flags AS flags FROM u",
-    "declared_rules": f"WITH {DOCS}, f AS (SELECT doc_id, {fold('t')} AS f FROM docs), r(rule_id, standard, trig, ctx, label, risk) AS (VALUES "
-    + ", ".join(f"({q(i)}, {q(s)}, {q(t)}, {q(c)}, {q(lb)}, {q(r)})" for i, _, s, t, c, lb, r in lx.DECLARED_RULES)
-    + ") SELECT doc_id, rule_id, standard, label, risk FROM f JOIN r ON regexp_matches(f, trig) AND regexp_matches(f, ctx)",
     "metadata_features": "",
     "linguistic_features": "",
     "benford": """WITH d AS (SELECT l_returnflag, left(floor(abs(l_extendedprice))::BIGINT::VARCHAR, 1)::INT AS digit FROM lineitem WHERE abs(l_extendedprice) >= 1),
@@ -259,9 +256,11 @@ def _linguistic_sql() -> str:
         "excl_r": f"{count_of('t', '!')} / greatest(length(t), 1)",
         "quest_r": f"{count_of('t', '?')} / greatest(length(t), 1)",
         "sent_neu": f"greatest(0, 1 - {ratio['sent_pos']} - {ratio['sent_neg']})",
+        "drift_sc": "0.0::DOUBLE",
     }
+    cols |= {f"topic_{i}": f"len(list_filter(fl, lambda x: ('0x' || left(md5(x), 8))::BIGINT % 8 = {i})) / greatest(len(fl), 1)::DOUBLE" for i in range(8)}
     seg = f"CASE WHEN len({segments('t')}) > 0 THEN {segments('t')} ELSE [t] END"
-    return f"WITH {DOCS}, a AS (SELECT doc_id, t, lower(t) AS lo, {ws_tokens('t')} AS w, list_filter(list_transform({seg}, lambda s: len({ws_tokens('s')})), lambda n: n > 0) AS ls FROM docs), b AS (SELECT *, coalesce(list_sum(ls), 0) / greatest(len(ls), 1)::DOUBLE AS av FROM a) SELECT doc_id, " + ", ".join(f"round({e}, 6) AS {c}" for c, e in cols.items()) + " FROM b"
+    return f"WITH {DOCS}, a AS (SELECT doc_id, t, lower(t) AS lo, {fold('t')} AS f, {ws_tokens('t')} AS w, list_filter(list_transform({seg}, lambda s: len({ws_tokens('s')})), lambda n: n > 0) AS ls FROM docs), b AS (SELECT *, coalesce(list_sum(ls), 0) / greatest(len(ls), 1)::DOUBLE AS av, " + flags("f") + " AS fl FROM a) SELECT doc_id, " + ", ".join(f"round({e}, 6) AS {c}" for c, e in cols.items()) + " FROM b"
 
 
 def _drift_sql() -> str:
@@ -334,7 +333,6 @@ def _report_sql() -> str:
 
 SQL["drift_reports"] = _report_sql()
 SQL["text_denoised"] = _denoised_sql()
-SQL["standard_matches"] = f"WITH {DOCS}, f AS (SELECT doc_id, {fold('t')} AS f FROM docs), p(standard, p) AS (VALUES " + ", ".join(f"({q(k)}, {q(p)})" for k, p in lx.STANDARD_PATTERNS.items()) + ") SELECT doc_id, standard FROM f JOIN p ON regexp_matches(f, p)"
 SQL |= {"time_marks": _date_sql(), "m1_canonical": _m1_sql()}
 SQL |= {
     "first_standards": "WITH k(chunk_id, hay, position) AS (VALUES " + ", ".join(f"({q(s[0])}, {q(' '.join(s[1:4]).lower())}, {i})" for i, s in enumerate(lx.STANDARDS)) + f"), r AS (SELECT DISTINCT id, {ws_tokens('lower(coalesce(standard_ref[1], ' + q('') + '))')} AS w FROM m1_records WHERE id IS NOT NULL), h AS (SELECT r.id, min_by(k.chunk_id, k.position) AS c FROM r JOIN k ON len(list_filter(r.w, lambda x: contains(k.hay, x))) > 0 GROUP BY 1) SELECT r.id, coalesce(h.c, {q(lx.STANDARDS[0][0])}) AS chunk_id FROM r LEFT JOIN h ON r.id = h.id",

@@ -136,7 +136,39 @@ def _positives() -> str:
         n AS (SELECT p.id, c.chunk_id, row_number() OVER (PARTITION BY p.id ORDER BY md5(p.id || ':' || c.chunk_id || ':42')) - 1 AS position FROM p JOIN c ON c.chunk_id <> p.own)"""
 
 
+COMMAS = "(length(c) - length(replace(c, ',', '')))"
+WINDOWS = f"s AS (SELECT doc_id, {base.strip('t')} AS s FROM docs), w AS (SELECT doc_id, unnest(generate_series(0, greatest(ceil((length(s) - 120) / 648.0::DOUBLE) - 1, 0)::BIGINT)) AS i, s FROM s), p AS (SELECT doc_id, i, {base.strip('substring(s, (i * 648 + 1)::BIGINT, 768)')} AS c FROM w)"
+RULES = """(VALUES ('R001', 'Khong trich du phong no kho doi', 'TT48/2019 Dieu 6', 'du phong.{0,30}(0 dong|khong co|chua trich)', 'no phai thu|khoan phai thu|kho doi', 'CANH_BAO', 'CAO'),
+    ('R002', 'Doanh thu ghi nhan sai ky', 'VAS 14', 'ghi nhan doanh thu.{0,50}(truoc|sai ky|khong du dieu kien)', 'doanh thu|hop dong|hoa don', 'VI_PHAM', 'CAO'),
+    ('R003', 'Rui ro ben lien quan hoac ngoai bang', 'VAS 01', 'ben lien quan|ngoai bang can doi|che giau no', 'thuyet minh|giao dich|no phai tra', 'CANH_BAO', 'TRUNG_BINH'))"""
+STANDARDS = "(VALUES ('TT48/2019', '(du phong).{0,50}(no phai thu|khoan phai thu)'), ('VAS14', 'ghi nhan doanh thu.{0,80}(sai ky|truoc|khong du dieu kien)'), ('VAS01', 'ben lien quan|ngoai bang can doi|che giau'))"
+SAMPLES = f"x AS (SELECT sample_id, {base.fold("coalesce(text, '')")} AS f FROM mini_samples)"
+VECTOR = [x.split(" ")[0] for x in FEATURES.split(",")]
+
+
+def _accounting(raw: str) -> str:
+    """Brackets and a leading minus are negative; a point or comma before three digits and no more groups, a comma else is decimal."""
+    bare = f"regexp_replace(regexp_replace({raw}, '[()]', '', 'g'), '^-+', '')"
+    # no look-ahead: each part between marks keeps its mark unless it is of three digits
+    marked = f"regexp_replace({bare}, '([.,])', '|\\1', 'g')"
+    joined = f"list_reduce(string_split({marked}, '|'), lambda a, x: CASE WHEN regexp_full_match(x, '[.,][0-9]{{3}}') THEN a || x[2:] ELSE a || x END)"
+    return f"(CASE WHEN ({raw} LIKE '(%' AND {raw} LIKE '%)') OR {raw} LIKE '-%' THEN -1 ELSE 1 END) * TRY_CAST(replace({joined}, ',', '.') AS DOUBLE)"
+
+
 SQL: dict[str, str] = {
+    "declared_rules": f"WITH {SAMPLES}, r(rule_id, name, standard, trig, ctx, label, risk) AS {RULES} SELECT sample_id, rule_id, standard, label, risk FROM x JOIN r ON regexp_matches(f, trig) AND regexp_matches(f, ctx)",
+    "standard_matches": f"WITH {SAMPLES}, r(standard, p) AS {STANDARDS} SELECT sample_id, standard FROM x JOIN r ON regexp_matches(f, p)",
+    "rule_table": f"WITH r(rule_id, name, standard, \"trigger\", context, label, risk) AS {RULES} SELECT * FROM r",
+    "feature_vectors": f"WITH m AS ({base.SQL['metadata_features']}), v AS (SELECT doc_id, [{', '.join(f'{n}::DOUBLE' for n in VECTOR)}] AS v FROM m), u AS (SELECT doc_id, unnest(v) AS value, generate_subscripts(v, 1) - 1 AS position FROM v) SELECT doc_id, position, value FROM u WHERE value <> 0",
+    "bias_flags": f"WITH m AS ({base.SQL['metadata_features']}) SELECT doc_id, array_to_string(list_filter([CASE WHEN ocr_quality < 0.55 THEN 'low_ocr_quality' END, CASE WHEN digit_ratio > 0.12 THEN 'digit_heavy_text' END, CASE WHEN log_char_len <= 5 THEN 'short_text' END, CASE WHEN red_flag_count >= 2 THEN 'many_rule_flags' END, CASE WHEN english_keyword_ratio > 0.08 THEN 'english_heavy_text' END], lambda x: x IS NOT NULL), ',') AS flags FROM m",
+    "score_breakdown": f"WITH {base.EVENTS}, x AS (SELECT event_id, coalesce(CASE WHEN event_id % 3 > 0 THEN sqrt(fraud_prob) END, fraud_prob) AS b, event_id % 3 > 0 AS hy, len(coalesce(red_flags, [])) AS n, coalesce(threshold_used, 0.5) AS th FROM ev WHERE fraud_prob IS NOT NULL), y AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, b) + 0.05::DOUBLE * n) AS f FROM x) SELECT event_id, round(b, 6) AS hybrid_metadata_score, round(f, 6) AS final_score, round(f - b, 6) AS rule_increment, (f >= th)::INT AS predicted_label, CASE WHEN n > 0 THEN 'rule_based_postprocessing' WHEN hy THEN 'hybrid_metadata_head' ELSE 'raw_model' END AS decision_layer FROM y",
+    "accounting_numbers": f"WITH {base.DOCS}, x AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(t, '\\(?-?[0-9][0-9.,]*[0-9]\\)?')) AS raw FROM docs), v AS (SELECT doc_id, raw, {_accounting('raw')} AS value FROM x) SELECT * FROM v WHERE value IS NOT NULL",
+    "lexical_tokens": f"WITH {base.DOCS} SELECT doc_id, md5(array_to_string({base.ws_tokens('lower(t)')}, ' ')) AS tokens FROM docs",
+    "split_strategy": f"SELECT CASE WHEN avg(CASE WHEN known THEN 1.0 ELSE 0 END) >= 0.5 AND count(DISTINCT CASE WHEN known THEN year END) >= 2 THEN 'temporal' ELSE 'random' END AS strategy FROM ({base.SQL['time_marks']})",
+    "folder_summary": f"WITH {base.DOCS}, f AS (SELECT {base.fold('t')} AS f FROM docs), x AS (SELECT f = '' AS bad, least(1.0::DOUBLE, 0.42::DOUBLE + 0.05::DOUBLE * len({base.flags('f')})) AS s FROM f) SELECT count(*) AS documents, sum(bad::INT)::BIGINT AS failed, sum((NOT bad AND s >= 0.75)::INT)::BIGINT AS high, sum((NOT bad AND s >= 0.45 AND s < 0.75)::INT)::BIGINT AS medium, sum((NOT bad AND s < 0.45)::INT)::BIGINT AS low FROM x",
+    "drift_alerts": f"SELECT model, unnest(string_split(alerts, ',')) AS alert, level FROM ({base.SQL['drift_reports']}) WHERE alerts <> ''",
+    "best_chunks": f"WITH {base.DOCS}, {WINDOWS}, o AS (SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY {COMMAS} DESC, i) AS k FROM p WHERE c <> '') SELECT doc_id, md5(c) AS chunk FROM o WHERE k = 1",
+    "embedding_triples": f"WITH {_positives()} SELECT p.id, p.text AS query, a.passage AS positive, b.passage AS negative FROM p JOIN c a ON p.own = a.chunk_id JOIN n ON n.id = p.id AND n.position = 0 JOIN c b ON n.chunk_id = b.chunk_id",
     "hard_negatives": f"WITH {_positives()} SELECT id, chunk_id, position FROM n WHERE position < 3",
     "retrieval_sets": f"WITH {_positives()} SELECT p.id, p.text AS query, c.passage, 1 AS label FROM p JOIN c ON p.own = c.chunk_id UNION ALL SELECT n.id, p.text, c.passage, 0 FROM n JOIN c USING (chunk_id) JOIN p ON n.id = p.id WHERE n.position < 3",
     "parsed_documents": _parsed(),
