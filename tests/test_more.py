@@ -123,6 +123,7 @@ def test_full_predictions_and_other_models(spark):
     out = {r.id: r for r in model.full_predictions(m, df.where("id < 4").select("id", "text"), "id", head).collect()}
     assert out[1].explanation_method == "tfidf_logreg_contribution" and out[1].top_terms and out[1].score_breakdown.decision_layer == "rule_based_postprocessing"
     assert out[1].explanation[0].startswith("Các red flags") and out[1].explanation[-1].endswith(", ".join(out[1].top_terms)) and out[0].score_breakdown.decision_layer == "hybrid_metadata_head"
+    assert out[1].highlight.startswith('<span style="background: rgba(') and out[1].top_terms[0] in out[1].highlight
     d = model.DescentModel(epochs=200).fit(df)
     s = {r.id: r.raw_score for r in d.score(df.unionByName(spark.createDataFrame([(99, None, None)], df.schema)), "id").collect()}
     assert min(v for k, v in s.items() if k % 2 and k < 99) > max(v for k, v in s.items() if not k % 2) and math.isclose(s[99], 1 / (1 + math.exp(-d.bias)))
@@ -156,3 +157,17 @@ def test_prompts_and_encoder_rows(spark):
 
 def test_feature_schema(spark):
     assert [r.name for r in features.schema(spark).orderBy("position").collect()] == features.METADATA
+
+
+def test_collapsed_models_are_trained_again(spark, tmp_path, monkeypatch):
+    df, path = _texts(spark), str(tmp_path / "m")
+    fits = []
+    plain = model.TextModel.fit
+    monkeypatch.setattr(model.TextModel, "fit", lambda self, *a: fits.append(1) or plain(model.TextModel(vocabulary=50, iterations=20), *a))
+    first = model.load_or_train(path, df, df)
+    again = model.load_or_train(path, df, df)
+    assert len(fits) == 1 and again.auc == first.auc > 0.9 and again.threshold == first.threshold
+    first.auc = 0.5
+    first.save(path)
+    model.load_or_train(path, df, df)
+    assert len(fits) == 2

@@ -62,7 +62,7 @@ def canonical_m3(df: DataFrame, order: str) -> DataFrame:
     for kind in ("vague_r", "hedge_r", "neg_r", "passive_r"):
         made += [F.when(low.contains(p), F.struct(F.lit(kind.removesuffix("_r")).alias("type"), F.lit(p).alias("span"), F.lit(1.0).alias("weight"))) for p in lx.SIGNALS[kind]]
     x = x.withColumn("signals", F.filter(F.array(*made), lambda s: s.isNotNull()))
-    drift = term_drift(x, "company_id", ["year", "id"])
+    drift = term_drift(x, "company_id", ["year", "id"], keep_text=True)
     return drift.withColumn("drift_from_prev", F.col("drift_score") > 0)
 
 
@@ -88,7 +88,9 @@ def build(spark: SparkSession, records: DataFrame, order: str, path: str, shares
         "lexical_tokens": retrieval.lexical_tokens(corpus, "id"),
         "tfidf": tfidf(corpus.where("split = 'train'"), "id", tx.word_tokens(F.col("text"))),
         "rules": rl.rule_table(spark),
-        "encoder_inputs": corpus.select("id", "text", "label_int", "split"),
+        "encoder_inputs": retrieval.encoder_rows(corpus),
+        "prompts": retrieval.prompt_rows(corpus.where("split = 'test'"), lx.SYSTEM_PROMPT, lx.PROMPTS["retrieval"], positives.join(F.broadcast(retrieval.few(kb)), "chunk_id").select("id", F.lit(1).alias("rank"), F.col("text").alias("passage"))),
+        "prompts_direct": retrieval.prompt_rows(corpus.where("split = 'test'"), lx.SYSTEM_PROMPT, lx.PROMPTS["direct"]),
         "linguistic": ft.with_linguistic_features(corpus.select("id", "text", "split")).drop("text"),
     }
     for name, df in sets.items():

@@ -145,12 +145,12 @@ def simulated(spark: SparkSession, n: int, shift_at: int | None = None, seed: in
     return at.select(F.col("id").alias("event_id"), F.lit(model).alias("model"), ts.alias("ts"), ts.alias("received_at"), F.lit(100).alias("text_length"), p.alias("fraud_prob"), (p >= 0.5).cast("int").alias("label"), F.lit(0.5).alias("threshold_used"), F.lit(0).alias("red_flag_count"), F.array().cast("array<string>").alias("red_flags"), F.lit(None).cast("int").alias("true_label"))
 
 
-def term_drift(df: DataFrame, partition: str, order: Sequence[str], text_col: str = "text", block: int = 20_000) -> DataFrame:
+def term_drift(df: DataFrame, partition: str, order: Sequence[str], text_col: str = "text", block: int = 20_000, keep_text: bool = False) -> DataFrame:
     """Adds ``drift_score``: 1 minus the Jaccard similarity of a text's terms and those of the one before in its partition;
-    0 for the first. The text itself is left out: its terms travel as hashes. Computed in overlapping blocks, so one busy
+    0 for the first. The text itself is left out unless ``keep_text``: its terms travel as hashes. Computed in overlapping blocks, so one busy
     partition isn't one task.
     """
-    kept = [c for c in df.columns if c != text_col]
+    kept = [c for c in df.columns if keep_text or c != text_col]
     hashed = F.array_distinct(F.transform(tx.terms(F.coalesce(F.col(text_col), F.lit(""))), lambda x: F.xxhash64(x)))
     rows = blocked(df.select(*kept, hashed.alias("_terms")), [partition], order, 1, block)
     rows = rows.withColumn("_prev", F.lag("_terms").over(Window.partitionBy(partition, "_block").orderBy("_position"))).where("_own")

@@ -12,6 +12,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, NGram, Normalizer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,6 +63,8 @@ class TextModel:
     c: float = 1.0
     iterations: int = 300
     threshold: float = 0.5
+    #: Area under the curve of the validation rows; none where there were none.
+    auc: float | None = None
     fitted: PipelineModel | None = None
 
     def _tokens(self, df: DataFrame) -> DataFrame:
@@ -96,6 +99,7 @@ class TextModel:
         rows.unpersist()
         if validation is not None:
             self.threshold = metrics.best_threshold(self.score(validation), (), "label", "raw_score", metric).first().threshold
+            self.auc = metrics.evaluate(self.score(validation), (), "label", "raw_score", self.threshold).first().auc_roc
         return self
 
     def score(self, df: DataFrame) -> DataFrame:
@@ -121,7 +125,7 @@ class TextModel:
     def save(self, path: str) -> None:
         """The pipeline in ``path``/model and a side-car beside it: what scoring needs besides the pipeline."""
         self.fitted.write().overwrite().save(f"{path}/model")
-        side = {"name": self.name, "threshold": float(self.threshold), "vocabulary": self.vocabulary, "c": self.c, "iterations": self.iterations}
+        side = {"name": self.name, "threshold": float(self.threshold), "vocabulary": self.vocabulary, "c": self.c, "iterations": self.iterations, "auc": self.auc}
         spark = SparkSession.active()
         spark.createDataFrame([(json.dumps(side),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/side_car")
 
@@ -136,6 +140,19 @@ class TextModel:
         return self
 
 
+def load_or_train(path: str, train: DataFrame, validation: DataFrame) -> TextModel:
+    """The model saved at ``path``, unless there is none or it has collapsed (its area is under 0.6 or unknown): then one is
+    trained and saved there."""
+    try:
+        m = TextModel().load(path)
+    except AnalysisException:
+        m = None
+    if m is None or metrics.collapsed(m.auc):
+        m = TextModel().fit(train, validation)
+        m.save(path)
+    return m
+
+
 @dataclass
 class HybridHead:
     """Logistic regression over the text score and the metadata features; scoring is a Column of constants."""
@@ -254,6 +271,8 @@ def full_predictions(model: TextModel, df: DataFrame, key: str, head: HybridHead
         scored = ft.with_metadata_features(scored).withColumn("hybrid_score", head.column()).drop(*ft.METADATA)
     by = explain.linear_attributions(model.contributions(df, key, 4 * terms), key).where(F.col("rank") <= terms)
     why = explain.chosen(df, key, {"tfidf_logreg_contribution": by})
+    shown = by.groupBy(key).agg(explain.highlighted(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term", "score"))), lambda x: F.struct(x["term"].alias("term"), x["score"].alias("weight")))).alias("highlight"))
+    why = why.join(shown, key, "left")
     return predictions(scored.join(why, key), model.threshold if threshold is None else threshold, model.name).withColumnRenamed("method", "explanation_method")
 
 
