@@ -71,7 +71,7 @@ def build(spark: SparkSession, records: DataFrame, order: str, path: str, shares
 
     Splits are held within labels; the TF-IDF of the baseline is learnt on train only.
     """
-    from veriscope.operators.model import tfidf
+    from veriscope.operators.model import builder_tfidf
 
     shares = shares or {"train": 0.7, "dev": 0.15, "test": 0.15}
     rows = prep.stratified_split(canonical_m1(records, order), "label", F.md5(F.concat("id", F.lit(":42"))), shares)
@@ -86,7 +86,7 @@ def build(spark: SparkSession, records: DataFrame, order: str, path: str, shares
         "reranker_pairs": retrieval.reranker_pairs(corpus, positives, negatives, kb, "id"),
         "chat": retrieval.chat_rows(corpus, lx.SYSTEM_PROMPT),
         "lexical_tokens": retrieval.lexical_tokens(corpus, "id"),
-        "tfidf": tfidf(corpus.where("split = 'train'"), "id", tx.word_tokens(F.col("text"))),
+        "tfidf": builder_tfidf(corpus.where("split = 'train'"), corpus, "id"),
         "rules": rl.rule_table(spark),
         "encoder_inputs": retrieval.encoder_rows(corpus),
         "prompts": retrieval.prompt_rows(corpus.where("split = 'test'"), lx.SYSTEM_PROMPT, lx.PROMPTS["retrieval"], positives.join(F.broadcast(retrieval.few(kb)), "chunk_id").select("id", F.lit(1).alias("rank"), F.col("text").alias("passage"))),

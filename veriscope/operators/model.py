@@ -48,6 +48,20 @@ def tfidf(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     return raw.select(key, "term", F.col("tf").cast("long").alias("tf"), "df", (F.col("_w") / norm).alias("weight"))
 
 
+def builder_tfidf(train: DataFrame, rows: DataFrame, key: str, text: str = "text", most: int = 5_000) -> DataFrame:
+    """(key, term, weight) of ``rows``: lower-case words of two or more characters, of which the ``most`` frequent ones of
+    ``train`` count (the least term on ties) with train's document counts, scaled to unit length per row and rounded to 8
+    places. A null text counts as empty and gives no row; keys must be unique."""
+    tokens = F.filter(tx.word_tokens(F.coalesce(F.col(text), F.lit(""))), lambda x: F.length(x) >= 2)
+    counts = lambda df: tx.once(df.select(key, tokens.alias("_t")), _c=tx.counted(F.col("_t"))).select(key, F.inline("_c"))
+    n = train.count()
+    kept = counts(train).groupBy("term").agg(F.sum("tf").alias("_f"), F.count("*").alias("_df")).orderBy(F.desc("_f"), "term").limit(most)
+    idf = F.broadcast(kept.select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("_df"))) + 1).alias("_idf")))  # at most ``most`` rows
+    raw = counts(rows).join(idf, "term").withColumn("_w", F.col("tf") * F.col("_idf"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", F.round(F.col("_w") / norm, 8).alias("weight"))
+
+
 def top_terms(weights: DataFrame, key: str, weight: str = "weight", k: int = 5) -> DataFrame:
     """(key, term, weight, rank): the k terms of greatest absolute weight, in order of the term on ties."""
     w = Window.partitionBy(key).orderBy(F.desc(F.round(F.abs(weight), 9)), "term")

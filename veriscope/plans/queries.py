@@ -455,6 +455,12 @@ def tfidf_terms(s, d):
     return rounded(model.top_terms(model.tfidf(docs(s, d), "doc_id", tx.word_tokens(T())), "doc_id"))
 
 
+@query
+def builder_tfidf(s, d):
+    x = table(s, d, "m1_records").where("id is not null").select("id", "text", "split").dropDuplicates(["id"])
+    return rounded(model.builder_tfidf(x.where("split = 'train'"), x.where("split = 'test'"), "id"))
+
+
 @query
 def bm25_top(s, d):
     q = table(s, d, "eval_items").where("item_id % 20 = 0").select("item_id", F.coalesce("text", F.lit("")).alias("query"))

@@ -156,6 +156,8 @@ def _accounting(raw: str) -> str:
 
 
 SQL: dict[str, str] = {
+    "builder_tfidf": f"""WITH x AS (SELECT DISTINCT ON (id) id, split, list_filter({base.words("coalesce(text, '')")}, lambda t: length(t) >= 2) AS k FROM m1_records WHERE id IS NOT NULL), tf AS (SELECT id, split, term, count(*) AS tf FROM (SELECT id, split, unnest(k) AS term FROM x) GROUP BY 1, 2, 3), n AS (SELECT count(*) AS n FROM x WHERE split = 'train'),
+        v AS (SELECT term, count(*) AS df FROM tf WHERE split = 'train' GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 5000), w AS (SELECT id, term, tf * (ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1) AS w FROM tf JOIN v USING (term), n WHERE split = 'test') SELECT id, term, round(round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 8), 6) AS weight FROM w""",
     "declared_rules": f"WITH {SAMPLES}, r(rule_id, name, standard, trig, ctx, label, risk) AS {RULES} SELECT sample_id, rule_id, standard, label, risk FROM x JOIN r ON regexp_matches(f, trig) AND regexp_matches(f, ctx)",
     "standard_matches": f"WITH {SAMPLES}, r(standard, p) AS {STANDARDS} SELECT sample_id, standard FROM x JOIN r ON regexp_matches(f, p)",
     "rule_table": f"WITH r(rule_id, name, standard, \"trigger\", context, label, risk) AS {RULES} SELECT * FROM r",
