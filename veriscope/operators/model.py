@@ -301,7 +301,7 @@ class DescentModel:
     rate: float = 0.25
     epochs: int = 500
     vocabulary: int = 5_000
-    sample: int = 5_000
+    sample: int = 2_000
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = 0.0
 
@@ -340,5 +340,6 @@ class DescentModel:
 
 def metadata_only(train: DataFrame, test: DataFrame) -> DataFrame:
     """``test`` with ``raw_score`` by a head that sees the metadata features alone, its scaling learnt on ``train``."""
-    head = HybridHead(list(ft.METADATA)).fit(ft.with_metadata_features(train))
+    seen = staged(ft.with_metadata_features(train).select("label", *ft.METADATA), "features")  # fitting reads them many times
+    head = HybridHead(list(ft.METADATA)).fit(seen)
     return ft.with_metadata_features(test).withColumn("raw_score", head.column()).drop(*ft.METADATA)
