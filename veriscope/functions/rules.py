@@ -194,21 +194,25 @@ def fraud_signals(t: Column, signals: Sequence[tuple[str, Sequence[str]]] = tupl
     return F.filter(F.array(*made), lambda x: x.isNotNull())
 
 
-def distress_signals(t: Column, profit: Column, revenue: Column) -> Column:
-    """Names of distress signals from the text and two fields."""
+def distress_signals(t: Column, profit: Column, revenue: Column, lasting: Column | None = None, provision: Column | None = None) -> Column:
+    """Names of distress signals from the text and two fields.
+
+    ``lasting``, ``provision``: whether the text tells of lasting losses, and its provision as written or empty, if known.
+    """
     ratio = F.abs(profit) / F.nullif(revenue, F.lit(0.0))
     word, within = lx.PROVISION
-    amount = F.regexp_extract(t, f"(?iu){tx.phrase(word)}.{{0,{within}}}([0-9.]{{8,}})", 1)
-    provision = tx.accounting_number(F.nullif(amount, F.lit("")))
+    amount = F.regexp_extract(t, f"(?iu){tx.phrase(word)}.{{0,{within}}}([0-9.]{{8,}})", 1) if provision is None else provision
+    value = tx.accounting_number(F.nullif(amount, F.lit("")))
     made = [
         F.when((revenue > 0) & (profit < 0) & (ratio > 0.3), F.concat(F.lit("lo_nang_"), F.format_string("%.1f%%", ratio * 100), F.lit("_doanh_thu"))),
-        F.when(near(t, *lx.LASTING_LOSS), F.lit("lo_lien_tiep")),
-        F.when((revenue > 0) & (provision / F.nullif(revenue, F.lit(0.0)) > 0.1), F.lit("du_phong_lon_hon_10pct_dt")),
+        F.when(near(t, *lx.LASTING_LOSS) if lasting is None else lasting, F.lit("lo_lien_tiep")),
+        F.when((revenue > 0) & (value / F.nullif(revenue, F.lit(0.0)) > 0.1), F.lit("du_phong_lon_hon_10pct_dt")),
     ]
     return F.filter(F.array(*made), lambda x: x.isNotNull())
 
 
-def auto_label(t: Column, signals: Column) -> Column:
-    """1 for an adverse, qualified or withheld opinion or any fraud signal, else 0."""
+def auto_label(t: Column, signals: Column, adverse: Column | None = None) -> Column:
+    """1 for an adverse, qualified or withheld opinion (``adverse``, if known) or any fraud signal, else 0."""
     first, within, then = lx.REFUSED
-    return F.when(mentions(t, lx.ADVERSE_OPINIONS) | near(t, first, within, [then]) | (F.size(signals) > 0), 1).otherwise(0)
+    opinion = mentions(t, lx.ADVERSE_OPINIONS) | near(t, first, within, [then]) if adverse is None else adverse
+    return F.when(opinion | (F.size(signals) > 0), 1).otherwise(0)
